@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrylens.llm import exact, packing, quality
+from quarrylens.llm import exact, minhash, packing, quality, secrets
 from quarrylens.llm.common import documents, staged
 from quarrylens.llm.vocabularies import vocabulary
 
 STAGES = [
     ("quality rules", lambda spark, docs, sf_dir: quality.keep_good(docs)),
     ("exact dedup", lambda spark, docs, sf_dir: exact.drop_copies(docs)),
+    ("n-gram Jaccard join", lambda spark, docs, sf_dir: minhash.drop_near_copies(docs)),
+    ("secret scans", lambda spark, docs, sf_dir: secrets.hide_secrets(docs, vocabulary("byte_bpe_50k.json"))),
     ("best-fit packing", lambda spark, docs, sf_dir: packing.pack(docs, vocabulary("byte_bpe_50k.json"))),
 ]
 ORACLE_SQL = None
