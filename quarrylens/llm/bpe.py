@@ -67,6 +67,7 @@ class Bpe:
         self.strings = [b""] * (max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
         for token, k in vocab.items():
             self.strings[k] = bytes(back[c] for c in token)
+        self.ids_follow_ranks = all(a < b for a, b in zip(self.merged, self.merged[1:], strict=False)) and max(self.byte_ids) < self.merged[0]
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in spec["added_tokens"]}
         for t in spec["added_tokens"]:
             self.strings[t["id"]] = t["content"].encode()

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
+from array import array
 from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from .bpe import Remembered
+from .bpe import WORDS, Bpe
 from .common import map_batches, staged
 
 #: Pieces packed together: enough for tight bins (the waste is about a bin a group), few enough for one task.
@@ -98,31 +97,22 @@ def piece_lengths(n: int, capacity: int) -> list[int]:
 
 
 class TextEncoder:
-    """Ids of texts as bytes, by the tokenizers library; what stands between single spaces comes from a bounded memo.
+    """Ids of texts as bytes, as the tokenizers library gives them; what stands between single spaces comes from a memo.
 
     A pre-token never runs over a single space between two other characters, so such a stretch has the same ids in
-    any text. Texts with other spacing, or with a special token's string, are encoded whole.
+    any text. Stretches not seen lately are merged by tiktoken over the same vocabulary, where the file's ids follow
+    its merge ranks (they do in byte-level files); otherwise by this package's own merging.
     """
 
     def __init__(self, path: str):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([r" \s|[^\S ] ", *special]))
-        self.chunks = Remembered(lambda chunk: self.whole(" " + chunk))
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.odd.search(t) else t.split(" ") for t in texts]
-        new = list({c for parts in split if parts for c in parts[1:] if c not in self.chunks and c not in self.chunks.old})
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast([" " + c for c in some], add_special_tokens=False), strict=True):
-                self.chunks.put(chunk, np.array(e.ids, "<u4").tobytes())
-        return [self.whole(t) if parts is None else self.whole(parts[0]) + b"".join(map(self.chunks.__getitem__, parts[1:])) for t, parts in zip(texts, split, strict=True)]
+        self.codec = Bpe(path)
+        if self.codec.ids_follow_ranks:
+            ranks = {s: k for k, s in enumerate(self.codec.strings) if s and s.decode("utf-8", "replace") not in self.codec.special}
+            encode = tiktoken.Encoding("ranks", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.codec.encode_words = lambda text: array("I", encode(text)).tobytes()
+
+    def encode(self, text: str) -> bytes:
+        return self.codec.encode(text)
 
 
 _ENCODERS: dict[str, TextEncoder] = {}
@@ -131,7 +121,6 @@ _ENCODERS: dict[str, TextEncoder] = {}
 def encoder(path: str) -> TextEncoder:
     """One for each worker process and file."""
     if path not in _ENCODERS:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already fill the cores
         _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
@@ -146,9 +135,8 @@ def pieces(docs: DataFrame, vocabulary: str, *, capacity: int = 2048, end_id: in
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         end, codec = np.array([end_id], "<u4").tobytes(), encoder(vocabulary)
         rows: list[tuple] = []
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc, ids in zip(batch.column(0).to_pylist(), codec.encode(texts), strict=True):
-            data, start = ids + end, 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            data, start = codec.encode(text.as_py() or "") + end, 0
             for k, n in enumerate(piece_lengths(len(data) // 4, capacity)):
                 rows.append((doc, k, start, n, zlib.crc32(data[4 * start : 4 * (start + n)]), len(rows)))
                 start += n
