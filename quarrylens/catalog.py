@@ -1,19 +1,396 @@
-"""All registered queries and their SQL."""
+"""All registered queries and, where SQL can say the same, their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from .functions import text as T
+from .operators import dataflow, evaluation, findings, retrieval, rules, scoring, sections, workflow
+from .plans import review
+from .plans.topics import DOMAINS
+from .sources import readers
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    """Documents to findings to a status: split, classify, scan, deduplicate, score."""
+    return review.statuses(review.review(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# Events as findings: a user is a document, a type's events are one problem, and values set the severity.
+EVENT_SEVERITY = "CASE WHEN value >= 150 THEN 'CRITICAL' WHEN value >= 100 THEN 'HIGH' WHEN value >= 50 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def event_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return findings.as_findings(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.concat(F.lit("section "), "event_type").alias("section"), F.lit("security").alias("domain"), F.expr(EVENT_SEVERITY).alias("severity"), F.concat(F.lit("issue of "), "event_type").alias("issue"), F.when(F.col("event_id") % 3 == 0, "rules_engine").otherwise("agent").alias("origin"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).otherwise("").alias("rule_id"), F.when(F.col("event_id") % 5 == 0, "ref").otherwise("").alias("standard_reference"), F.lit("kb").alias("kb_source"), F.when(F.col("event_id") % 7 == 0, "CONFIRMED").otherwise("").alias("verifier_status")))
+
+
+EVENT_SQL = f"""WITH f AS (SELECT user_id AS doc_id, event_id AS seq, 'section ' || event_type AS section, 'security' AS domain, {EVENT_SEVERITY} AS severity,
+ 'issue of ' || event_type AS issue, CASE WHEN event_id % 3 = 0 THEN 'rules_engine' ELSE 'agent' END AS origin, CASE WHEN event_id % 2 = 0 THEN event_type ELSE '' END AS rule_id,
+ event_id % 5 = 0 AS grounded, CASE WHEN event_id % 7 = 0 THEN 'CONFIRMED' ELSE '' END AS verifier_status FROM events),
+g AS (SELECT *, origin = 'rules_engine' OR verifier_status = 'CONFIRMED' AS confirmed, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END AS rnk,
+ CASE WHEN rule_id <> '' THEN rule_id ELSE domain || ':' || lower(issue)[:80] END AS problem FROM f)"""
+
+
+@query()
+def review_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.review(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "section", "rule_id", "severity", "kind", "evidence_excerpt", "evidence_grounded")
+
+
+@query()
+def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagship(spark, sf_dir)
+
+
+@query()
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.split_sections(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SECRET = [r"\bakia[0-9a-z]{16}\b", r"\b(?:password|passwd|pwd)\s*[=:]\s*[a-z0-9]{6,}", r"\btoken\s*=\s*.?[a-z0-9]{16,}"]
+
+
+@query(f"""SELECT doc_id, p AS pattern FROM documents CROSS JOIN (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(SECRET))}) v(p, r) WHERE regexp_matches(text, r, 'i')""")
+def rule_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = F.array_compact(F.array(*[F.when(F.rlike(F.col("text"), F.lit(f"(?i){p}")), F.lit(i)) for i, p in enumerate(SECRET)]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("pattern"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, 'password=[0-9a-f]+') AS hit FROM documents), a AS (SELECT doc_id, text, hit, strpos(text, hit) AS at FROM m WHERE hit <> ''),
+b AS (SELECT *, greatest(at - 110, 1) AS s, least(at + length(hit) - 1 + 110, length(text)) AS e FROM a)
+SELECT doc_id, (CASE WHEN s > 1 THEN '...' ELSE '' END) || trim(regexp_replace(substr(text, s, e - s + 1), '\s+', ' ', 'g')) || (CASE WHEN e < length(text) THEN '...' ELSE '' END) AS excerpt FROM b""")
+def rule_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.match_excerpt("text", F.lit("password=[0-9a-f]+")).alias("excerpt")).where("excerpt <> ''")
+
+
+STEM_SQL = "CASE " + " ".join(f"WHEN length(w) > {len(s) + 2} AND ends_with(w, '{s}') THEN left(w, length(w) - {len(s)})" for s in T.SUFFIXES) + " ELSE w END"
+STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+@query(f"""WITH d AS (SELECT doc_id, substr(text, 1, 200) AS issue FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(issue), '[a-z0-9]+')) AS w FROM d),
+s AS (SELECT doc_id, {STEM_SQL} AS c FROM w WHERE length(w) > 2 AND w NOT IN ({STOP_SQL})), t AS (SELECT DISTINCT doc_id, CASE WHEN length(c) > 4 AND ends_with(c, 'e') THEN left(c, length(c) - 1) ELSE c END AS t FROM s),
+r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS n FROM t), k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY t) AS k FROM r WHERE n <= 12 GROUP BY doc_id)
+SELECT d.doc_id, sha1(coalesce(k, ''))[:12] AS semantic_key, sha256('security|wholedocument|' || sha1(coalesce(k, ''))[:12])[:16] AS fingerprint FROM d LEFT JOIN k USING (doc_id)""")
+def finding_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("issue"))
+    return d.select("doc_id", T.semantic_key("issue").alias("semantic_key"), T.fingerprint(F.lit("Security "), F.lit("Whole document"), F.lit(""), "issue").alias("fingerprint"))
+
+
+@query(EVENT_SQL + """ SELECT doc_id, seq, severity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, section, problem ORDER BY grounded DESC, rnk, (origin = 'rules_engine') DESC, seq) AS n FROM g) WHERE n = 1""")
+def dedupe_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.dedupe(event_findings(spark, sf_dir)).select("doc_id", "seq", "severity")
+
+
+TOPIC_SQL_ROWS = ", ".join(f"({i}, '{t.key}', '{t.domain}', '{k}')" for i, t in enumerate(sections.TOPICS) for k in t.keywords)
+TOPIC_SQL = f"""WITH d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS b FROM documents), s AS (SELECT doc_id, ord, topic, domain, CAST(sum(least(CAST((length(b) - length(replace(b, kw, ''))) / length(kw) AS INTEGER), 4)) AS DOUBLE) AS score
+ FROM d CROSS JOIN (VALUES {TOPIC_SQL_ROWS}) v(ord, topic, domain, kw) GROUP BY ALL HAVING sum(least(CAST((length(b) - length(replace(b, kw, ''))) / length(kw) AS INTEGER), 4)) > 0)"""
+
+
+@query(TOPIC_SQL + " SELECT doc_id, ord, topic, domain, score FROM s")
+def topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.score_topics(table(spark, sf_dir, "documents"), ["doc_id"], F.lit(""), F.col("text"))
+
+
+@query(TOPIC_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS n, max(score) OVER (PARTITION BY doc_id) AS top FROM s)
+SELECT d.doc_id, coalesce(max(CASE WHEN n = 1 THEN domain END), 'general') AS domain, coalesce(max(CASE WHEN n = 1 THEN topic END), 'context_scope') AS topic,
+coalesce(string_agg(topic, ',' ORDER BY n) FILTER (n BETWEEN 2 AND 5 AND score >= top * 0.5), '') AS secondary FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
+def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sections.classify(table(spark, sf_dir, "documents"), ["doc_id"], F.lit(""), F.col("text"))
+    return found.select("doc_id", "domain", "topic", F.array_join("secondary_topics", ",").alias("secondary"))
+
+
+@query(r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS INTEGER) AS total_words,
+CAST(len(regexp_extract_all(lower(text), '\bminutes\b')) AS INTEGER) AS minutes FROM documents""")
+def guardrail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", T.word_count("text").alias("total_words"), F.regexp_count(F.lower("text"), F.lit(r"\bminutes\b")).alias("minutes"))
+
+
+@query()
+def assess_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.assess_scope(table(spark, sf_dir, "documents"))
+
+
+CRITERIA_SQL = ", ".join("('{}', '{}')".format(c.key, "|".join(f"(?:{p})" for p in c.patterns)) for c in sections.CRITERIA)
+
+
+@query(f"SELECT doc_id, k AS missing FROM documents CROSS JOIN (VALUES {CRITERIA_SQL}) v(k, p) WHERE NOT regexp_matches(coalesce(text, ''), p, 'i')")
+def completeness_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.completeness(table(spark, sf_dir, "documents")).select("doc_id", F.explode("missing").alias("missing"))
+
+
+WORDS_SQL = r"list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(CAST(ceil((len(w) - 220) / 180.0) AS BIGINT), 0) + 1)) AS i FROM d WHERE len(w) > 220)
+SELECT doc_id, CAST(i AS INTEGER) AS n, md5(array_to_string(list_slice(w, i * 180 + 1, i * 180 + 220), ' ')) AS piece_md5 FROM s""")
+def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where(T.word_count("text") > 220)
+    return d.select("doc_id", F.posexplode(sections.windows("text")).alias("n", "piece")).select("doc_id", "n", F.md5("piece").alias("piece_md5"))
+
+
+@query("SELECT doc_id, sha1('general|' || source || '||' || doc_id || '|' || substr(text, 1, 80))[:20] AS chunk_id FROM documents")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.chunk_id(F.lit("general"), "source", F.lit(""), "doc_id", "text").alias("chunk_id"))
+
+
+@query()
+def chunk_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.lit("general").alias("domain"), "text")
+    return sections.chunk_clauses(d).select("chunk_id", "source", "clause", "ordinal")
+
+
+NORM_SQL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH b AS (SELECT item_id, string_split({NORM_SQL.format("text")}, ' ') AS w FROM benchmark), g AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 5), ' ') AS run FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM b WHERE len(w) >= 6)),
+d AS (SELECT doc_id, string_split({NORM_SQL.format("text")}, ' ') AS w FROM documents), h AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 5), ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 6))
+SELECT DISTINCT item_id, doc_id FROM g JOIN h USING (run)""")
+def evidence_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage and every document that shares a run of six words with it: an equi-join on the runs."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.runs("text"))).alias("run"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.runs("text"))).alias("run"))
+    return d.join(b, "run").select("item_id", "doc_id").distinct()
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS item_id, label AS domain, greatest(0.0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))) AS raw FROM q CROSS JOIN embeddings),
+t AS (SELECT * FROM s WHERE raw >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id, domain ORDER BY raw DESC, item_id) <= 4) SELECT query_id, item_id, domain, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS INTEGER) AS place FROM t QUALIFY place <= 4""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").alias("domain"))
+    return retrieval.nearest(asked, items).select("query_id", "item_id", "domain", "place")
+
+
+@query(EVENT_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, problem ORDER BY (NOT confirmed), rnk, seq) AS nth FROM g), s AS (SELECT doc_id, count(*) AS n_findings,
+ sum((CASE severity WHEN 'CRITICAL' THEN 40.0 WHEN 'HIGH' THEN 15.0 WHEN 'MEDIUM' THEN 5.0 ELSE 1.0 END) * (CASE WHEN confirmed THEN 1.0 ELSE 0.25 END) * (CASE WHEN nth > 1 THEN 0.2 ELSE 1.0 END))::DOUBLE AS raw,
+ bool_or(confirmed AND rnk = 0) AS c, bool_or(confirmed AND rnk <= 1) AS h, bool_or(rnk <= 1) AS a FROM o GROUP BY doc_id), t AS (SELECT *, round(least(100.0, 100 * (1 - exp(-raw / 120))), 1) AS score FROM s)
+SELECT doc_id, n_findings, CAST(score AS INTEGER) AS score, CASE WHEN c THEN 'RED' WHEN score >= 40 AND h THEN 'RED' WHEN score >= 12 OR a THEN 'AMBER' ELSE 'GREEN' END AS status FROM t""")
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.risk(event_findings(spark, sf_dir), ["doc_id"]).withColumn("score", F.bround("score").cast("int"))
+
+
+@query(EVENT_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, problem ORDER BY rnk, (NOT grounded), seq) > 1 AS again FROM g)
+SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY again, rnk, (NOT grounded), seq) AS INTEGER) AS priority FROM k QUALIFY priority <= 3""")
+def priority_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.priority_actions(event_findings(spark, sf_dir)).select("doc_id", "seq", "priority")
+
+
+@query(EVENT_SQL + """ SELECT doc_id, count(*) FILTER (severity = 'CRITICAL') AS critical, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low FROM f GROUP BY doc_id""")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.severity_counts(event_findings(spark, sf_dir), ["doc_id"])
+
+
+@query("""SELECT s AS severity, count(e.event_id) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) v(s) LEFT JOIN (SELECT event_id, """ + EVENT_SEVERITY + """ AS severity FROM events WHERE value < 120) e ON e.severity = s GROUP BY s""")
+def severity_counts_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("value < 120").select(F.expr(EVENT_SEVERITY).alias("severity"))
+    return scoring.zero_filled(e, "severity", list(T.SEVERITIES))
+
+
+@query("""SELECT k AS nation, CAST(sum(s) AS BIGINT) AS sections, CAST(sum(f) AS BIGINT) AS findings, CAST(sum(c) AS BIGINT) AS critical FROM (SELECT c_nationkey AS k, 1 AS s, 0 AS f, 0 AS c FROM customer UNION ALL
+SELECT s_nationkey, 0, 1, CASE WHEN s_acctbal < 0 THEN 1 ELSE 0 END FROM supplier) GROUP BY k""")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), F.when(F.col("s_acctbal") < 0, "CRITICAL").otherwise("LOW").alias("severity"))
+    return scoring.coverage(c, s, ["nation"])
+
+
+@query("""WITH m AS (SELECT median(epoch_us(ts)) AS m FROM events), a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 0), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 2 = 1)
+SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, CASE WHEN a.user_id IS NULL THEN 'new' WHEN b.user_id IS NULL THEN 'resolved' ELSE 'persisting' END AS state
+FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type""")
+def diff_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return findings.diff_runs(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id", "event_type"])
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
+def latest_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    return workflow.latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+DECISION_SQL = """WITH l AS (SELECT user_id AS document, event_type AS fingerprint, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL), d AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'disputed' ELSE 'accepted' END AS decision, 'rule:' || fingerprint AS a, 'origin:' || (event_id % 2) AS b FROM l)"""
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("user_id").alias("document"), F.col("event_type").alias("fingerprint"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("rule_id"), (F.col("event_id") % 2).cast("string").alias("origin"), F.when(F.col("event_id") % 3 == 0, "disputed").otherwise("accepted").alias("decision"), F.concat(F.lit("r"), (F.col("event_id") % 4).cast("string")).alias("reason"))
+
+
+@query(DECISION_SQL + """ SELECT k AS key, count(*) FILTER (decision = 'accepted') AS accepted, count(*) FILTER (decision = 'disputed') AS disputed FROM (SELECT decision, a AS k FROM d UNION ALL SELECT decision, b FROM d) GROUP BY k""")
+def dispute_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.dispute_rates(_decisions(spark, sf_dir)).drop("dispute_rate")
+
+
+@query("""SELECT conv_id, turn AS at, role AS from_zone, nxt AS to_zone FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL AND role <> nxt""")
+def boundary_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataflow.boundary_crossings(table(spark, sf_dir, "conversations"), ["conv_id"], "turn", "role")
+
+
+@query("""SELECT o_orderkey, l_linenumber, c.n_regionkey AS from_region, s.n_regionkey AS to_region FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey WHERE c.n_regionkey <> s.n_regionkey AND l_returnflag = 'R'""")
+def cross_zone_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as flows from a customer's region to a supplier's: dimensions join, then the boundary filter."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    buyers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("from_region"))
+    sellers = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("to_region"))
+    flows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_suppkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    both = flows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return both.where("from_region <> to_region").select("o_orderkey", "l_linenumber", "from_region", "to_region")
+
+
+@query("SELECT event_type, user_id % 7 AS bucket, count(*) AS n FROM events GROUP BY CUBE (event_type, user_id % 7)")
+def stride_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.matrix(table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 7).alias("bucket")), "event_type", "bucket")
+
+
+STRIDE_SQL = ", ".join(f"('{c}')" for _, c in dataflow.STRIDE)
+
+
+@query(f"""SELECT d AS domain, c AS category FROM (VALUES {", ".join(f"('{d}')" for d in DOMAINS)}) a(d) CROSS JOIN (VALUES {STRIDE_SQL}) b(c) WHERE NOT EXISTS (SELECT 1 FROM labels WHERE quality = 0 AND CASE doc_id % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'application' ELSE 'security' END = d AND CASE WHEN toxic = 1 THEN 'Spoofing' ELSE 'Tampering' END = c)""")
+def blind_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = table(spark, sf_dir, "labels").where("quality = 0").select(F.expr("CASE doc_id % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'application' ELSE 'security' END").alias("domain"), F.when(F.col("toxic") == 1, "Spoofing").otherwise("Tampering").alias("category"))
+    return dataflow.blind_spots(spark, seen, list(DOMAINS))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5)")
+def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT s_suppkey, s_nationkey, 'REC-' || lpad(CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS VARCHAR), 3, '0') AS record FROM supplier")
+def register_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.format_string("REC-%03d", n).alias("record"))
+
+
+@query(EVENT_SQL + " SELECT doc_id, seq FROM g WHERE rnk <= 1 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.seq % 11 = 0 AND h.section = g.section AND h.rule_id = g.rule_id)")
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = event_findings(spark, sf_dir)
+    known = findings.fingerprints(f.where("seq % 11 = 0"))
+    return findings.gate(f, known).select("doc_id", "seq")
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic = 1) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn FROM labels)
+SELECT tp, fp, fn, tn, CAST(round(1e6 * tp / (tp + fp)) AS BIGINT) AS precision_ppm, CAST(round(1e6 * tp / (tp + fn)) AS BIGINT) AS recall_ppm FROM n""")
+def confusion_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "labels").select("quality", (1 - F.col("toxic")).alias("clean"))
+    return evaluation.confusion(rows, "quality", "clean").select("tp", "fp", "fn", "tn", F.round(F.col("precision") * 1e6).cast("bigint").alias("precision_ppm"), F.round(F.col("recall") * 1e6).cast("bigint").alias("recall_ppm"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n, count(*) FILTER (quality = toxic) AS same, sum(quality) AS q, sum(toxic) AS t FROM labels), p AS (SELECT n, same / n AS po, (q * t + (n - q) * (n - t)) / (n::DOUBLE * n) AS pe FROM n)
+SELECT CAST(n AS BIGINT) AS n, CAST(round(1e6 * (po - pe) / (1 - pe)) AS BIGINT) AS kappa_ppm FROM p""")
+def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.kappa(table(spark, sf_dir, "labels"), "quality", "toxic").select("n", F.round(F.col("kappa") * 1e6).cast("bigint").alias("kappa_ppm"))
+
+
+@query(r"""SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?i)<br\s*/?>|</(?:div|p|li)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS label_md5 FROM pages""")
+def clean_html_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_label("html")).alias("label_md5"))
+
+
+@query("SELECT event_id, unnest(json_keys(props)) AS name, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events WHERE props IS NOT NULL")
+def props_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", F.explode(readers.flat_properties(F.col("props"))).alias("x")).select("event_id", F.col("x.key").alias("name"), F.col("x.value").alias("value"))
+
+
+@query(EVENT_SQL + """ SELECT doc_id, seq, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY rnk, domain, section, issue, seq) AS INTEGER) AS place FROM g""")
+def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.ordered(event_findings(spark, sf_dir)).select("doc_id", "seq", "place")
+
+
+@query("""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 3)) AS w FROM benchmark)
+SELECT a.item_id AS a, b.item_id AS b FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) >= 0.2 * len(list_distinct(list_concat(a.w, b.w)))""")
+def similar_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages with similar words: candidates share a word, so no pair without one is made."""
+    t = table(spark, sf_dir, "benchmark").select("item_id", T.long_tokens("text").alias("w"))
+    words = t.select(F.col("item_id").alias("i"), F.explode("w").alias("word"))
+    common = words.alias("x").join(words.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    size = t.select("item_id", F.size("w").alias("s"))
+    both = common.join(size.withColumnRenamed("s", "p"), F.col("a") == F.col("item_id")).drop("item_id").join(size.withColumnRenamed("s", "q"), F.col("b") == F.col("item_id"))
+    return both.where("n >= 0.2 * (p + q - n)").select("a", "b")
+
+
+@query()
+def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    f = findings.as_findings(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("section"), F.lit("security").alias("domain"), F.lit("HIGH").alias("severity"), F.col("text").alias("issue"), F.lit("agent").alias("origin")))
+    return findings.merge_duplicates(f).select("doc_id", "seq", "also_in")
+
+
+@query("SELECT role, conv_id % 5 AS bucket, count(*) AS n FROM conversations GROUP BY GROUPING SETS ((role), (conv_id % 5), ())")
+def grouped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("role", (F.col("conv_id") % 5).alias("bucket"))
+    return c.groupingSets([[F.col("role")], [F.col("bucket")], []], "role", "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS excerpt, substr(regexp_replace(regexp_replace(lower(source || ' / ' || lang), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS slug, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM documents")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.excerpt("text").alias("excerpt"), T.slug(F.concat("source", F.lit(" / "), "lang")).alias("slug"), T.html_escape("text").alias("escaped"))
+
+
+@query("""WITH r AS (SELECT c_custkey, c_nationkey, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS i FROM customer), z AS (SELECT c_nationkey, CAST(ceil(count(*) / 7.0) AS BIGINT) * 180 + 40 AS w FROM customer GROUP BY 1),
+x AS (SELECT c_nationkey, w, coalesce(sum(w) OVER (ORDER BY c_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS zx FROM z) SELECT c_custkey AS id, CAST(zx + (i // 7) * 180 AS BIGINT) AS x, CAST(i % 7 AS INTEGER) AS "row" FROM r JOIN x USING (c_nationkey)""")
+def canvas_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers laid out by nation: the cumulative offset runs over one row a zone, not over the components."""
+    c = table(spark, sf_dir, "customer").select(F.lit("d").alias("document"), F.col("c_custkey").alias("id"), F.lpad(F.col("c_nationkey").cast("string"), 3, "0").alias("zone"))
+    return dataflow.layout(c).select("id", "x", F.col("row").cast("int").alias("row"))
+
+
+@query("SELECT o_custkey AS id, count(*) AS links, count(DISTINCT o_orderpriority) AS others FROM orders GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT o_orderpriority) = 1")
+def single_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("links"), F.count_distinct("o_orderpriority").alias("others")).where("links >= 2 and others = 1")
+
+
+@query("SELECT user_id, arg_max(event_type, (n, -first)) AS event_type FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id")
+def majority_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataflow.majority_zone(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query("SELECT o_orderkey, o_custkey, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 6 AS INTEGER) AS batch FROM orders")
+def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.batches(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], "o_orderkey")
+
+
+@query("SELECT DISTINCT item_id FROM benchmark JOIN (SELECT DISTINCT text FROM documents) d ON contains(d.text, benchmark.text)")
+def quoted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that some document quotes whole: documents that share a run of words are the only ones looked into."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    runs = b.select("item_id", F.explode(F.array_distinct(T.runs("passage"))).alias("run"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    near = d.select("doc_id", F.explode(F.array_distinct(T.runs("text"))).alias("run")).join(runs, "run").select("doc_id", "item_id").distinct()
+    return near.join(b, "item_id").join(d, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id").distinct()
