@@ -68,7 +68,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of equal texts, with its columns as they are; of rows repeated as a whole, one."""
-    stay = _groups(docs, id_col, text_col).where("kept").groupBy(F.col(id_col).alias("_id"), "_key").agg(F.count(F.lit(1)).alias("_same"))
-    found = docs.join(stay, docs[id_col].eqNullSafe(stay["_id"]) & (F.xxhash64(docs[text_col]) == stay["_key"]))
-    alone, repeated = found.where("_same = 1").select(docs["*"]), found.where("_same > 1").select(docs["*"])
-    return alone.union(repeated.dropDuplicates([id_col, text_col]))
+    kept = _groups(docs, id_col, text_col).where("kept")
+    stay = kept.groupBy(F.col(id_col).alias("id"), "text_sha256").agg(F.min("_key").alias("key"), F.count(F.lit(1)).alias("same")).drop("text_sha256")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("mark"))
+    found = rows.join(stay, F.col("own").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("key")))
+    return found.where("same = 1").select("row.*").union(found.where("same > 1").dropDuplicates(["own", "mark"]).select("row.*"))

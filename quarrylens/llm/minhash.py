@@ -218,9 +218,6 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One document of each class (that with the smallest id), with its columns as they are; of repeated rows, one."""
     rows = repeats.keyed(docs, id_col, text_col)
     found = rows.select("key").join(_classes(rows, words, threshold, trees, recall), "key")
-    stay = found.where("key = class_key").groupBy("key").agg(F.count(F.lit(1)).alias("_same"))
-    key = F.xxhash64(docs[id_col], docs[text_col], F.isnull(docs[id_col]))
-    with_key = docs.withColumn("_key", key)
-    kept = with_key.join(stay.withColumnRenamed("key", "_key"), "_key")
-    alone, repeated = kept.where("_same = 1").select(*docs.columns), kept.where("_same > 1").dropDuplicates(["_key"]).select(*docs.columns)
-    return alone.union(repeated)
+    stay = found.where("key = class_key").groupBy("key").agg(F.count(F.lit(1)).alias("same")).withColumnRenamed("key", "stays")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), repeats.row_key(id_col, text_col).alias("key")).join(stay, F.col("key") == F.col("stays"))
+    return kept.where("same = 1").select("row.*").union(kept.where("same > 1").dropDuplicates(["key"]).select("row.*"))

@@ -32,9 +32,13 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(id_col, text_col, F.isnull(id_col))
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Id, text and a key: rows with the same key are repeated rows, with the same result."""
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col, F.isnull(id_col)).alias("key"))
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
 
 
 def unit_rows(docs: DataFrame, find: Callable[[pa.Array], Anchors]) -> DataFrame:
