@@ -85,8 +85,8 @@ def rule_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("pattern"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, 'password=[0-9a-f]+') AS hit FROM documents), a AS (SELECT doc_id, text, hit, strpos(text, hit) AS at FROM m WHERE hit <> ''),
-b AS (SELECT *, greatest(at - 110, 1) AS s, least(at + length(hit) - 1 + 110, length(text)) AS e FROM a)
+@query(r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, 'password=[0-9a-f]+') AS hit FROM documents), a AS (SELECT doc_id, text, hit, strpos(text, hit) AS pos FROM m WHERE hit <> ''),
+b AS (SELECT *, greatest(pos - 110, 1) AS s, least(pos + length(hit) - 1 + 110, length(text)) AS e FROM a)
 SELECT doc_id, (CASE WHEN s > 1 THEN '...' ELSE '' END) || trim(regexp_replace(substr(text, s, e - s + 1), '\s+', ' ', 'g')) || (CASE WHEN e < length(text) THEN '...' ELSE '' END) AS excerpt FROM b""")
 def rule_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")

@@ -5,7 +5,7 @@ Sentinels are empty strings, not nulls, as in the data model: a null argument co
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +23,11 @@ def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value taken once: a lambda's body takes anything else anew for every element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def collapse(c: Column | str) -> Column:
     return F.regexp_replace(text(c), r"\s+", " ")
 
@@ -187,14 +192,14 @@ def overlap(a: Column | str, b: Column | str, by: str = "min") -> Column:
 
 def runs(quote: Column | str, n: int = 6) -> Column:
     """All runs of ``n`` words of a quote (ellipses are gaps); none if it is shorter."""
-    w = words(words_only(F.regexp_replace(text(quote), r"\.\.\.|…", " ")))
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    cut = lambda w: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+    return bind(words(words_only(F.regexp_replace(text(quote), r"\.\.\.|…", " "))), cut)
 
 
 def grounded(quote: Column | str, document: Column | str, n: int = 6) -> Column:
     """Whether some run of ``n`` words of the quote stands in the document."""
-    doc = words_only(document)
-    return F.exists(runs(quote, n), lambda r: F.contains(doc, r))
+    return bind(words_only(document), lambda doc: F.exists(runs(quote, n), lambda r: F.contains(doc, r)))
 
 
 def quote_in_document(quote: Column | str, document: Column | str, least: int = 4) -> Column:

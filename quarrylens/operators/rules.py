@@ -36,25 +36,26 @@ def rule_frame(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, rule_domain string, severity string, issue string, recommendation string, hard array<string>, soft array<string>, suppressor string, rule_topics array<string>, scope string, kind string, soft_kind string")
 
 
-def first_hit(t: Column, rule: Rule) -> Column:
-    """(pattern, hard) of the first pattern that matches and counts, else null: hard ones first and unsuppressed."""
-    hit = F.lit(None).cast("struct<pattern:string,hard:boolean>")
-    declined = F.rlike(t, F.lit(FLAGS + suppressor(rule))) if rule.suppressors else F.lit(False)
+def first_hit(t: Column, rule: Rule, order: int) -> Column:
+    """What the first pattern that matches and counts says, else null: hard ones first and unsuppressed."""
+
+    def says(pattern: str, hard: bool) -> Column:
+        kind = "question" if rule.scope == "document" else rule.kind if hard or rule.kind != "finding" else rule.soft_kind
+        return F.struct(F.lit(order).alias("ord"), F.lit(FLAGS + pattern).alias("pattern"), F.lit(hard).alias("hard"), F.lit(kind).alias("kind"))
+
+    hit = F.lit(None).cast("struct<ord:int,pattern:string,hard:boolean,kind:string>")
+    counts = ~F.rlike(t, F.lit(FLAGS + suppressor(rule))) if rule.suppressors else F.lit(True)
     for p in reversed(rule.soft):
-        hit = F.when(F.rlike(t, F.lit(FLAGS + p)) & ~declined, F.struct(F.lit(FLAGS + p).alias("pattern"), F.lit(False).alias("hard"))).otherwise(hit)
+        hit = F.when(F.rlike(t, F.lit(FLAGS + p)) & counts, says(p, False)).otherwise(hit)
     for p in reversed(rule.hard):
-        hit = F.when(F.rlike(t, F.lit(FLAGS + p)), F.struct(F.lit(FLAGS + p).alias("pattern"), F.lit(True).alias("hard"))).otherwise(hit)
+        hit = F.when(F.rlike(t, F.lit(FLAGS + p)), says(p, True)).otherwise(hit)
     return hit
 
 
 def _scan(rows: DataFrame, keys: list[str], t: Column, rules: Sequence[Rule], applies) -> DataFrame:
     """Patterns are literals, so that Java compiles each once a task; rows fan out only where a rule hits."""
-    hits = []
-    for k, r in enumerate(rules):
-        hit = F.when(applies(r), first_hit(t, r))
-        kind = F.lit("question") if r.scope == "document" else F.when(hit["hard"], r.kind).otherwise(r.soft_kind if r.kind == "finding" else r.kind)
-        hits.append(F.when(hit.isNotNull(), F.struct(F.lit(k).alias("ord"), hit["pattern"].alias("pattern"), hit["hard"].alias("hard"), kind.alias("kind"))))
-    out = rows.select(*keys, t.alias("_t"), F.inline(F.array_compact(F.array(*hits))))
+    hits = lambda text: F.array_compact(F.array(*[F.when(applies(r), first_hit(text, r, k)) for k, r in enumerate(rules)]))
+    out = rows.select(*keys, t.alias("_t"), F.inline(T.bind(t, hits)))
     spark = rows.sparkSession
     facts = spark.createDataFrame([(k, r.id, r.domain, r.severity, r.issue, r.advice) for k, r in enumerate(rules)], "ord int, rule_id string, domain string, severity string, issue string, recommendation string")
     found = out.join(F.broadcast(facts), "ord")  # a row a rule

@@ -70,18 +70,25 @@ def oversize_parts(heading: Column, body: Column, most: int = MOST_WORDS) -> Col
         )
 
     bodies = F.aggregate(paragraphs, start, step, lambda acc: F.concat(acc["done"], F.array(acc["held"])))
-    name = lambda i: F.when(F.size(bodies) > 1, F.concat(heading, F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))).otherwise(heading)
-    cut = F.transform(bodies, lambda b, i: F.struct(name(i).alias("heading"), b.alias("body")))
+
+    def named(all_: Column) -> Column:
+        name = lambda i: F.when(F.size(all_) > 1, F.concat(heading, F.lit(" (part "), (i + 1).cast("string"), F.lit(")"))).otherwise(heading)
+        return F.transform(all_, lambda b, i: F.struct(name(i).alias("heading"), b.alias("body")))
+
+    cut = T.bind(bodies, named)
     return F.when(T.word_count(body) <= most, F.array(F.struct(heading.alias("heading"), body.alias("body")))).otherwise(cut)
 
 
 def windows(body: Column | str, size: int = 220, overlap: int = 40) -> Column:
     """Windows of words in steps of size less overlap, up to the one that reaches the end; a short text stays as it is."""
-    w, t = T.words(body), F.regexp_replace(T.text(body), r"^\s+|\s+$", "")
-    step = max(size - overlap, 1)
-    last = F.greatest(F.ceil((F.size(w) - size) / step), F.lit(0)).cast("int")
-    many = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= size, F.array(t)).otherwise(many)
+    t, step = F.regexp_replace(T.text(body), r"^\s+|\s+$", ""), max(size - overlap, 1)
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / step), F.lit(0)).cast("int")
+        many = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when(F.size(w) == 0, F.array().cast("array<string>")).when(F.size(w) <= size, F.array(t)).otherwise(many)
+
+    return T.bind(T.words(body), cut)
 
 
 def chunk_clauses(docs: DataFrame, size: int = 220, overlap: int = 40) -> DataFrame:
@@ -117,13 +124,17 @@ def score_topics(sections: DataFrame, keys: Sequence[str], heading: Column | str
 
     Scores are one array expression a row; no join is needed, so a long document costs no shuffle.
     """
-    def score(topic) -> Column:
-        parts = [F.when(F.contains(F.col("_h"), F.lit(k)), 3.0).otherwise(0.0) + F.least(T.occurrences(F.col("_b"), F.lit(k)), F.lit(4)) for k in topic.keywords]
-        return sum(parts[1:], parts[0])
 
-    scored = sections.select(*keys, T.normalise(heading).alias("_h"), T.normalise(body).alias("_b"))
-    each = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t.key).alias("topic"), F.lit(t.domain).alias("domain"), score(t).cast("double").alias("score")) for i, t in enumerate(topics)])
-    return scored.select(*keys, F.inline(each)).where("score > 0")
+    def score(keyword: Column, h: Column, b: Column) -> Column:
+        return F.when(F.contains(h, keyword), 3.0).otherwise(0.0) + F.when(F.contains(b, keyword), F.least(T.occurrences(b, keyword), F.lit(4))).otherwise(0)
+
+    def scores(both: Column) -> Column:
+        each = lambda t: F.aggregate(t["keywords"], F.lit(0.0), lambda total, k: total + score(k, both["h"], both["b"]))
+        return F.transform(catalogue, lambda t: F.struct(t["ord"].alias("ord"), t["topic"].alias("topic"), t["domain"].alias("domain"), each(t).alias("score")))
+
+    catalogue = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t.key).alias("topic"), F.lit(t.domain).alias("domain"), F.array(*map(F.lit, t.keywords)).alias("keywords")) for i, t in enumerate(topics)])
+    once = F.struct(T.normalise(heading).alias("h"), T.normalise(body).alias("b"))
+    return sections.select(*keys, F.inline(F.filter(T.bind(once, scores), lambda s: s["score"] > 0)))
 
 
 def classify(sections: DataFrame, keys: Sequence[str], heading: Column | str, body: Column | str, topics: Sequence = TOPICS) -> DataFrame:
