@@ -104,15 +104,14 @@ def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], tokens: st
 
 def merge_duplicates(findings: DataFrame, threshold: float = 0.4) -> DataFrame:
     """One finding for the same problem in several sections of a document; rules' findings stay as they are."""
-    ruled = findings.where("rule_id <> ''")
-    free = findings.where("rule_id = ''").withColumn("_t", T.issue_tokens("issue"))
-    grouped = greedy_groups(free, ["doc_id", "domain"], ["seq"], "_t", threshold)
+    tokens = F.when(F.col("rule_id") == "", T.issue_tokens("issue")).otherwise(F.array().cast("array<string>"))  # none: joins nothing
+    grouped = greedy_groups(findings.withColumn("_t", tokens), ["doc_id", "domain"], ["seq"], "_t", threshold)
     best = Window.partitionBy("doc_id", "domain", "head").orderBy((~is_confirmed()).cast("int"), T.severity_rank("severity"), (~F.col("evidence_grounded")).cast("int"), -F.length("evidence_excerpt"), "seq")
     everyone = Window.partitionBy("doc_id", "domain", "head")
     ranked = grouped.withColumn("_rank", F.row_number().over(best)).withColumn("_sections", F.collect_set("section").over(everyone))
     others = F.array_sort(F.array_union("also_in", F.array_remove("_sections", F.col("section"))))
     merged = ranked.where("_rank = 1").withColumn("also_in", others)
-    return ruled.unionByName(merged.select(*findings.columns))
+    return merged.select(*findings.columns)
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -119,11 +119,8 @@ def topic_frame(spark: SparkSession, topics: Sequence = TOPICS) -> DataFrame:
     return spark.createDataFrame(rows, "ord int, topic string, domain string, keywords array<string>, query_terms array<string>, label string")
 
 
-def score_topics(sections: DataFrame, keys: Sequence[str], heading: Column | str, body: Column | str, topics: Sequence = TOPICS) -> DataFrame:
-    """Positive scores of sections in each topic: 3 for a keyword in the heading, 1 for each of its first four in the body.
-
-    Scores are one array expression a row; no join is needed, so a long document costs no shuffle.
-    """
+def topic_array(heading: Column | str, body: Column | str, topics: Sequence = TOPICS) -> Column:
+    """Topics with a positive score: 3 for a keyword in the heading, 1 for each of its first four in the body."""
 
     def score(keyword: Column, h: Column, b: Column) -> Column:
         return F.when(F.contains(h, keyword), 3.0).otherwise(0.0) + F.when(F.contains(b, keyword), F.least(T.occurrences(b, keyword), F.lit(4))).otherwise(0)
@@ -134,18 +131,30 @@ def score_topics(sections: DataFrame, keys: Sequence[str], heading: Column | str
 
     catalogue = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t.key).alias("topic"), F.lit(t.domain).alias("domain"), F.array(*map(F.lit, t.keywords)).alias("keywords")) for i, t in enumerate(topics)])
     once = F.struct(T.normalise(heading).alias("h"), T.normalise(body).alias("b"))
-    return sections.select(*keys, F.inline(F.filter(T.bind(once, scores), lambda s: s["score"] > 0)))
+    return F.filter(T.bind(once, scores), lambda s: s["score"] > 0)
+
+
+def score_topics(sections: DataFrame, keys: Sequence[str], heading: Column | str, body: Column | str, topics: Sequence = TOPICS) -> DataFrame:
+    """A row for each section and topic with a positive score. No join is needed, so a long document costs no shuffle."""
+    return sections.select(*keys, F.inline(topic_array(heading, body, topics)))
 
 
 def classify(sections: DataFrame, keys: Sequence[str], heading: Column | str, body: Column | str, topics: Sequence = TOPICS) -> DataFrame:
-    """Domain, topic, its share of all scores, and up to four other topics with half the winner's score or more."""
-    scores = score_topics(sections, keys, heading, body, topics)
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "ord", "topic", "domain")))
-    top = scores.groupBy(*keys).agg(ranked.alias("r"), F.sum("score").alias("total"))
-    others = F.transform(F.filter(F.slice("r", 2, 4), lambda x: -x["less"] >= -F.col("r")[0]["less"] * 0.5), lambda x: x["topic"])
-    found = top.select(*keys, F.col("r")[0]["domain"].alias("domain"), F.col("r")[0]["topic"].alias("topic"), T.half_even(-F.col("r")[0]["less"] / F.col("total"), 3).alias("topic_confidence"), others.alias("secondary_topics"))
-    none = sections.select(*keys).join(found.select(*keys), list(keys), "left_anti").select(*keys, F.lit(GENERAL).alias("domain"), F.lit("context_scope").alias("topic"), F.lit(0.0).alias("topic_confidence"), F.array().cast("array<string>").alias("secondary_topics"))
-    return found.unionByName(none)
+    """Domain, topic, its share of all scores, and up to four other topics with half the winner's score or more.
+
+    A projection of each row: nothing is grouped or joined.
+    """
+
+    def judged(r: Column) -> Column:
+        first = F.get(r, F.lit(0))
+        total = F.aggregate(r, F.lit(0.0), lambda n, x: n - x["less"])
+        others = F.transform(F.filter(F.slice(r, 2, 4), lambda x: -x["less"] >= -first["less"] * 0.5), lambda x: x["topic"])
+        none = F.struct(F.lit(GENERAL).alias("domain"), F.lit("context_scope").alias("topic"), F.lit(0.0).alias("topic_confidence"), F.array().cast("array<string>").alias("secondary_topics"))
+        some = F.struct(first["domain"].alias("domain"), first["topic"].alias("topic"), T.half_even(-first["less"] / total, 3).alias("topic_confidence"), others.alias("secondary_topics"))
+        return F.when(F.size(r) == 0, none).otherwise(some)
+
+    ranked = F.array_sort(F.transform(topic_array(heading, body, topics), lambda s: F.struct((-s["score"]).alias("less"), s["ord"].alias("ord"), s["topic"].alias("topic"), s["domain"].alias("domain"))))
+    return sections.select(*keys, F.inline(F.array(T.bind(ranked, judged))))
 
 
 def retrieval_query(topic_label: Column, query_terms: Column, heading: Column | str, body: Column | str, most: int = 120) -> Column:

@@ -11,7 +11,7 @@ from ..operators import findings, rules, scoring, sections
 def typed_sections(docs: DataFrame) -> DataFrame:
     """Sections with their domain and topics."""
     split = sections.split_sections(docs)
-    return split.join(sections.classify(split, ["doc_id", "index"], "heading", "body"), ["doc_id", "index"])
+    return sections.classify(split, split.columns, "heading", "body")
 
 
 def review(docs: DataFrame) -> DataFrame:
