@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+import itertools
+import math
+import random
+
+import numpy as np
+import pytest
+
+from quarrylens.llm import language, licences, secrets
+from quarrylens.llm.vocabularies import vocabulary
+
+from .fixtures import frame, odd_texts, rows_of
+
+WORDS = vocabulary("byte_bpe_50k.json")
+PIECES = vocabulary("piece_bpe_32k.model")
+
+
+def test_forward_sums_over_all_segmentations():
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "aba"]
+    chances = np.array([[0.1, 0.2], [0.3, 0.1], [0.2, 0.2], [0.1, 0.1], [0.1, 0.1], [0.1, 0.2], [0.1, 0.1]])
+    index = {p: i for i, p in enumerate(pieces)}
+    for word in ("a", "ab", "abab", "ababa", "abq"):
+        marked, want = "▁" + word, np.zeros(2)
+        for cuts in itertools.product((0, 1), repeat=len(marked) - 1):
+            parts, held = [], marked[0]
+            for c, cut in zip(marked[1:], cuts, strict=True):
+                parts, held = ([*parts, held], c) if cut else (parts, held + c)
+            rows = [chances[index[p]] if p in index else np.full(2, language.UNSEEN if len(p) == 1 else 0.0) for p in [*parts, held]]
+            want += np.prod(rows, axis=0)
+        got = language.word_scores([word], index, language.with_unseen(chances))[0]
+        assert np.allclose(got, np.log(want))
+
+
+def test_languages_of_held_out_documents(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    known = {r["doc_id"]: r["lang"] for r in docs.collect()}
+    found = language.identify(docs, PIECES).collect()
+    assert len(found) == len(known)
+    judged = [(known[r["doc_id"]], r["lang_pred"]) for r in found if r["held_out"] and known[r["doc_id"]] and r["lang_pred"] != "und"]
+    assert sum(a == b for a, b in judged) >= 0.9 * len(judged) > 0
+    assert all(0 <= r["score"] <= 1 for r in found)
+
+
+def test_languages_of_odd_texts(spark):
+    rows = [*odd_texts(), (40, "12 34 !!"), (41, "é" * 3_000)]
+    found = language.identify(frame(spark, rows, clashing=True), PIECES)
+    assert found.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    out = found.collect()
+    assert len(out) == len(rows)
+    und = [r["doc_id"] for r in out if r["lang_pred"] == "und"]
+    assert sorted(und) == [3, 4, 5, 15, 40]
+    assert all(math.isfinite(r["score"]) for r in out)
+
+
+def test_language_with_nothing_to_learn(spark):
+    assert language.identify(frame(spark, []), PIECES).collect() == []
+    unlabelled = language.identify(frame(spark, [(2, "some words")]), PIECES).first()
+    assert (unlabelled["lang_pred"], unlabelled["score"]) == ("und", 0.0)
+
+
+def test_forest_tells_findings_it_has_not_seen():
+    forest = secrets.train(secrets.labelled_examples(), WORDS)
+    new = secrets.labelled_examples(600, seed=99)
+    words = secrets.dictionary(WORDS)
+    scores = forest.predict(np.array([secrets.features(f.value, f.before, f.after, f.path, words) for f in new]))
+    assert np.mean((scores >= 0.5) == np.array([f.secret for f in new])) >= 0.9
+
+
+def planted(seed=8):
+    rng = random.Random(seed)
+    prose = lambda: " ".join(rng.choice("river stone light winter garden letter morning quiet".split()) for _ in range(40))
+    key = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=16))
+    token = "".join(rng.choices("0123456789abcdef", k=32))
+    return prose, key, token
+
+
+def test_planted_secrets_are_found_and_hidden_and_prose_stays(spark):
+    prose, key, token = planted()
+    clean = prose()
+    docs = frame(spark, [(1, f"{prose()} key {key} {prose()}"), (2, f"{prose()} token = {token}"), (3, clean), (4, None), (5, ""), (6, f"see commit {token[::-1]}ab12cd34 in {prose()}")], clashing=True)
+    found = {(r["doc_id"], r["is_secret"]) for r in secrets.scan_secrets(docs, WORDS).collect()}
+    assert {(1, True), (2, True)} <= found and not {(3, True), (6, True)} & found
+    hidden = secrets.hide_secrets(docs, WORDS)
+    assert hidden.columns == docs.columns
+    texts = {r["doc_id"]: r for r in hidden.collect()}
+    assert key not in texts[1]["text"] and token not in texts[2]["text"] and texts[3]["text"] == clean and texts[4]["text"] is None
+    assert all(r["text"] is None or r["n_chars"] == len(r["text"]) for r in texts.values())
+
+
+def test_secrets_take_odd_texts_and_labelled_rows(spark):
+    docs = frame(spark, odd_texts())
+    assert secrets.hide_secrets(docs, WORDS).count() == docs.count()
+    assert secrets.scan_secrets(frame(spark, []), WORDS).collect() == []
+    labelled = spark.createDataFrame([(f.value, f.before, f.after, f.path, f.secret) for f in secrets.labelled_examples(400)], "value string, before string, after string, path string, secret boolean")
+    _, key, _ = planted()
+    assert [r["is_secret"] for r in secrets.scan_secrets(frame(spark, [(1, f"key {key} here")]), WORDS, labelled=labelled).collect()] == [True]
+
+
+MIT = ("mit-title-the", "mit-grant", "mit-condition", "as-is-short")
+
+
+@pytest.mark.parametrize(("names", "want"), [(MIT, ["MIT"]), (("bsd-grant", "bsd-source", "bsd-binary"), ["BSD-2-Clause"]), (("bsd-grant", "bsd-source", "bsd-binary", "bsd-names"), ["BSD-3-Clause"]), (("bsd-binary", "bsd-grant"), []), (("gpl-free", "gpl-hope", "apache-notice"), ["Apache-2.0", "GPL-3.0-or-later"])])
+def test_sequences_of_sentences_make_licences(spark, names, want):
+    text = ".\n\n".join(licences.SENTENCES[n].upper() for n in names) + "."
+    found = licences.scan_licences(frame(spark, [(1, f"Some words first.\n{text} And some after.")], clashing=True)).collect()
+    assert [(list(r["sentence_ids"]), sorted(r["licences"])) for r in found] == [(list(names), sorted(want))]
+
+
+def test_licences_of_odd_texts_match_a_plain_loop(spark):
+    import re
+
+    rows = [*odd_texts(), (50, "Released under the MIT License."), (51, "a line\nReleased under the MIT license\nanother"), (51, "a line\nReleased under the MIT license\nanother")]
+    known, want = {s: k for k, s in licences.SENTENCES.items()}, []
+    normal = lambda s: re.sub(r"[\W_]+", " ", s.lower()).strip()
+    for i, t in rows:
+        ids = []
+        for s in re.split(licences.ENDS, t or ""):
+            ids += [known[normal(s)]] if normal(s) in known else [known[normal(x)] for x in s.split("\n") if normal(x) in known]
+        if ids:
+            want.append((i, ids))
+    assert sorted(((r["doc_id"], list(r["sentence_ids"])) for r in licences.scan_licences(frame(spark, rows)).collect()), key=repr) == sorted(want, key=repr)
+    assert licences.scan_licences(frame(spark, [])).collect() == []
+    assert rows_of(licences.scan_licences(frame(spark, odd_texts()))) == []
