@@ -198,8 +198,8 @@ def runs(quote: Column | str, n: int = 6) -> Column:
 
 
 def grounded(quote: Column | str, document: Column | str, n: int = 6) -> Column:
-    """Whether some run of ``n`` words of the quote stands in the document."""
-    return bind(words_only(document), lambda doc: F.exists(runs(quote, n), lambda r: F.contains(doc, r)))
+    """Whether some run of ``n`` words of the quote stands in the document, which is looked into only if there is a run."""
+    return bind(runs(quote, n), lambda asked: (F.size(asked) > 0) & bind(words_only(document), lambda doc: F.exists(asked, lambda r: F.contains(doc, r))))
 
 
 def quote_in_document(quote: Column | str, document: Column | str, least: int = 4) -> Column:

@@ -6,12 +6,13 @@ empty strings and arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
 
@@ -77,29 +78,32 @@ def dedupe(findings: DataFrame) -> DataFrame:
 def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], tokens: str, threshold: float, may_join: Callable[[dict, dict], bool] | None = None, least: int = 1) -> DataFrame:
     """Each row's group head by a greedy pass: a row joins the first head with a Jaccard similarity of ``threshold``.
 
-    ``keys`` block the comparison (a document's domain, say), so that a pass holds one block. Adds ``head`` (the
-    head's place in its block) and ``place``.
+    ``keys`` block the comparison (a document's domain, say). Adds ``head`` (the head's place in its block) and
+    ``place``. Blocks come sorted one after the other, so a task holds the heads of one block and never its rows.
     """
-    columns = rows.schema.simpleString().removeprefix("struct<").removesuffix(">")
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(order, kind="stable", ignore_index=True)
-        heads: list[tuple[int, frozenset]] = []
-        found = []
-        records = block.to_dict("records") if may_join else None
-        for i, own in enumerate(map(frozenset, block[tokens])):
-            join = None
-            if len(own) >= least:
-                for h, other in heads:
-                    if len(other) >= least and (not may_join or may_join(records[h], records[i])) and len(own & other) >= threshold * len(own | other):
-                        join = h
-                        break
-            if join is None:
-                heads.append((i, own))
-            found.append(i if join is None else join)
-        return block.assign(place=range(len(block)), head=found)
-
-    return rows.groupBy(*keys).applyInPandas(run, f"{columns.replace(',', ', ')}, place bigint, head bigint")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: tuple | None = None
+        at, heads = 0, []
+        for batch in batches:
+            own_keys = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            records = batch.to_pylist() if may_join else [None] * batch.num_rows
+            places, found = [], []
+            for key, words, record in zip(own_keys, batch.column(tokens).to_pylist(), records, strict=True):
+                if key != block:
+                    block, at, heads = key, 0, []
+                own, join = frozenset(words), None
+                if len(own) >= least:
+                    join = next((h for h, other, head in heads if len(own & other) >= threshold * len(own | other) and (not may_join or may_join(head, record))), None)
+                    if join is None:
+                        heads.append((at, own, record))
+                places.append(at)
+                found.append(at if join is None else join)
+                at += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(found, pa.int64())], [*batch.schema.names, "place", "head"])
+
+    schema = StructType([*rows.schema.fields, StructField("place", LongType()), StructField("head", LongType())])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def merge_duplicates(findings: DataFrame, threshold: float = 0.4) -> DataFrame:

@@ -27,7 +27,7 @@ def suppressor(rule: Rule) -> str:
     if not rule.suppressors:
         return ANY
     body = f"(?>{_either(rule.suppressors)})"
-    return f"(?<!{LEFT}){body}(?!{RIGHT})" if rule.guard else body
+    return f"(?={body})(?<!{LEFT}){body}(?!{RIGHT})" if rule.guard else body  # looks back only where there is something
 
 
 def rule_frame(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:

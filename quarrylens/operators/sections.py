@@ -25,7 +25,9 @@ def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A heading is a line with one to six ``#``, one underlined by ``=`` or ``-``, or a numbered one. Sections of
     fewer than eight words go; long ones are cut between paragraphs. A text without headings is one section.
+    Texts are dealt by document once, before they are cut into lines; all windows and groups stay in that dealing.
     """
+    docs = docs.select(id_col, text_col).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
     lines = docs.select(id_col, F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
     by_doc = Window.partitionBy(id_col).orderBy("pos")
     bare = F.trim(F.col("line"))
@@ -48,11 +50,11 @@ def split_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = blocks.select(id_col, "block", F.coalesce("heading", F.when(any_heading, PREAMBLE).otherwise(UNTITLED)).alias("heading"), F.coalesce("level", F.lit(1)).alias("level"), "body")
     kept = named.where(T.word_count("body") >= LEAST_WORDS)
     parts = kept.select(id_col, "block", "level", F.posexplode(oversize_parts(F.col("heading"), F.col("body"))).alias("part", "p"))
-    found = parts.select(id_col, F.struct("block", "part").alias("at"), F.col("p.heading").alias("heading"), F.col("p.body").alias("body"), "level")
+    index = F.row_number().over(Window.partitionBy(id_col).orderBy("block", "part")) - 1
+    found = parts.select(id_col, index.alias("index"), F.col("p.heading").alias("heading"), F.col("p.body").alias("body"), "level")
     whole = docs.where(F.trim(T.text(text_col)) != "").join(kept.select(id_col).distinct(), id_col, "left_anti")
-    alone = whole.select(id_col, F.struct(F.lit(0).cast("bigint").alias("block"), F.lit(0).alias("part")).alias("at"), F.lit(UNTITLED).alias("heading"), F.regexp_replace(T.text(text_col), r"^\s+|\s+$", "").alias("body"), F.lit(1).alias("level"))
-    index = F.row_number().over(Window.partitionBy(id_col).orderBy("at")) - 1
-    return found.unionByName(alone).select(id_col, index.alias("index"), "heading", "body", "level")
+    alone = whole.select(id_col, F.lit(0).alias("index"), F.lit(UNTITLED).alias("heading"), F.regexp_replace(T.text(text_col), r"^\s+|\s+$", "").alias("body"), F.lit(1).alias("level"))
+    return found.unionByName(alone)
 
 
 def oversize_parts(heading: Column, body: Column, most: int = MOST_WORDS) -> Column:
@@ -154,7 +156,7 @@ def classify(sections: DataFrame, keys: Sequence[str], heading: Column | str, bo
         return F.when(F.size(r) == 0, none).otherwise(some)
 
     ranked = F.array_sort(F.transform(topic_array(heading, body, topics), lambda s: F.struct((-s["score"]).alias("less"), s["ord"].alias("ord"), s["topic"].alias("topic"), s["domain"].alias("domain"))))
-    return sections.select(*keys, F.inline(F.array(T.bind(ranked, judged))))
+    return sections.select(*keys, T.bind(ranked, judged).alias("_judged")).select(*keys, "_judged.*")
 
 
 def retrieval_query(topic_label: Column, query_terms: Column, heading: Column | str, body: Column | str, most: int = 120) -> Column:
