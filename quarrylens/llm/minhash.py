@@ -24,6 +24,8 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, LONGEST, RECALL = 40, 12, 0.99999
 #: Different texts in a block, and shingles.
 BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Bits of the map of wanted keys (8 MB when broadcast, whatever the corpus), and of one of its rows.
+MAP_BITS, MAP_ROW = 1 << 26, 1 << 15
 
 
 def prefix_depth(trees: int = TREES, longest: int = LONGEST, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
@@ -147,6 +149,19 @@ def roots(links: np.ndarray) -> np.ndarray:
         label = near
 
 
+def likely_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``key`` ``wanted`` has, and a few others, found by a map of bits of a fixed size.
+
+    It keeps texts that no one asks for out of the shuffle; a join must follow. With more keys than bits the map fills
+    up and lets most rows pass, but never loses one.
+    """
+    bit = F.pmod("key", F.lit(MAP_BITS))
+    row, place = F.floor(bit / MAP_ROW).cast("int"), F.pmod(bit, F.lit(MAP_ROW))
+    bits = wanted.select(row.alias("map_row"), place.alias("place")).groupBy("map_row").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(bits), (row == F.col("map_row")) & (F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")) == 1)).select(*rows.columns)
+
+
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
     """One row a document: ``copy_of`` (the smallest id with the same shingles), ``n_copies``, ``n_links`` (different
     texts with a similarity of at least the threshold) and ``class_id`` (the smallest id reached over links and copies).
@@ -170,7 +185,7 @@ def _classes(rows: DataFrame, words: int, threshold: float, trees: int, recall:
     members = staged(members.select("set", "key", "gathered", "n", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")))
     total = members.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
 
-    dealt = rows.select("key", "text").join(members, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = likely_in(rows.select("key", "text"), members).join(members, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("set", "text", "gathered", "block", "blocks", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     shards = max(1, -(-total * 8 // (8 << 20)))
     dealt = dealt.repartition(int(shards), "gathered", "p", "q")

@@ -97,3 +97,13 @@ def test_components_match_brute_force(spark):
 def test_similar_empty_tables(spark):
     assert minhash.similar_groups(frame(spark, [])).collect() == []
     assert minhash.drop_near_copies(frame(spark, [])).where(F.lit(True)).collect() == []
+
+
+@pytest.mark.parametrize("bits", [minhash.MAP_BITS, 1 << 16])
+def test_the_map_of_keys_loses_none(spark, monkeypatch, bits):
+    monkeypatch.setattr(minhash, "MAP_BITS", bits)
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("key"), F.col("id").cast("string").alias("text"))
+    wanted = rows.where("cast(text as int) % 40 = 0").select("key")
+    passed = {r.key for r in minhash.likely_in(rows, wanted).collect()}
+    assert {r.key for r in wanted.collect()} <= passed
+    assert len(passed) < 1_500
