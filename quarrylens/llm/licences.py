@@ -68,16 +68,25 @@ RULES = (
 )
 #: Where a sentence ends: before white space, after a stop, or at the end of a line that is followed by an empty one.
 ENDS = r"[.!?:;]+(?:\s+|$)|\n\s*\n"
+#: Marks that end no sentence: in known sentences, between these words, the licences' own text has one.
+INNER = (("free software", "you can redistribute"), ("software foundation", "either version"), ("without any warranty", "without even the implied"), ("public license v", "2 0"))
+#: What separates words, and what stands between the words of ``INNER``.
+GAP = r"[^\p{L}\p{N}]++"
+MARKS = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(f"{a}(?={GAP}{b}(?![\\p{{L}}\\p{{N}}]))".replace(" ", GAP) for a, b in INNER) + f"){GAP}"
+#: Lines without a letter or digit, as between the paragraphs of a notice in a comment, are empty lines.
+RULED = r"\n[^\p{L}\p{N}\n]++(?=\n)"
 
 
 def identifiers(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order.
 
-    A sentence is also looked for line by line, where lines are sentences of their own.
+    A sentence is also looked for line by line, where lines are sentences of their own. Marks inside known sentences
+    (``INNER``) end none.
     """
     known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, k)])
     normal = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
-    ids = F.transform(F.split(text, ENDS), lambda s: F.when(known[normal(s)].isNotNull(), F.array(known[normal(s)])).otherwise(F.array_compact(F.transform(F.split(s, r"\n"), lambda line: known[normal(line)]))))
+    whole = F.regexp_replace(F.regexp_replace(text, RULED, "\n"), MARKS, "$1 ")
+    ids = F.transform(F.split(whole, ENDS), lambda s: F.when(known[normal(s)].isNotNull(), F.array(known[normal(s)])).otherwise(F.array_compact(F.transform(F.split(s, r"\n"), lambda line: known[normal(line)]))))
     return F.flatten(ids)
 
 

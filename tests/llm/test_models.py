@@ -122,3 +122,34 @@ def test_licences_of_odd_texts_match_a_plain_loop(spark):
     assert sorted(((r["doc_id"], list(r["sentence_ids"])) for r in licences.scan_licences(frame(spark, rows)).collect()), key=repr) == sorted(want, key=repr)
     assert licences.scan_licences(frame(spark, [])).collect() == []
     assert rows_of(licences.scan_licences(frame(spark, odd_texts()))) == []
+
+
+GPL = """    <one line to give the program's name and a brief idea of what it does.>
+    Copyright (C) <year>  <name of author>
+
+    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1} either version {2} of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+PUBLISHED = {
+    "GPL-3.0-or-later": (GPL.format(":", ",", 3), ["gpl-free", "gpl-hope", "gpl-details"]),
+    "GPL-2.0-or-later": (GPL.format(";", ";", 2), ["gpl2-free", "gpl-hope", "gpl-details"]),
+    "MPL-2.0": (MPL, ["mpl-notice"]),
+}
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# "])
+def test_published_notices_with_marks_and_line_breaks_make_licences(spark, mark):
+    rows = [(i, "".join(f"{mark}{line}\n" for line in text.split("\n"))) for i, (text, _) in enumerate(PUBLISHED.values())]
+    found = {r["doc_id"]: (list(r["sentence_ids"]), list(r["licences"])) for r in licences.scan_licences(frame(spark, rows)).collect()}
+    assert found == {i: (ids, [licence]) for i, (licence, (_, ids)) in enumerate(PUBLISHED.items())}
