@@ -26,7 +26,7 @@ from .common import map_batches
 from .forest import Forest
 
 #: A value that something assigns, or a long run of the characters that keys are made of with a digit in it.
-ASSIGNED = re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?["']?\s{0,3}(?::=|[=:])\s{0,3}["']?([^\s"'<>|]{6,512})""")
+ASSIGNED = re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?["']?\s{0,3}(?::=|[=:])\s{0,3}["']?([^\s"'<>|]{6,})""")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 BEFORE, AFTER = 60, 30
 HIDDEN = "[SECRET]"
@@ -156,15 +156,24 @@ def train(findings: list[Finding], vocabulary: str) -> Forest:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Begin and end (in code points) of what may be a secret, in order, none inside another."""
-    spans = {m.span(1) for m in ASSIGNED.finditer(text)}
-    spans |= {m.span() for m in RUN.finditer(text)}
-    out: list[tuple[int, int]] = []
-    for b, e in sorted(spans, key=lambda s: (s[0], -s[1])):
-        value = text[b:e].rstrip(".,;)!?=\\")
-        if len(value) >= 6 and (not out or b >= out[-1][1]):
-            out.append((b, b + len(value)))
-    return out
+    """Begin and end (in code points) of what may be a secret, in order, none inside another.
+
+    An assigned value is one candidate, with all runs that meet it. A run that begins before it, at the name or
+    earlier, gives up the name and the sign; what stands before the name is a run if it is long enough.
+    """
+    tail = lambda b, e: b + len(text[b:e].rstrip(".,;)!?=\\"))
+    named = [(m.start(), *m.span(1)) for m in ASSIGNED.finditer(text) if tail(*m.span(1)) - m.start(1) >= 6]
+    spans, at = [(b, e) for _, b, e in named], 0
+    for m in RUN.finditer(text):
+        b, e = m.span()
+        while at < len(named) and named[at][2] <= b:
+            at += 1
+        if at < len(named) and named[at][1] < e:
+            e = min(e, named[at][0])
+            if e - b < 16:
+                continue
+        spans.append((b, e))
+    return [(b, tail(b, e)) for b, e in sorted(spans) if tail(b, e) - b >= 6]
 
 
 def found_in(texts: list[str | None], paths: list[str | None], forest: Forest, words: frozenset[str]) -> list[list[tuple[int, int, float]]]:

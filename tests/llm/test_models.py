@@ -97,6 +97,21 @@ def test_secrets_take_odd_texts_and_labelled_rows(spark):
     assert [r["is_secret"] for r in secrets.scan_secrets(frame(spark, [(1, f"key {key} here")]), WORDS, labelled=labelled).collect()] == [True]
 
 
+def test_assigned_values_are_hidden_to_their_end(spark):
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", k=n))
+    jwt = f"eyJhbGciOiJIUzI1NiJ9.{part(1_060)}.{part(43)}"
+    run = "deadbeef0123456789ab/"
+    values = ["Tr0ub4dor-x9$kd!2", jwt]
+    texts = [f"see password={values[0]} here", f"token = {jwt} here", f"token={jwt} here"]
+    for text, value in zip(texts, [*values, jwt], strict=True):
+        assert [text[b:e] for b, e in secrets.candidates(text)] == [value]
+    glued = f"{run}password={values[0]}"
+    assert [glued[b:e] for b, e in secrets.candidates(glued)] == [run, values[0]]
+    hidden = secrets.hide_secrets(frame(spark, list(enumerate(texts))), WORDS).orderBy("doc_id").collect()
+    assert [r["text"] for r in hidden] == [f"see password={secrets.HIDDEN} here", f"token = {secrets.HIDDEN} here", f"token={secrets.HIDDEN} here"]
+
+
 MIT = ("mit-title-the", "mit-grant", "mit-condition", "as-is-short")
 
 
