@@ -2,7 +2,8 @@
 
 Each language has a probability for every piece. A word's probability is the sum over all its segmentations into
 pieces, by the forward algorithm; a text's is the product over its words. Probabilities are fitted by expectation
-maximisation on a bounded sample of labelled texts. Words are runs of letters in lower case.
+maximisation on a sample of labelled texts that is bounded for each language and leaves none out. Words are runs of
+letters in lower case.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import map_batches
 
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-#: Labelled texts to learn from, about; rounds of fitting; the longest piece and the longest word that is fitted.
-SAMPLE_ROWS, ROUNDS, PIECE, FITTED_WORD = 2_000, 2, 8, 40
+#: Labelled texts to learn from, about; those of a rare language, about (all where it has fewer); rounds of fitting.
+SAMPLE_ROWS, LANGUAGE_ROWS, ROUNDS = 2_000, 200, 2
 #: The probability of a character that no piece has, in any language, and pieces' added counts.
 UNSEEN, ADDED = 1e-7, 0.05
 #: Scores of words kept by a worker.
@@ -30,29 +31,35 @@ REMEMBERED = 400_000
 
 
 def pieces_of(model_file: str) -> list[str]:
-    """The vocabulary's pieces of letters, in lower case, no longer than ``PIECE``."""
+    """The vocabulary's pieces of letters, in lower case."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in found if len(p) <= PIECE and p.removeprefix(START) and LETTERS.fullmatch(p.removeprefix(START)))
+    return sorted(p for p in found if p.removeprefix(START) and LETTERS.fullmatch(p.removeprefix(START)))
+
+
+def longest(index: dict[str, int]) -> int:
+    return max(map(len, index), default=1)
 
 
 class Lattice:
     """Words of one length: which piece, if any, ends at each place with each length (-1: none; -2: unseen character)."""
 
-    def __init__(self, words: list[str], index: dict[str, int]):
+    def __init__(self, words: list[str], index: dict[str, int], most: int):
         self.n = len(words[0]) + 1
-        self.ids = np.full((len(words), self.n + 1, PIECE + 1), -1, np.int32)
+        self.ids = np.full((len(words), self.n + 1, most + 1), -1, np.int32)
         for row, word in zip(self.ids, words, strict=True):
             marked = START + word
             for end in range(1, self.n + 1):
-                for length in range(1, min(PIECE, end) + 1):
+                for length in range(1, min(most, end) + 1):
                     k = index.get(marked[end - length : end])
                     if k is not None:
                         row[end, length] = k
                 if row[end, 1] < 0:
                     row[end, 1] = -2
+        #: The lengths, at each place, that any word has a piece of.
+        self.lengths = [np.flatnonzero(there).tolist() for there in (self.ids != -1).any(axis=0)]
 
     def chances(self, table: np.ndarray, end: int, length: int) -> np.ndarray:
         """table: pieces by languages, with two last rows for unseen characters and for no piece."""
@@ -61,21 +68,21 @@ class Lattice:
 
 def word_scores(words: list[str], index: dict[str, int], table: np.ndarray) -> np.ndarray:
     """The log probability of each word in each language, over all segmentations."""
-    out = np.empty((len(words), table.shape[1]))
+    out, most = np.empty((len(words), table.shape[1])), longest(index)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
     for rows in by_length.values():
         for at in range(0, len(rows), 20_000):
             some = rows[at : at + 20_000]
-            lattice = Lattice([words[i] for i in some], index)
+            lattice = Lattice([words[i] for i in some], index, most)
             last = [np.ones((len(some), table.shape[1]))]  # forward sums of the last places, scaled together
             scale = np.zeros((len(some), 1))
             for end in range(1, lattice.n + 1):
-                total = sum(last[-length] * lattice.chances(table, end, length) for length in range(1, min(PIECE, end) + 1))
+                total = sum(last[-length] * lattice.chances(table, end, length) for length in lattice.lengths[end])
                 top = total.max(axis=1, keepdims=True)
                 scale += np.log(top)
-                last = [x / top for x in [*last[-PIECE + 1 :], total]]
+                last = [x / top for x in [*last[max(0, len(last) - most + 1) :], total]]
             out[some] = np.log(np.maximum(last[-1], 1e-300)) + scale
     return out
 
@@ -88,34 +95,34 @@ def with_unseen(chances: np.ndarray) -> np.ndarray:
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and the probability of every piece in each, from word counts by language."""
     index, languages = {p: i for i, p in enumerate(pieces)}, sorted(counts)
-    table = np.zeros((len(pieces), len(languages)))
+    table, most = np.zeros((len(pieces), len(languages))), longest(index)
     for k, lang in enumerate(languages):
         by_length: dict[int, list[str]] = {}
         for w in counts[lang]:
-            if len(w) <= FITTED_WORD:
-                by_length.setdefault(len(w), []).append(w)
-        lattices = [(Lattice(ws[a : a + 20_000], index), np.array([counts[lang][w] for w in ws[a : a + 20_000]], float)) for ws in by_length.values() for a in range(0, len(ws), 20_000)]
+            by_length.setdefault(len(w), []).append(w)
+        lattices = [(Lattice(ws[a : a + 20_000], index, most), np.array([counts[lang][w] for w in ws[a : a + 20_000]], float)) for ws in by_length.values() for a in range(0, len(ws), 20_000)]
         p = np.full(len(pieces), ADDED)
         for lattice, weight in lattices:  # at first every piece that occurs counts
             for end in range(1, lattice.n + 1):
-                for length in range(1, min(PIECE, end) + 1):
+                for length in lattice.lengths[end]:
                     ids = lattice.ids[:, end, length]
                     p += np.bincount(ids[ids >= 0], weight[ids >= 0], len(pieces))
         for _ in range(rounds):
-            chances = with_unseen((p / p.sum())[:, None])
+            with np.errstate(divide="ignore"):
+                logs = np.log(with_unseen((p / p.sum())[:, None]))  # long words' products have no place in a float
             p = np.full(len(pieces), ADDED)
             for lattice, weight in lattices:
-                step = {(e, n): lattice.chances(chances, e, n)[:, 0] for e in range(1, lattice.n + 1) for n in range(1, min(PIECE, e) + 1)}
-                ahead = [np.ones(len(weight))]
+                ahead = [np.zeros(len(weight))]
                 for end in range(1, lattice.n + 1):
-                    ahead.append(sum(ahead[end - n] * step[end, n] for n in range(1, min(PIECE, end) + 1)))
-                back = [np.zeros(len(weight)) for _ in range(lattice.n)] + [np.ones(len(weight))]
-                for begin in range(lattice.n - 1, -1, -1):
-                    back[begin] = sum(step[begin + n, n] * back[begin + n] for n in range(1, min(PIECE, lattice.n - begin) + 1))
-                for (end, n), chance in step.items():
-                    ids = lattice.ids[:, end, n]
-                    there = ids >= 0
-                    p += np.bincount(ids[there], (weight * ahead[end - n] * chance * back[end] / np.maximum(ahead[-1], 1e-300))[there], len(pieces))
+                    ahead.append(np.logaddexp.reduce([ahead[end - n] + lattice.chances(logs, end, n)[:, 0] for n in lattice.lengths[end]]))
+                back = [np.full(len(weight), -np.inf) for _ in range(lattice.n)] + [np.zeros(len(weight))]
+                for end in range(lattice.n, 0, -1):
+                    for n in lattice.lengths[end]:
+                        step = lattice.chances(logs, end, n)[:, 0] + back[end]
+                        back[end - n] = np.logaddexp(back[end - n], step)
+                        ids = lattice.ids[:, end, n]
+                        there = ids >= 0
+                        np.add.at(p, ids[there], (weight * np.exp(ahead[end - n] + step - ahead[-1]))[there])
         table[:, k] = p / p.sum()
     return languages, table
 
@@ -126,10 +133,15 @@ def held_out(id_col: str) -> Column:
 
 
 def learned(docs: DataFrame, pieces: list[str], *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Fit on about ``sample_rows`` labelled rows that are not held out, chosen by a hash of their ids."""
+    """Fit on about ``sample_rows`` labelled rows that are not held out, chosen by a hash of their ids, and more of
+    languages that would have less than about ``LANGUAGE_ROWS`` of them: all their rows, if there are fewer."""
     labelled = docs.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    share = sample_rows / max(1, labelled.count())
-    some = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select(text_col, lang_col)
+    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).agg(F.count(F.lit(1))).collect()}  # one row a language
+    if not sizes:
+        return fit({}, pieces)
+    shares = {lang: min(1, max(sample_rows / sum(sizes.values()), LANGUAGE_ROWS / n)) for lang, n in sizes.items()}
+    bars = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, math.ceil(share * (1 << 20)))])
+    some = labelled.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < bars[F.col(lang_col)]).select(text_col, lang_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()

@@ -53,6 +53,41 @@ def test_languages_of_odd_texts(spark):
     assert all(math.isfinite(r["score"]) for r in out)
 
 
+def test_a_rare_language_is_learned(spark):
+    rows = [(i, "the river and the winter garden", "aa", "src", 0) for i in range(3_000)] + [(i, "der fluss und der garten im winter", "bb", "src", 0) for i in range(3_000, 3_004)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    languages, _ = language.learned(docs, language.pieces_of(PIECES), sample_rows=30)
+    assert languages == ["aa", "bb"]
+
+
+def test_all_pieces_of_the_vocabulary_and_words_of_any_length_are_learned():
+    pieces = language.pieces_of(PIECES)
+    assert len(pieces) == 23_959 and max(map(len, pieces)) == 16
+    small = ["a", "b", "ab", "▁"]
+    long, short = (language.fit({"xx": {w: 1}}, small)[1][:, 0] for w in ("ab" * 2_000, "ab"))
+    assert long[2] > 0.5 and np.isfinite(long).all() and long[2] > short[2]
+
+
+def test_fitting_counts_all_segmentations():
+    """A round of expectation maximisation against the enumeration of segmentations."""
+    pieces, counts = ["a", "ab", "b", "ba", "▁", "▁a"], {"abab": 3, "ba": 2}
+    segmented = {}
+    for word in counts:
+        marked = "▁" + word
+        every = [[marked[i:j] for i, j in itertools.pairwise([0, *[k for k in range(1, len(marked)) if cuts >> k & 1], len(marked)])] for cuts in range(0, 1 << len(marked), 2)]
+        segmented[word] = [s for s in every if all(p in pieces for p in s)]
+    first = {p: language.ADDED + sum(c for w, c in counts.items() for i in range(len(w) + 1) if ("▁" + w).startswith(p, i)) for p in pieces}
+    chance = {p: v / sum(first.values()) for p, v in first.items()}
+    want = dict.fromkeys(pieces, language.ADDED)
+    for word, c in counts.items():
+        worth = [math.prod(chance[p] for p in s) for s in segmented[word]]
+        for s, x in zip(segmented[word], worth, strict=True):
+            for p in s:
+                want[p] += c * x / sum(worth)
+    got = language.fit({"xx": counts}, pieces, rounds=1)[1][:, 0]
+    assert np.allclose(got, np.array([want[p] for p in pieces]) / sum(want.values()))
+
+
 def test_language_with_nothing_to_learn(spark):
     assert language.identify(frame(spark, []), PIECES).collect() == []
     unlabelled = language.identify(frame(spark, [(2, "some words")]), PIECES).first()
