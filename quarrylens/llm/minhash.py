@@ -1,9 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by MinHash in fixed bands, with exact verification.
 
-Each tree of the forest keeps documents sorted by a label of MinHash values; documents that share a prefix of some
-label are candidates. Prefixes are shortened from the whole label on until the chance to miss a pair at the
-threshold falls below what is allowed. Candidates gather in groups; every pair of different texts inside a group is
-verified on the shingles themselves, block against block, so no list of pairs is ever written.
+A document has one label, of the first values of a MinHash, in each of ``TREES`` bands; documents that share a label
+are candidates. No forest of sorted prefixes is built: the threshold is the same for all texts, so one depth, the
+longest at which the chance to miss a pair at the threshold is as low as is allowed, serves every band. Candidates
+gather in groups; every pair of different texts inside a group is verified on the shingles themselves, block against
+block, so no list of pairs is ever written.
 """
 
 from __future__ import annotations
