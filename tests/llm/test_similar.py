@@ -76,10 +76,55 @@ def test_one_document_of_each_class_stays(spark):
     assert {i for i in got if i is not None} == classes and len(got) == len({(r[4], r[1]) for r in similar_by_force(rows) if r[1] == r[4]})
 
 
-def test_prefixes_shorten_until_the_recall_is_met():
-    depth = minhash.prefix_depth()
-    assert 1 - (1 - 0.8**depth) ** minhash.TREES >= minhash.RECALL
-    assert depth == minhash.LONGEST or 1 - (1 - 0.8 ** (depth + 1)) ** minhash.TREES < minhash.RECALL
+def test_the_shortest_prefix_meets_the_recall():
+    depth = minhash.shortest_prefix()
+    assert minhash.chance(0.8, depth, minhash.TREES) >= minhash.RECALL
+    assert depth == 6 or minhash.chance(0.8, depth + 1, minhash.TREES) < minhash.RECALL
+
+
+def levels(monkeypatch, spark, rows, threshold=0.8):
+    """The result, and how many lengths of prefixes it took."""
+    seen, plain = [], minhash.gathered
+    monkeypatch.setattr(minhash, "gathered", lambda tries, longer: seen.append(longer) or plain(tries, longer))
+    return rows_of(minhash.similar_groups(frame(spark, rows), threshold=threshold)), seen
+
+
+def test_prefixes_are_shortened_only_while_links_are_missed(spark, monkeypatch):
+    words = [f"w{k}" for k in range(3_000)]
+    alike = [(i, " ".join([*words[:1_500], f"new{i}", *words[1_501:]])) for i in range(6)]
+    found, seen = levels(monkeypatch, spark, alike)
+    assert found == similar_by_force(alike) and seen == [6]
+    apart = near_rows(3, 60)
+    found, seen = levels(monkeypatch, spark, apart)
+    assert found == similar_by_force(apart) and seen == list(minhash.LONGER)
+
+
+def test_a_signature_holds_the_least_values_of_its_tree():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (1, 5, 300, 40_000)]
+    bounds = np.cumsum([0, *map(len, sets)])
+    heads, tails = minhash.signatures(np.concatenate(sets), bounds, 3, 2)
+    factors = minhash.mix(np.arange(1, 3 * 8 + 1, dtype=np.uint64)) | np.uint64(1)
+    for i, s in enumerate(sets):
+        for t in range(3):
+            values = [int(minhash.mix((s * factors[t * 8 + k]).min()[None])[0]) & 0xFF for k in range(8)]
+            assert int(heads[i, t]) == t << 16 | values[0] << 8 | values[1]
+            assert int(tails[i, t]) == int.from_bytes(bytes(values[2:]), "big")
+
+
+def test_sets_too_small_for_a_partner_have_no_signature(spark):
+    rows = [(10 * n + more, " ".join(f"{n}w{k}" for k in range(n + 4 + more))) for n in range(1, 8) for more in range(3)]
+    assert rows_of(minhash.similar_groups(frame(spark, rows))) == similar_by_force(rows)
+
+
+def test_stars_of_shared_leaders_have_the_same_components(spark):
+    rng = random.Random(2)
+    links = sorted({(rng.randint(50, 300), rng.randint(0, 49)) for _ in range(700)})
+    edges = spark.createDataFrame(links, "a bigint, b bigint")
+    few = graphs.nearest_stars(edges)
+    assert rows_of(graphs.connected_components(few)) == rows_of(graphs.connected_components(edges))
 
 
 def test_components_match_brute_force(spark):
