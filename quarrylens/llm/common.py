@@ -70,21 +70,6 @@ def salted(*by: Column | str, shares: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*by), F.lit(shares)).cast("int")
 
 
-def looked_up(rows: DataFrame, keys: list[str], table: DataFrame, salt: Column, shares: int = SALTS) -> DataFrame:
-    """``rows`` with the columns of ``table``, which has one row a key: an inner join in which no task holds a hot key.
-
-    ``salt`` is a function of a row. Keys go with it to at most ``shares`` distinct rows each, which fetch from
-    ``table`` what the rows then fetch from them. Nulls in keys are equal.
-    """
-    more = [c for c in table.columns if c not in keys]
-    dealt = rows.withColumn("_salt", salt)
-    held = dealt.select(*keys, "_salt").distinct()
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    back = held.alias("a").join(table.alias("b"), on=same, how="inner").select(*[f"a.{k}" for k in keys], "a._salt", *[f"b.{c}" for c in more])
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_salt"]]
-    return dealt.alias("r").join(back.alias("s"), on=same, how="inner").select(*[f"r.{c}" for c in rows.columns], *[f"s.{c}" for c in more])
-
-
 def with_group(df: DataFrame, keys: list[str], salt: Column, partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
     """``df`` with each group's aggregates, no task ever holding a group.
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .common import looked_up, map_batches, salted, staged, with_group
+from .common import map_batches, salted, staged, with_group
 from .graphs import connected_components, nearest_stars
 from .windows import U, mix, prefix_hashes, span_hashes, word_bounds, word_hashes
 
@@ -209,7 +209,7 @@ def gathered(tries: DataFrame, longer: int) -> DataFrame:
     prefix = ["head", F.shiftright("tail", 8 * (max(LONGER) - longer)).alias("rest")]
     at = tries.select("set", *prefix) if longer else tries.select("set", "head", F.lit(0).cast("bigint").alias("rest"))
     nodes = at.groupBy("head", "rest").agg(F.min("set").alias("leader"), F.max("set").alias("_most")).where("leader < _most").select("head", "rest", "leader")
-    return connected_components(nearest_stars(staged(at.join(nodes, ["head", "rest"]).where("set <> leader").select(F.col("set").alias("a"), F.col("leader").alias("b")).distinct())))
+    return connected_components(nearest_stars(at.join(nodes, ["head", "rest"]).where("set <> leader").select(F.col("set").alias("a"), F.col("leader").alias("b"))))
 
 
 def verified(rows: DataFrame, members: DataFrame, words: int, threshold: float, trees: int, depth: int) -> DataFrame:
@@ -296,7 +296,7 @@ def _classes(rows: DataFrame, words: int, threshold: float, trees: int, recall:
     sets = staged(sets.select("set", "first", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class", "set").alias("class")))
     sets = with_group(sets, ["class"], salted("set"), {"_f": F.min("first")}, {"class_first": F.min("_f")})
     sets = staged(sets.select("set", F.col("first.id").alias("copy_of"), "n_copies", "n_links", F.col("class_first.id").alias("class_id"), F.col("class_first.key").alias("class_key")))
-    return looked_up(signed.select("key", "set").distinct(), ["set"], sets, salted("key")).drop("set")
+    return signed.select("key", "set").distinct().join(sets, "set").drop("set")  # a set of many copies is split as in graphs
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL) -> DataFrame:
