@@ -1,14 +1,13 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame operations alone.
 
 A text is cut where its own content says so; every distinct chunk moves once, to verify that its identifier stands
-for it alone; what is compared are the short ordered lists of identifiers. Long texts never meet each other.
+for it alone: chunks that share a hash are told apart by a number. What is compared are the short ordered lists of
+identifiers. Long texts never meet each other.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import salted, staged, with_group
@@ -30,37 +29,58 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{LEAST},{MOST - 1}}}?[{ENDS}]|.{{1,{MOST}}}"), F.lit(0))
 
 
-def identifier(chunk: Column, seed: int) -> Column:
-    return F.xxhash64(chunk, F.lit(seed))
+def identifier(chunk: Column, bits: int = 64) -> Column:
+    """A chunk's hash, its lowest ``bits`` (fewer than 64 only where tests want chunks that share one)."""
+    full = F.xxhash64(chunk)
+    return full if bits == 64 else F.pmod(full, F.lit(1 << bits))
+
 
+def clashing(texts: DataFrame, bits: int = 64) -> DataFrame:
+    """Chunks that share their hash with another chunk, numbered among those from 0 (``hash``, ``chunk``, ``number``).
 
-def verified_seed(texts: DataFrame, chunk_col: str) -> int:
-    """The first seed under which no two distinct chunks share an identifier (the first of all, but for a 64-bit collision)."""
-    distinct = texts.select(F.explode(chunk_col).alias("chunk")).distinct()
-    for seed in count():
-        twice = distinct.groupBy(identifier(F.col("chunk"), seed).alias("id")).count().where("count > 1")
-        if twice.isEmpty():
-            return seed
+    Every distinct chunk moves once, to be held against the others of its hash: what is not in this table has a hash
+    that stands for it alone. Expected are about n * n / 2**65 rows for n distinct chunks.
+    """
+    distinct = texts.select(F.explode("_chunks").alias("chunk")).distinct().withColumn("hash", identifier(F.col("chunk"), bits))
+    several = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    number = F.row_number().over(Window.partitionBy("hash").orderBy("chunk")) - 1
+    return staged(distinct.join(several, "hash").select("hash", "chunk", number.alias("number")))
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recipes(texts: DataFrame, bits: int = 64) -> DataFrame:
+    """``texts`` with ``_recipe``, the ordered identifiers of its chunks: hash and number, which together stand for one chunk.
+
+    Only texts with a chunk whose hash is shared take part in a join.
+    """
+    plain = lambda c: F.struct(identifier(c, bits).alias("hash"), F.lit(0).alias("number"))
+    clash = clashing(texts, bits)
+    if clash.isEmpty():
+        return texts.withColumn("_recipe", F.transform("_chunks", plain)).drop("_chunks", "_row")
+    parts = texts.select("_row", F.posexplode("_chunks").alias("at", "chunk")).withColumn("hash", identifier(F.col("chunk"), bits))
+    numbered = parts.join(clash.where("number > 0"), ["hash", "chunk"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "number"))).alias("_numbers"))
+    number = lambda i: F.coalesce(F.col("_numbers")[i], F.lit(0))
+    recipe = F.transform("_chunks", lambda c, i: F.struct(identifier(c, bits).alias("hash"), number(i).alias("number")))
+    return texts.join(numbered, "_row", "left").withColumn("_recipe", recipe).drop("_chunks", "_numbers", "_row")
+
+
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = 64) -> DataFrame:
     """Each row with the row that stays of its group, the group's size and the digest of its normalised text.
 
     Of equal texts the one with the most code points stays, then the smallest id (null ids last); rows repeated with
-    their id are all ``kept`` and count in the group's size. Null texts are empty texts and equal each other.
+    their id are all ``kept`` and count in the group's size. Null texts are empty texts and equal each other. Long
+    texts are compared whole, by their recipes.
     """
-    return _groups(docs, id_col, text_col).select(id_col, "keep_id", "group_size", "kept", "text_sha256")
+    return _groups(docs, id_col, text_col, bits).select(id_col, "keep_id", "group_size", "kept", "text_sha256")
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _groups(docs: DataFrame, id_col: str, text_col: str, bits: int = 64) -> DataFrame:
     texts = docs.select(F.col(id_col), F.xxhash64(text_col).alias("_key"), F.coalesce(F.length(text_col), F.lit(0)).alias("_chars"), normalised(F.col(text_col)).alias("_text"))
     texts = texts.select(id_col, "_key", "_chars", F.sha2(F.col("_text"), 256).alias("text_sha256"), chunks(F.col("_text")).alias("_chunks"))
-    seed = verified_seed(texts, "_chunks")
-    recipes = texts.select(id_col, "_key", "_chars", "text_sha256", F.transform("_chunks", lambda c: identifier(c, seed)).alias("_recipe"))
+    texts = staged(texts.withColumn("_row", F.monotonically_increasing_id()))  # cut once; its rows keep their numbers
     best = F.struct((-F.col("_chars")).alias("less"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))
     partial = {"_best": F.min(best), "_n": F.count(F.lit(1))}
     final = {"_best": F.min("_best"), "group_size": F.sum("_n")}
-    out = with_group(staged(recipes), ["_recipe"], salted(id_col, "_chars"), partial, final)
+    out = with_group(staged(recipes(texts, bits)), ["_recipe"], salted(id_col, "_chars"), partial, final)
     keep = F.col("_best.id")
     kept = F.col(id_col).eqNullSafe(keep) & (F.col("_chars") == -F.col("_best.less"))
     return out.select(id_col, "_key", keep.alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256")

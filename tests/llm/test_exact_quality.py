@@ -33,6 +33,12 @@ def test_exact_groups_match_brute_force(spark, clashing):
     assert rows_of(exact.exact_groups(frame(spark, rows, clashing))) == exact_by_force(rows)
 
 
+@pytest.mark.parametrize("bits", [1, 6])
+def test_chunks_that_share_a_hash_are_told_apart(spark, bits):
+    rows = [*odd_texts(), *[(100 + i, f"text {i % 7} " * (300 + i % 3)) for i in range(30)]]
+    assert rows_of(exact.exact_groups(frame(spark, rows), bits=bits)) == exact_by_force(rows)
+
+
 def test_chunks_put_together_are_the_text(spark):
     rows = odd_texts()
     found = frame(spark, rows).select("text", exact.chunks(exact.normalised(F.col("text"))).alias("c")).collect()
