@@ -19,8 +19,10 @@ from .common import map_batches
 
 #: The pre-tokenizer's pattern (a fixed value of byte-level BPE), with white space by its Unicode property.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Words kept by each worker; two generations of them at most.
-REMEMBERED = 400_000
+#: Bytes of words and their ids kept by each worker; two generations of them at most, in each of two memos.
+REMEMBERED = 48 << 20
+#: What an entry takes besides, about.
+ENTRY = 160
 
 
 def byte_alphabet() -> list[str]:
@@ -36,7 +38,7 @@ class Remembered(dict):
     """A bounded memo: what was used lately stays, the generation before it is looked up once more, then dropped."""
 
     def __init__(self, make, size: int = REMEMBERED):
-        self.make, self.size, self.old = make, size, {}
+        self.make, self.size, self.old, self.held = make, size, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -46,8 +48,9 @@ class Remembered(dict):
         return value
 
     def put(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
+        self.held += len(key) + len(value) + ENTRY
+        if self.held > self.size:
+            self.old, self.held = dict(self), 0
             self.clear()
         self[key] = value
 

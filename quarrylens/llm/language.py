@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Runs of letters. Numerals such as a superscript two are word characters, but no letters.
+LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
 START = "▁"
 #: Labelled texts to learn from, about; those of a rare language, about (all where it has fewer); rounds of fitting.
 SAMPLE_ROWS, LANGUAGE_ROWS, ROUNDS = 2_000, 200, 2

@@ -37,7 +37,23 @@ SENTENCES = {
     "cc0-notice": "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide",
     "unlicense-first": "this is free and unencumbered software released into the public domain",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "lgpl3-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "lgpl21-free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl-hope": "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "agpl3-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "agpl-details": "see the gnu affero general public license for more details",
+    "epl-notice": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "boost-notice": "distributed under the boost software license version 1 0",
+    "zlib-as-is": "this software is provided as is without any express or implied warranty",
+    "zlib-grant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "bsd-style": "use of this source code is governed by a bsd style license that can be found in the license file",
+    "bsd-disclaimer": "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    "unlicense-use": "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
 }
+#: Licences that a line ``SPDX-License-Identifier: name`` may name (fixed values).
+NAMED = ("MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "MPL-2.0", "EPL-2.0", "BSL-1.0", "Zlib", "Unlicense", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0")
+SENTENCES |= {f"spdx-{n}": "spdx license identifier " + n.lower().replace("-", " ").replace(".", " ") for n in NAMED}
 #: Licences and sequences of identifiers, tried in order: a match takes its sentences from later rules.
 RULES = (
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
@@ -65,11 +81,23 @@ RULES = (
     ("CC0-1.0", ("cc0-notice",)),
     ("Unlicense", ("unlicense-first",)),
     ("MPL-2.0", ("mpl-notice",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free", "lgpl-hope", "lgpl-details")),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free", "lgpl-hope", "lgpl-details")),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free", "gpl-hope", "agpl-details")),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("EPL-2.0", ("epl-notice",)),
+    ("BSL-1.0", ("boost-notice",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Zlib", ("zlib-grant",)),
+    ("BSD-3-Clause", ("bsd-style",)),
+    *((n, (f"spdx-{n}",)) for n in NAMED),
 )
 #: Where a sentence ends: before white space, after a stop, or at the end of a line that is followed by an empty one.
 ENDS = r"[.!?:;]+(?:\s+|$)|\n\s*\n"
 #: Marks that end no sentence: in known sentences, between these words, the licences' own text has one.
-INNER = (("free software", "you can redistribute"), ("software foundation", "either version"), ("without any warranty", "without even the implied"), ("public license v", "2 0"))
+INNER = (("free software", "you can redistribute"), ("software foundation", "either version"), ("without any warranty", "without even the implied"), ("public license v", "2 0"), ("spdx license identifier", r"[\p{L}\p{N}]++"))
 #: What separates words, and what stands between the words of ``INNER``.
 GAP = r"[^\p{L}\p{N}]++"
 MARKS = "(?i)(?<![\\p{L}\\p{N}])(" + "|".join(f"{a}(?={GAP}{b}(?![\\p{{L}}\\p{{N}}]))".replace(" ", GAP) for a, b in INNER) + f"){GAP}"

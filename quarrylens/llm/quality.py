@@ -16,8 +16,10 @@ from .common import map_batches
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-#: Rows on which costs and selectivities are estimated. They set the order of the rules, never a verdict.
+#: Rows on which costs and selectivities are estimated, about. They set the order of the rules, never a verdict.
 SAMPLE_ROWS = 1_000
+#: Words in a stretch whose different words are counted.
+STRETCH = 1_000
 
 
 class Measured:
@@ -65,6 +67,11 @@ class Measured:
                 upto = i + 3
         return covered
 
+    @cached_property
+    def n_different(self) -> int:
+        """Different words of each stretch of ``STRETCH`` words, summed: a share that does not fall as texts grow."""
+        return sum(len(set(self.words[i : i + STRETCH])) for i in range(0, len(self.words), STRETCH))
+
     @cached_property
     def base_failed(self) -> bool:
         n = len(self.words)
@@ -84,31 +91,52 @@ RULES = (
     Rule("word_length", lambda m: not 2 * len(m.words) <= m.word_chars <= 20 * len(m.words)),
     Rule("duplicate_lines", lambda m: 2 * m.n_dup_lines > len(m.lines)),
     Rule("letters", lambda m: 2 * sum(map(str.isalpha, m.text)) < m.word_chars),
-    Rule("few_words", lambda m: 20 * len(set(m.words)) < len(m.words)),
+    Rule("few_words", lambda m: 20 * m.n_different < len(m.words)),
 )
 
 
-def rule_statistics(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """Name, seconds a text and share rejected of every rule, each measured afresh on the sample."""
+def rule_statistics(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], dict[tuple[bool, ...], int]]:
+    """Seconds that each rule takes, and how many texts each combination of rejections befalls, on the sample.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = [t for b in batches for t in b.column(0).to_pylist()]
-        found = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sum(rule.rejects(Measured(t)) for t in texts)
-            found.append((rule.name, time.perf_counter() - began, rejected, len(texts)))
-        yield pa.RecordBatch.from_pydict(dict(zip(("name", "seconds", "rejected", "n"), map(list, zip(*found, strict=True)), strict=True)))
+    The sample is of rows, by a hash of all their columns, and only those that reach the cascade count. What the base
+    rule has measured of them costs the rules nothing.
+    """
 
-    spread = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(16)) == 0).limit(sample_rows)
-    rows = spread.mapInArrow(run, "name string, seconds double, rejected bigint, n bigint").groupBy("name").agg(F.sum("seconds"), F.sum("rejected"), F.sum("n")).collect()
-    return [(r[0], r[1] / max(r[3], 1), r[2] / max(r[3], 1)) for r in rows]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds = dict.fromkeys((r.name for r in rules), 0.0)
+        found: Counter = Counter()
+        for batch in batches:
+            reached = [m for m in map(Measured, batch.column(0).to_pylist()) if not m.base_failed]
+            rejected = []
+            for rule in rules:
+                began = time.perf_counter()
+                rejected.append([rule.rejects(m) for m in reached])
+                seconds[rule.name] += time.perf_counter() - began
+            found.update(zip(*rejected, strict=True))
+        yield pa.RecordBatch.from_pydict({"seconds": [list(seconds.values())] * len(found), "rejected": list(map(list, found)), "n": list(found.values()), "first": [i == 0 for i in range(len(found))]}, pa.schema([("seconds", pa.list_(pa.float64())), ("rejected", pa.list_(pa.bool_())), ("n", pa.int64()), ("first", pa.bool_())]))
+
+    share = min(1.0, sample_rows / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1 << 30)) < int(share * (1 << 30))).select(text_col)
+    parts = some.mapInArrow(run, "seconds array<double>, rejected array<boolean>, n bigint, first boolean")
+    times = [F.sum(F.when(F.col("first"), F.col("seconds")[i]).otherwise(0.0)) for i in range(len(rules))]
+    rows = parts.groupBy("rejected").agg(F.sum("n"), *times).collect()  # a row a combination of verdicts
+    return {r.name: sum(row[2 + i] for row in rows) for i, r in enumerate(rules)}, {tuple(row[0]): row[1] for row in rows}
 
 
 def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejection per cost, best first. Without a sample they stay as they are."""
-    worth = {name: rejected / max(seconds, 1e-9) for name, seconds, rejected in rule_statistics(docs, rules, text_col=text_col, sample_rows=sample_rows)}
-    return tuple(sorted(rules, key=lambda r: -worth.get(r.name, 0.0)))
+    """The rules by rejection per cost, best first, each judged on the texts that those before it let pass.
+
+    Rules of equal worth, and all without a sample, stay as they are.
+    """
+    seconds, found = rule_statistics(docs, rules, text_col=text_col, sample_rows=sample_rows)
+    left, order = list(range(len(rules))), []
+    while left:
+        worth = lambda i: sum(n for r, n in found.items() if r[i]) / max(seconds[rules[i].name], 1e-9)
+        best = max(left, key=lambda i: (worth(i), -i))
+        order.append(rules[best])
+        left.remove(best)
+        found = {r: n for r, n in found.items() if not r[best]}
+    return tuple(order)
 
 
 def verdict(m: Measured, ordered: tuple[Rule, ...]) -> str | None:
@@ -119,7 +147,10 @@ def verdict(m: Measured, ordered: tuple[Rule, ...]) -> str | None:
 
 
 def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures and verdict of every row. A null text has no words and so fails the base rule; repeated rows repeat."""
+    """Measures and verdict of every row. A null text has no words and so fails the base rule; repeated rows repeat.
+
+    Texts of any length are measured whole. The order of the rules changes no verdict, only what it costs.
+    """
     ordered = cascade(docs, rules, text_col=text_col)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -143,7 +174,7 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, id_col: s
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, text_col: str = "text") -> DataFrame:
-    """The rows that pass, with their columns as they are."""
+    """The rows that pass, with their columns as they are. Null, empty and short texts fail; repeated rows all pass or fail."""
     ordered = cascade(docs, rules, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_batches
 from .forest import Forest
@@ -145,8 +146,10 @@ def labelled_examples(n: int = 2_400, seed: int = 11) -> list[Finding]:
 
 
 def findings_of(table: DataFrame, rows: int = LABELLED_ROWS) -> list[Finding]:
-    """Labelled findings from a table (value, before, after, path, secret), a bounded number of rows."""
-    return [Finding(*(r[k] or "" for k in ("value", "before", "after", "path")), bool(r["secret"])) for r in table.limit(rows).collect()]
+    """Labelled findings from a table (value, before, after, path, secret), a bounded number of rows: always the same ones."""
+    names = ("value", "before", "after", "path", "secret")
+    some = table.select(*names).orderBy(F.xxhash64(*names), *names).limit(rows)
+    return [Finding(*(r[k] or "" for k in names[:4]), bool(r["secret"])) for r in some.collect()]
 
 
 def train(findings: list[Finding], vocabulary: str) -> Forest:
@@ -187,7 +190,8 @@ def found_in(texts: list[str | None], paths: list[str | None], forest: Forest, w
 def scan_secrets(docs: DataFrame, vocabulary: str, *, labelled: DataFrame | None = None, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """One row for each candidate: its place, the digest of its value, the forest's score and verdict.
 
-    Rows without candidates (null and empty texts among them) give none; repeated rows repeat theirs.
+    Rows without candidates (null and empty texts among them) give none; repeated rows repeat theirs. Texts and values
+    of any length are taken whole; a score of exactly ``least`` is a secret. A null path is empty.
     """
     forest = train(findings_of(labelled) if labelled is not None else labelled_examples(), vocabulary)
 
@@ -208,7 +212,10 @@ def scan_secrets(docs: DataFrame, vocabulary: str, *, labelled: DataFrame | None
 
 
 def hide_secrets(docs: DataFrame, vocabulary: str, *, labelled: DataFrame | None = None, least: float = 0.5, text_col: str = "text", path_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
-    """All rows, with each secret's value replaced by ``HIDDEN`` and the column of lengths kept true."""
+    """All rows, with each secret's value replaced by ``HIDDEN`` and the column of lengths kept true.
+
+    Null and empty texts stay as they are; repeated rows stay repeated; long texts are taken whole.
+    """
     forest = train(findings_of(labelled) if labelled is not None else labelled_examples(), vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -94,10 +94,46 @@ def test_verdicts_do_not_depend_on_the_order_of_rules(spark, small):
 def test_cascade_orders_by_rejection_per_cost(spark):
     cheap = quality.Rule("cheap", lambda m: True)
     never = quality.Rule("never", lambda m: False)
-    docs = frame(spark, [(i, f"text {i}") for i in range(200)])
+    docs = frame(spark, [(i, " ".join(f"w{i}x{k}" for k in range(60))) for i in range(200)])  # long enough to reach the cascade
     assert [r.name for r in quality.cascade(docs, (never, cheap))] == ["cheap", "never"]
 
 
+def test_rules_are_judged_on_what_reaches_them(spark):
+    """A rule that rejects much, but only what a better one has rejected already, comes after one that rejects the rest."""
+    prose = " ".join(f"word{i % 37} and{i % 41} then{i % 43}" for i in range(60))
+    docs = frame(spark, [(i, f"{prose} {'xy'[i % 10 == 0]}{i}") for i in range(200)] + [(i, "too short") for i in range(200, 400)])
+    slow = lambda m: sum(range(3_000)) < 0
+    rules = (quality.Rule("again", lambda m: slow(m) or " x" in m.text), quality.Rule("rest", lambda m: slow(m) or slow(m) or " y" in m.text), quality.Rule("most", lambda m: " x" in m.text))
+    seconds, found = quality.rule_statistics(docs, rules)
+    assert found == {(True, False, True): 180, (False, True, False): 20} and all(v > 0 for v in seconds.values())
+    assert [r.name for r in quality.cascade(docs, rules)] == ["most", "rest", "again"]
+
+
+def test_long_prose_keeps_its_share_of_different_words():
+    import random
+
+    rng = random.Random(3)
+    m = quality.Measured(" ".join(f"w{int(rng.paretovariate(0.4)) % 60_000}" for _ in range(600_000)))
+    few = next(r for r in quality.RULES if r.name == "few_words")
+    assert 20 * len(set(m.words)) < 3 * len(m.words) and not few.rejects(m)
+
+
+def test_verdicts_match_plain_rules(spark, small):
+    """``kept`` of the query against the rules written out."""
+    import re
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = []
+    for r in docs.collect():
+        t, (n, chars, symbols, dup, _, failed) = r["text"] or "", measures_by_force(r["text"])
+        words = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        different = sum(len(set(words[i : i + 1000])) for i in range(0, n, 1000))
+        bad = failed or symbols > 0.3 * n or t.count("!!") > 0.3 * n or not 2 * n <= chars <= 20 * n or dup > len(lines) / 2 or sum(c.isalpha() for c in t) < chars / 2 or different < 0.05 * n
+        want.append((r["doc_id"], not bad))
+    assert sorted((r["doc_id"], r["kept"]) for r in quality.score_quality(docs).collect()) == sorted(want)
+
+
 def test_prose_passes_and_junk_goes(spark):
     prose = " ".join(f"word{i % 37} and{i % 41} then{i % 43}" for i in range(60))
     docs = frame(spark, [(1, prose), (2, "### $$$ " * 100), (3, None), (4, "")], clashing=True)
