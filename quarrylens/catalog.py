@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import dataflow, evaluation, findings, retrieval, rules, scoring, sections, workflow
-from .plans import review
+from .plans import review, rule_catalogue
 from .plans.topics import DOMAINS
 from .sources import readers
 
@@ -81,28 +81,30 @@ SECRET = [r"\bakia[0-9a-z]{16}\b", r"\b(?:password|passwd|pwd)\s*[=:]\s*[a-z0-9]
 
 @query(f"""SELECT doc_id, p AS pattern FROM documents CROSS JOIN (VALUES {", ".join(f"({i}, '{p}')" for i, p in enumerate(SECRET))}) v(p, r) WHERE regexp_matches(text, r, 'i')""")
 def rule_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = F.array_compact(F.array(*[F.when(F.rlike(F.col("text"), F.lit(f"(?i){p}")), F.lit(i)) for i, p in enumerate(SECRET)]))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(hits).alias("pattern"))
+    """The rule engine with three rules of its own, each document one section."""
+    own = [rule_catalogue.Rule(str(i), "security", "HIGH", "A secret is written out.", soft=(p,)) for i, p in enumerate(SECRET)]
+    one = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("index"), F.lit("").alias("heading"), F.col("text").alias("body"), F.lit("context_scope").alias("topic"), F.array().cast("array<string>").alias("secondary_topics"))
+    return rules.run_rules(one, rules=own).select("doc_id", F.col("rule_id").cast("int").alias("pattern"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, 'password=[0-9a-f]+') AS hit FROM documents), a AS (SELECT doc_id, text, hit, strpos(text, hit) AS pos FROM m WHERE hit <> ''),
+@query(r"""WITH m AS (SELECT doc_id, text, regexp_extract(text, 'token = .[0-9a-f]+') AS hit FROM documents), a AS (SELECT doc_id, text, hit, strpos(text, hit) AS pos FROM m WHERE hit <> ''),
 b AS (SELECT *, greatest(pos - 110, 1) AS s, least(pos + length(hit) - 1 + 110, length(text)) AS e FROM a)
 SELECT doc_id, (CASE WHEN s > 1 THEN '...' ELSE '' END) || trim(regexp_replace(substr(text, s, e - s + 1), '\s+', ' ', 'g')) || (CASE WHEN e < length(text) THEN '...' ELSE '' END) AS excerpt FROM b""")
 def rule_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.match_excerpt("text", F.lit("password=[0-9a-f]+")).alias("excerpt")).where("excerpt <> ''")
+    return d.select("doc_id", T.match_excerpt("text", F.lit("token = .[0-9a-f]+")).alias("excerpt")).where("excerpt <> ''")
 
 
 STEM_SQL = "CASE " + " ".join(f"WHEN length(w) > {len(s) + 2} AND ends_with(w, '{s}') THEN left(w, length(w) - {len(s)})" for s in T.SUFFIXES) + " ELSE w END"
 STOP_SQL = ", ".join(f"'{w}'" for w in T.STOPWORDS)
 
 
-@query(f"""WITH d AS (SELECT doc_id, substr(text, 1, 200) AS issue FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(issue), '[a-z0-9]+')) AS w FROM d),
+@query(f"""WITH d AS (SELECT doc_id, text AS issue FROM documents), w AS (SELECT doc_id, unnest(regexp_extract_all(lower(issue), '[a-z0-9]+')) AS w FROM d),
 s AS (SELECT doc_id, {STEM_SQL} AS c FROM w WHERE length(w) > 2 AND w NOT IN ({STOP_SQL})), t AS (SELECT DISTINCT doc_id, CASE WHEN length(c) > 4 AND ends_with(c, 'e') THEN left(c, length(c) - 1) ELSE c END AS t FROM s),
 r AS (SELECT doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY t) AS n FROM t), k AS (SELECT doc_id, string_agg(t, ' ' ORDER BY t) AS k FROM r WHERE n <= 12 GROUP BY doc_id)
 SELECT d.doc_id, sha1(coalesce(k, ''))[:12] AS semantic_key, sha256('security|wholedocument|' || sha1(coalesce(k, ''))[:12])[:16] AS fingerprint FROM d LEFT JOIN k USING (doc_id)""")
 def finding_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("issue"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("issue"))
     return d.select("doc_id", T.semantic_key("issue").alias("semantic_key"), T.fingerprint(F.lit("Security "), F.lit("Whole document"), F.lit(""), "issue").alias("fingerprint"))
 
 
@@ -123,10 +125,10 @@ def topic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(TOPIC_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) AS n, max(score) OVER (PARTITION BY doc_id) AS top FROM s)
 SELECT d.doc_id, coalesce(max(CASE WHEN n = 1 THEN domain END), 'general') AS domain, coalesce(max(CASE WHEN n = 1 THEN topic END), 'context_scope') AS topic,
-coalesce(string_agg(topic, ',' ORDER BY n) FILTER (n BETWEEN 2 AND 5 AND score >= top * 0.5), '') AS secondary FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
+coalesce(string_agg(topic, ',' ORDER BY n) FILTER (n BETWEEN 2 AND 5 AND score >= top * 0.5), '') AS secondary, CAST(round(1000 * coalesce(round_even(max(top) / sum(score), 3), 0)) AS BIGINT) AS confidence_permille FROM d LEFT JOIN r USING (doc_id) GROUP BY d.doc_id""")
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sections.classify(table(spark, sf_dir, "documents"), ["doc_id"], F.lit(""), F.col("text"))
-    return found.select("doc_id", "domain", "topic", F.array_join("secondary_topics", ",").alias("secondary"))
+    return found.select("doc_id", "domain", "topic", F.array_join("secondary_topics", ",").alias("secondary"), F.round(F.col("topic_confidence") * 1000).cast("bigint").alias("confidence_permille"))
 
 
 @query(r"""SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS INTEGER) AS total_words,
@@ -153,9 +155,10 @@ WORDS_SQL = r"list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+',
 
 
 @query(f"""WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(CAST(ceil((len(w) - 220) / 180.0) AS BIGINT), 0) + 1)) AS i FROM d WHERE len(w) > 220)
-SELECT doc_id, CAST(i AS INTEGER) AS n, md5(array_to_string(list_slice(w, i * 180 + 1, i * 180 + 220), ' ')) AS piece_md5 FROM s""")
+SELECT doc_id, CAST(i AS INTEGER) AS n, md5(array_to_string(list_slice(w, i * 180 + 1, i * 180 + 220), ' ')) AS piece_md5 FROM s
+UNION ALL SELECT doc_id, 0, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) FROM documents JOIN d USING (doc_id) WHERE len(w) BETWEEN 1 AND 220""")
 def word_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(T.word_count("text") > 220)
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.posexplode(sections.windows("text")).alias("n", "piece")).select("doc_id", "n", F.md5("piece").alias("piece_md5"))
 
 
@@ -177,27 +180,26 @@ NORM_SQL = r"trim(regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{
 d AS (SELECT doc_id, string_split({NORM_SQL.format("text")}, ' ') AS w FROM documents), h AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 5), ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d WHERE len(w) >= 6))
 SELECT DISTINCT item_id, doc_id FROM g JOIN h USING (run)""")
 def evidence_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark passage and every document that shares a run of six words with it: an equi-join on the runs."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.runs("text"))).alias("run"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.runs("text"))).alias("run"))
-    return d.join(b, "run").select("item_id", "doc_id").distinct()
+    """Every benchmark passage and every document that shares a run of six words with it."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    return retrieval.grounded_pairs(quotes, table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
 
 
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS item_id, label AS domain, greatest(0.0, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[]))) AS raw FROM q CROSS JOIN embeddings),
-t AS (SELECT * FROM s WHERE raw >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id, domain ORDER BY raw DESC, item_id) <= 4) SELECT query_id, item_id, domain, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS INTEGER) AS place FROM t QUALIFY place <= 4""")
+t AS (SELECT * FROM s WHERE raw >= 0.25 QUALIFY row_number() OVER (PARTITION BY query_id, domain ORDER BY raw DESC, item_id) <= 4) SELECT query_id, item_id, domain, CAST(round(raw * 10000) AS BIGINT) AS similarity_e4, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, item_id) AS INTEGER) AS place FROM t QUALIFY place <= 4""")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     items = e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector"), F.col("label").alias("domain"))
-    return retrieval.nearest(asked, items).select("query_id", "item_id", "domain", "place")
+    return retrieval.nearest(asked, items).select("query_id", "item_id", "domain", F.round(F.col("similarity") * 10000).cast("bigint").alias("similarity_e4"), "place")
 
 
 @query(EVENT_SQL + """, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, problem ORDER BY (NOT confirmed), rnk, seq) AS nth FROM g), s AS (SELECT doc_id, count(*) AS n_findings,
  sum((CASE severity WHEN 'CRITICAL' THEN 40.0 WHEN 'HIGH' THEN 15.0 WHEN 'MEDIUM' THEN 5.0 ELSE 1.0 END) * (CASE WHEN confirmed THEN 1.0 ELSE 0.25 END) * (CASE WHEN nth > 1 THEN 0.2 ELSE 1.0 END))::DOUBLE AS raw,
  bool_or(confirmed AND rnk = 0) AS c, bool_or(confirmed AND rnk <= 1) AS h, bool_or(rnk <= 1) AS a FROM o GROUP BY doc_id), t AS (SELECT *, round(least(100.0, 100 * (1 - exp(-raw / 120))), 1) AS score FROM s)
-SELECT doc_id, n_findings, CAST(score AS INTEGER) AS score, CASE WHEN c THEN 'RED' WHEN score >= 40 AND h THEN 'RED' WHEN score >= 12 OR a THEN 'AMBER' ELSE 'GREEN' END AS status FROM t""")
+SELECT doc_id, n_findings, CAST(round(score * 10) AS BIGINT) AS score_tenths, CASE WHEN c THEN 'RED' WHEN score >= 40 AND h THEN 'RED' WHEN score >= 12 OR a THEN 'AMBER' ELSE 'GREEN' END AS status FROM t""")
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.risk(event_findings(spark, sf_dir), ["doc_id"]).withColumn("score", F.bround("score").cast("int"))
+    return scoring.risk(event_findings(spark, sf_dir), ["doc_id"]).select("doc_id", "n_findings", F.round(F.col("score") * 10).cast("bigint").alias("score_tenths"), "status")
 
 
 @query(EVENT_SQL + """, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, problem ORDER BY rnk, (NOT grounded), seq) > 1 AS again FROM g)
@@ -211,10 +213,10 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.severity_counts(event_findings(spark, sf_dir), ["doc_id"])
 
 
-@query("""SELECT s AS severity, count(e.event_id) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW')) v(s) LEFT JOIN (SELECT event_id, """ + EVENT_SEVERITY + """ AS severity FROM events WHERE value < 120) e ON e.severity = s GROUP BY s""")
+@query("""SELECT s AS severity, count(e.event_id) AS n FROM (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')) v(s) LEFT JOIN (SELECT event_id, """ + EVENT_SEVERITY + """ AS severity FROM events) e ON e.severity = s GROUP BY s""")
 def severity_counts_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value < 120").select(F.expr(EVENT_SEVERITY).alias("severity"))
-    return scoring.zero_filled(e, "severity", list(T.SEVERITIES))
+    e = table(spark, sf_dir, "events").select(F.expr(EVENT_SEVERITY).alias("severity"))
+    return scoring.zero_filled(e, "severity", [*T.SEVERITIES, "INFO"])  # no event has the last
 
 
 @query("""SELECT k AS nation, CAST(sum(s) AS BIGINT) AS sections, CAST(sum(f) AS BIGINT) AS findings, CAST(sum(c) AS BIGINT) AS critical FROM (SELECT c_nationkey AS k, 1 AS s, 0 AS f, 0 AS c FROM customer UNION ALL
@@ -247,9 +249,9 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("document"), F.col("event_type").alias("fingerprint"), F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("rule_id"), (F.col("event_id") % 2).cast("string").alias("origin"), F.when(F.col("event_id") % 3 == 0, "disputed").otherwise("accepted").alias("decision"), F.concat(F.lit("r"), (F.col("event_id") % 4).cast("string")).alias("reason"))
 
 
-@query(DECISION_SQL + """ SELECT k AS key, count(*) FILTER (decision = 'accepted') AS accepted, count(*) FILTER (decision = 'disputed') AS disputed FROM (SELECT decision, a AS k FROM d UNION ALL SELECT decision, b FROM d) GROUP BY k""")
+@query(DECISION_SQL + """ SELECT k AS key, count(*) FILTER (decision = 'accepted') AS accepted, count(*) FILTER (decision = 'disputed') AS disputed, CAST(round(1000 * round_even(count(*) FILTER (decision = 'disputed') / count(*), 3)) AS BIGINT) AS dispute_permille FROM (SELECT decision, a AS k FROM d UNION ALL SELECT decision, b FROM d) GROUP BY k""")
 def dispute_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workflow.dispute_rates(_decisions(spark, sf_dir)).drop("dispute_rate")
+    return workflow.dispute_rates(_decisions(spark, sf_dir)).withColumn("dispute_permille", F.round(F.col("dispute_rate") * 1000).cast("bigint")).drop("dispute_rate")
 
 
 @query("""SELECT conv_id, turn AS at, role AS from_zone, nxt AS to_zone FROM (SELECT conv_id, turn, role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) WHERE nxt IS NOT NULL AND role <> nxt""")
@@ -258,16 +260,17 @@ def boundary_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey, l_linenumber, c.n_regionkey AS from_region, s.n_regionkey AS to_region FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation c ON c_nationkey = c.n_nationkey
-JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey WHERE c.n_regionkey <> s.n_regionkey AND l_returnflag = 'R'""")
+JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s_nationkey = s.n_nationkey WHERE c.n_regionkey <> s.n_regionkey""")
 def cross_zone_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as flows from a customer's region to a supplier's: dimensions join, then the boundary filter."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     buyers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_regionkey").alias("from_region"))
     sellers = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("n_regionkey").alias("to_region"))
-    flows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", "l_suppkey")
+    flows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     both = flows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(buyers, F.col("o_custkey") == F.col("c_custkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
-    return both.where("from_region <> to_region").select("o_orderkey", "l_linenumber", "from_region", "to_region")
+    zones = both.withColumns({c: F.col(c).cast("string") for c in ("from_region", "to_region")})
+    return zones.where(dataflow.crosses("from_region", "to_region")).select("o_orderkey", "l_linenumber", F.col("from_region").cast(nation.schema["n_regionkey"].dataType).alias("from_region"), F.col("to_region").cast(nation.schema["n_regionkey"].dataType).alias("to_region"))
 
 
 @query("SELECT event_type, user_id % 7 AS bucket, count(*) AS n FROM events GROUP BY CUBE (event_type, user_id % 7)")
@@ -278,28 +281,36 @@ def stride_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRIDE_SQL = ", ".join(f"('{c}')" for _, c in dataflow.STRIDE)
 
 
-@query(f"""SELECT d AS domain, c AS category FROM (VALUES {", ".join(f"('{d}')" for d in DOMAINS)}) a(d) CROSS JOIN (VALUES {STRIDE_SQL}) b(c) WHERE NOT EXISTS (SELECT 1 FROM labels WHERE quality = 0 AND CASE doc_id % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'application' ELSE 'security' END = d AND CASE WHEN toxic = 1 THEN 'Spoofing' ELSE 'Tampering' END = c)""")
+@query(f"""SELECT d AS domain, c AS category FROM (VALUES {", ".join(f"('{d}')" for d in DOMAINS)}) a(d) CROSS JOIN (VALUES {STRIDE_SQL}) b(c) WHERE NOT EXISTS (SELECT 1 FROM labels WHERE CASE doc_id % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'application' ELSE 'security' END = d AND CASE WHEN toxic = 1 THEN 'Spoofing' ELSE 'Tampering' END = c)""")
 def blind_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = table(spark, sf_dir, "labels").where("quality = 0").select(F.expr("CASE doc_id % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'application' ELSE 'security' END").alias("domain"), F.when(F.col("toxic") == 1, "Spoofing").otherwise("Tampering").alias("category"))
+    seen = table(spark, sf_dir, "labels").select(F.expr("CASE doc_id % 4 WHEN 0 THEN 'network' WHEN 1 THEN 'application' ELSE 'security' END").alias("domain"), F.when(F.col("toxic") == 1, "Spoofing").otherwise("Tampering").alias("category"))
     return dataflow.blind_spots(spark, seen, list(DOMAINS))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5)")
+@query("""WITH e AS (SELECT doc_id, unnest(['doc:' || doc_id, 'src:' || source]) AS "end" FROM documents), c AS (SELECT 'doc:' || doc_id AS "end" FROM labels UNION SELECT 'src:' || source FROM documents JOIN labels USING (doc_id))
+SELECT doc_id, "end" FROM e ANTI JOIN c USING ("end")""")
 def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
+    """Documents as flows from themselves to their sources, where only labelled ones are components."""
+    named = [F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), F.concat(F.lit("src:"), "source")]
+    d = table(spark, sf_dir, "documents").select(F.lit("d").alias("document"), F.col("doc_id").alias("id"), named[0].alias("source"), named[1].alias("target"))
+    known = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.lit("d").alias("document"), F.explode(F.array(*named)).alias("id")).distinct()
+    return dataflow.dangling(d, known).select(F.col("id").alias("doc_id"), "end")
 
 
-@query("SELECT s_suppkey, s_nationkey, 'REC-' || lpad(CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS VARCHAR), 3, '0') AS record FROM supplier")
+@query("""WITH i AS (SELECT s_nationkey, s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS ref, CASE WHEN s_acctbal < 0 THEN 0 ELSE 3 END AS rnk FROM supplier)
+SELECT s_suppkey, s_nationkey, 'REC-' || lpad(CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY rnk, ref) AS VARCHAR), 3, '0') AS record FROM i""")
 def register_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("s_nationkey").orderBy(F.col("s_acctbal").desc(), "s_suppkey"))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.format_string("REC-%03d", n).alias("record"))
+    """Suppliers go on an empty register of their nation, those with debts first."""
+    s = table(spark, sf_dir, "supplier")
+    fresh = s.select("s_suppkey", F.col("s_nationkey").alias("doc_id"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0").alias("source_ref"), F.when(F.col("s_acctbal") < 0, "CRITICAL").otherwise("LOW").alias("severity"), F.lit("security").alias("domain"))
+    empty = fresh.where(F.lit(False)).withColumn("number", F.lit(0).cast("bigint"))
+    return workflow.sync_register(empty, fresh).select("s_suppkey", F.col("doc_id").alias("s_nationkey"), "record")
 
 
-@query(EVENT_SQL + " SELECT doc_id, seq FROM g WHERE rnk <= 1 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.seq % 11 = 0 AND h.section = g.section AND h.rule_id = g.rule_id)")
+@query(EVENT_SQL + " SELECT doc_id, seq FROM g WHERE rnk <= 1 AND NOT EXISTS (SELECT 1 FROM g h WHERE h.section = 'section error' AND h.section = g.section AND h.rule_id = g.rule_id)")
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = event_findings(spark, sf_dir)
-    known = findings.fingerprints(f.where("seq % 11 = 0"))
+    known = findings.fingerprints(f.where("section = 'section error'"))
     return findings.gate(f, known).select("doc_id", "seq")
 
 
@@ -332,21 +343,17 @@ def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.ordered(event_findings(spark, sf_dir)).select("doc_id", "seq", "place")
 
 
-@query("""WITH t AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 3)) AS w FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b FROM t a JOIN t b ON a.item_id < b.item_id WHERE len(list_intersect(a.w, b.w)) >= 0.2 * len(list_distinct(list_concat(a.w, b.w)))""")
+@query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 3))) AS w FROM conversations), r AS (SELECT min(id) AS id, w FROM t WHERE len(w) > 0 GROUP BY w)
+SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
 def similar_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark passages with similar words: candidates share a word, so no pair without one is made."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", T.long_tokens("text").alias("w"))
-    words = t.select(F.col("item_id").alias("i"), F.explode("w").alias("word"))
-    common = words.alias("x").join(words.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.i") < F.col("y.i"))).groupBy(F.col("x.i").alias("a"), F.col("y.i").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    size = t.select("item_id", F.size("w").alias("s"))
-    both = common.join(size.withColumnRenamed("s", "p"), F.col("a") == F.col("item_id")).drop("item_id").join(size.withColumnRenamed("s", "q"), F.col("b") == F.col("item_id"))
-    return both.where("n >= 0.2 * (p + q - n)").select("a", "b")
+    """Turns of conversations with similar words, one turn for each set of words."""
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.long_tokens("text").alias("w"))
+    return findings.similar_pairs(t, "id", "w", 0.3)
 
 
 @query()
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    c = table(spark, sf_dir, "conversations")
     f = findings.as_findings(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("section"), F.lit("security").alias("domain"), F.lit("HIGH").alias("severity"), F.col("text").alias("issue"), F.lit("agent").alias("origin")))
     return findings.merge_duplicates(f).select("doc_id", "seq", "also_in")
 
@@ -354,7 +361,7 @@ def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT role, conv_id % 5 AS bucket, count(*) AS n FROM conversations GROUP BY GROUPING SETS ((role), (conv_id % 5), ())")
 def grouped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("role", (F.col("conv_id") % 5).alias("bucket"))
-    return c.groupingSets([[F.col("role")], [F.col("bucket")], []], "role", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    return scoring.counted(c, ["role", "bucket"])
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 400 THEN substr(text, 1, 400) || '...' ELSE text END AS excerpt, substr(regexp_replace(regexp_replace(lower(source || ' / ' || lang), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48) AS slug, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM documents")
@@ -370,10 +377,13 @@ def canvas_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataflow.layout(c).select("id", "x", F.col("row").cast("int").alias("row"))
 
 
-@query("SELECT o_custkey AS id, count(*) AS links, count(DISTINCT o_orderpriority) AS others FROM orders GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT o_orderpriority) = 1")
+@query("""WITH e AS (SELECT 'c' || o_custkey AS id, 'p' || o_orderpriority AS other FROM orders UNION ALL SELECT 'p' || o_orderpriority, 'c' || o_custkey FROM orders)
+SELECT id, count(*) AS links FROM e GROUP BY id HAVING count(*) >= 2 AND count(DISTINCT other) = 1""")
 def single_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as flows from customers to priorities."""
     o = table(spark, sf_dir, "orders")
-    return o.groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("links"), F.count_distinct("o_orderpriority").alias("others")).where("links >= 2 and others = 1")
+    flows = o.select(F.lit("d").alias("document"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source"), F.concat(F.lit("p"), "o_orderpriority").alias("target"))
+    return dataflow.single_points(flows).select("id", "links")
 
 
 @query("SELECT user_id, arg_max(event_type, (n, -first)) AS event_type FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY user_id")
@@ -388,9 +398,7 @@ def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT item_id FROM benchmark JOIN (SELECT DISTINCT text FROM documents) d ON contains(d.text, benchmark.text)")
 def quoted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that some document quotes whole: documents that share a run of words are the only ones looked into."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    runs = b.select("item_id", F.explode(F.array_distinct(T.runs("passage"))).alias("run"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    near = d.select("doc_id", F.explode(F.array_distinct(T.runs("text"))).alias("run")).join(runs, "run").select("doc_id", "item_id").distinct()
-    return near.join(b, "item_id").join(d, "doc_id").where(F.contains("text", F.col("passage"))).select("item_id").distinct()
+    """Passages that some document quotes whole."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = retrieval.quoting(quotes, table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
+    return found.select("item_id").distinct()

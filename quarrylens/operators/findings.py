@@ -106,6 +106,27 @@ def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], tokens: st
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
+def similar_pairs(rows: DataFrame, id_col: str, tokens: str, threshold: float) -> DataFrame:
+    """Pairs ``a`` < ``b`` of token sets with a Jaccard similarity of ``threshold`` or more; the least id stands for a set.
+
+    Two such sets share one of their rarest tokens: of n tokens, rarest first, one among the first n - ceil(t * n) + 1.
+    Only these are joined, so a frequent token makes no pairs but among sets of nothing rarer. Rows without tokens have
+    no pair.
+    """
+    sets = rows.select(F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(tokens)).alias("_w")).where(F.size("_w") > 0).groupBy("_w").agg(F.min("_id").alias("_id"))
+    each = sets.select("_id", F.size("_w").alias("_n"), F.explode("_w").alias("_token"))
+    rare = each.join(each.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")), "_token")
+    ranked = rare.groupBy("_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_r"))
+    first = F.slice("_r", F.lit(1), (F.col("_n") - F.ceil(threshold * F.col("_n") - 1e-9) + 1).cast("int"))
+    heads = ranked.select("_id", "_n", F.explode(F.transform(first, lambda x: x["_token"])).alias("_token"))
+    a, b = heads.alias("a"), heads.alias("b")
+    near = (F.col("a._n") >= threshold * F.col("b._n") - 1e-9) & (F.col("b._n") >= threshold * F.col("a._n") - 1e-9)
+    pairs = a.join(b, (F.col("a._token") == F.col("b._token")) & (F.col("a._id") < F.col("b._id")) & near).select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).distinct()
+    both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("_w").alias("_x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("_w").alias("_y")), "b")
+    shared = F.size(F.array_intersect("_x", "_y"))
+    return both.where(shared >= threshold * (F.size("_x") + F.size("_y") - shared) - 1e-9).select("a", "b")
+
+
 def merge_duplicates(findings: DataFrame, threshold: float = 0.4) -> DataFrame:
     """One finding for the same problem in several sections of a document; rules' findings stay as they are."""
     tokens = F.when(F.col("rule_id") == "", T.issue_tokens("issue")).otherwise(F.array().cast("array<string>"))  # none: joins nothing

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 
-#: Query vectors that are broadcast at most; more are taken in turns of this many.
+#: Query vectors that are broadcast at most; more meet the items in blocks of this many.
 BROADCAST_QUERIES = 10_000
+#: Runs of words of quotes that are broadcast at most, as 64-bit hashes.
+BROADCAST_RUNS = 1_000_000
 
 
 def compatible(chunks: DataFrame, model: str) -> DataFrame:
@@ -27,8 +29,13 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 4, least: float = 0.2
     """
     one = items.select("item_id", F.col("vector").alias("_v"), V.norm(F.col("vector")).alias("_n"), *([group] if group else []))
     asked = queries.select("query_id", F.col("vector").alias("_q"), V.norm(F.col("vector")).alias("_m"))
-    few = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    pairs = one.crossJoin(F.broadcast(asked)) if few else one.crossJoin(asked)
+    n = asked.count()
+    blocks = max(1, -(-n // BROADCAST_QUERIES))
+    if blocks == 1:
+        pairs = one.crossJoin(F.broadcast(asked))
+    else:  # an item goes to every block of queries once
+        asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+        pairs = one.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(asked, "_block").drop("_block")
     size = F.col("_n") * F.col("_m")
     similarity = F.when(size == 0, F.lit(0.0)).otherwise(V.dot(F.col("_v"), F.col("_q")) / size)
     scored = pairs.select("query_id", "item_id", *([group] if group else []), F.greatest(F.lit(0.0), similarity).alias("raw")).where(F.col("raw") >= least)
@@ -39,6 +46,26 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = 4, least: float = 0.2
     return scored.select("query_id", "item_id", *([group] if group else []), T.half_even(F.col("raw"), 4).alias("similarity"), "place")
 
 
+def grounded_pairs(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, n: int = 6) -> DataFrame:
+    """Quotes (id, quote) and documents (id, text) that share a run of ``n`` words, each pair once.
+
+    Documents' runs that no quote has go before anything is shuffled, if the quotes' runs are few enough to broadcast;
+    else both sides meet by run, where adaptive execution splits a frequent one.
+    """
+    asked = quotes.select(quote_id, F.explode(F.array_distinct(T.runs("quote", n))).alias("_run")).select(quote_id, F.xxhash64("_run").alias("_mark"), "_run")
+    few = asked.limit(BROADCAST_RUNS + 1).count() <= BROADCAST_RUNS
+    held = documents.select(doc_id, F.explode(T.runs("text", n)).alias("_run")).withColumn("_mark", F.xxhash64("_run"))
+    marks = asked.select("_mark").distinct()
+    held = held.join(F.broadcast(marks) if few else marks, "_mark", "left_semi").distinct()
+    return held.join(asked, ["_mark", "_run"]).select(quote_id, doc_id).distinct()
+
+
+def quoting(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, n: int = 6) -> DataFrame:
+    """Quotes (id, quote) of ``n`` words or more and the documents (id, text) that hold them whole, character by character."""
+    near = grounded_pairs(quotes, documents, quote_id, doc_id, n)
+    return near.join(quotes, quote_id).join(documents, doc_id).where(F.contains("text", F.col("quote"))).select(quote_id, doc_id)
+
+
 def match_citations(cited: DataFrame, retrieved: DataFrame, keys: list[str]) -> DataFrame:
     """The retrieved chunk that a citation means: 3 for its clause, up to 2 for words of the source's name; 1 at least."""
     clause = T.clause_label(F.regexp_extract(F.col("reference"), r"§?\s*(\d+(?:\.\d+)+)", 1))

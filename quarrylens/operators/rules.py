@@ -78,7 +78,8 @@ def first_hit(t: Column, rule: Rule, order: int) -> Column:
 
 def _scan(rows: DataFrame, keys: list[str], t: Column, rules: Sequence[Rule], applies) -> DataFrame:
     """Patterns are literals, so that Java compiles each once a task; rows fan out only where a rule hits."""
-    hits = lambda text: F.array_compact(F.array(*[F.when(applies(r), first_hit(text, r, k)) for k, r in enumerate(rules)]))
+    none = F.array().cast("array<struct<ord:int,pattern:string,hard:boolean,kind:string>>")
+    hits = lambda text: F.array_compact(F.array(*[F.when(applies(r), first_hit(text, r, k)) for k, r in enumerate(rules)])) if rules else none
     out = rows.select(*keys, t.alias("_t"), F.inline(T.bind(t, hits)))
     spark = rows.sparkSession
     facts = spark.createDataFrame([(k, r.id, r.domain, r.severity, r.issue, r.advice) for k, r in enumerate(rules)], "ord int, rule_id string, domain string, severity string, issue string, recommendation string")
@@ -99,6 +100,8 @@ def run_rules(sections: DataFrame, id_col: str = "doc_id", rules: Sequence[Rule]
         return F.arrays_overlap(topics, F.array(*[F.lit(t) for t in r.topics])) if r.topics else F.lit(True)
 
     found = _scan(sections, [id_col, "index", "heading"], F.concat_ws("\n", "heading", "body"), own, applies).withColumnRenamed("heading", "section")
+    if not whole:
+        return found
     texts = document_texts(sections, id_col)
     doc = _scan(texts, [id_col], F.col("document"), whole, lambda r: F.lit(True))
     return found.unionByName(doc.select(id_col, F.lit(-1).alias("index"), F.lit("Whole document").alias("section"), *[c for c in doc.columns if c != id_col]))

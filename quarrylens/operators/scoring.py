@@ -59,5 +59,10 @@ def matrix(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.cube(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
+def counted(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts by each column alone and of all rows, in one pass (the other columns are null)."""
+    return rows.groupingSets([*[[F.col(c)] for c in columns], []], *columns).agg(F.count(F.lit(1)).alias("n"))
+
+
 def domain_table(spark: SparkSession, domains: list[str]) -> DataFrame:
     return spark.createDataFrame([(d,) for d in domains], "domain string")
