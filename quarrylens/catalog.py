@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import dataflow, evaluation, findings, retrieval, rules, scoring, sections, workflow
+from .operators import dataflow, evaluation, extraction, findings, retrieval, rules, scoring, sections, skills, workflow
 from .plans import review, rule_catalogue
 from .plans.topics import DOMAINS
+from .sinks import writers
 from .sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -344,11 +345,36 @@ def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH t AS (SELECT conv_id * 1000 + turn AS id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: length(w) > 3))) AS w FROM conversations), r AS (SELECT min(id) AS id, w FROM t WHERE len(w) > 0 GROUP BY w)
-SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.3 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
+SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id WHERE len(list_intersect(a.w, b.w)) >= 0.15 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))""")
 def similar_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations with similar words, one turn for each set of words."""
     t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.long_tokens("text").alias("w"))
-    return findings.similar_pairs(t, "id", "w", 0.3)
+    return findings.similar_pairs(t, "id", "w", 0.15)
+
+
+STEPS = (skills.Step("secrets", 1, r"token = .[0-9a-f]+", "A token is written out.", "HIGH"), skills.Step("secrets", 2, r"\b[a-z]{2}\w*ing\b", "A word in -ing."))
+
+
+@query(f"""WITH s(step, p) AS (VALUES {", ".join(f"({s.step}, '{s.pattern}')" for s in STEPS)}), h AS (SELECT doc_id, step, regexp_extract_all(lower(text), p) AS found FROM documents CROSS JOIN s)
+SELECT doc_id, step, CAST(unnest(range(1, len(found) + 1)) AS INTEGER) AS "match", unnest(found) AS hit FROM h""")
+def skill_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of two steps in every document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("index"), F.lower("text").alias("body"))
+    return skills.all_matches(d, STEPS).select("doc_id", "step", "match", "hit")
+
+
+@query()
+def markdown_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for every user's events."""
+    f = event_findings(spark, sf_dir)
+    return writers.markdown_reports(findings.ordered(f), scoring.risk(f, ["doc_id"]), f.select("doc_id", "domain"))
+
+
+@query()
+def document_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents name as components, and how often."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("index"), F.col("text").alias("body"))
+    return extraction.components(d)
 
 
 @query()

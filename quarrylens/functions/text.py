@@ -276,3 +276,32 @@ def zone_rank(zone: Column | str, order: Sequence[str] = ("internet", "partner",
 
 def now_utc() -> Column:
     return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+
+
+def quote_grounded(quote: Column | str, document: Column | str, least: int = 5, most: int = 6) -> Column:
+    """As ``grounded``, for short quotes too: a quote of ``least`` words or more, whole if it is shorter than a run."""
+    n = F.size(words(words_only(quote)))
+    return F.when(n < least, F.lit(False)).when(n < most, F.contains(words_only(document), words_only(quote))).otherwise(grounded(quote, document, most))
+
+
+def joined_text(c: Column | str) -> Column:
+    """A list's values in one text, divided by semicolons."""
+    return F.array_join(c, "; ")
+
+
+def mapped_text(c: Column | str) -> Column:
+    """A map's entries in one text: name, colon, value, divided by semicolons, in order of the names."""
+    return F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), "; ")
+
+
+def cache_name(path: Column | str) -> Column:
+    return F.md5(text(path).cast("binary"))
+
+
+def model_names(config: Column | str) -> Column:
+    """The models that a configuration text names, each once, in order."""
+    return F.array_distinct(F.regexp_extract_all(text(config), F.lit(r"(?m)^\s*[\w-]*model\w*\s*:\s*[\"']?([\w./:-]+)"), F.lit(1)))
+
+
+def as_json(*columns: str) -> Column:
+    return F.to_json(F.struct(*columns))

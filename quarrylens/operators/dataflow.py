@@ -111,6 +111,21 @@ def model_findings(flows: DataFrame, components: DataFrame, controls: DataFrame
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def ranked_model_findings(found: DataFrame) -> DataFrame:
+    """Findings of the model's rules as the rest of a review takes them: their origin, confidence and place in the document.
+
+    They follow from what a model extracted, hence the confidence of 0.8; the order is severity, rule, issue.
+    """
+    place = F.row_number().over(Window.partitionBy("document").orderBy(T.severity_rank("severity"), "rule_id", "issue")) - 1
+    return found.select(F.col("document").alias("doc_id"), place.cast("bigint").alias("seq"), "rule_id", "severity", "issue", F.lit("model_rules").alias("origin"), F.lit(0.8).alias("confidence"))
+
+
+def add_components(components: DataFrame, new: DataFrame) -> DataFrame:
+    """Components with new ones (document, name, kind, zone); a name that is there already adds nothing, ids stay apart."""
+    fresh = new.withColumn("id", T.slug("name")).join(components.select("document", F.col("id")), ["document", "id"], "left_anti").dropDuplicates(["document", "id"])
+    return components.unionByName(fresh, allowMissingColumns=True)
+
+
 def risk_of(likelihood: Column | str, impact: Column | str) -> Column:
     lk, im = T.text(likelihood), T.text(impact)
     out = F.when((lk == "low") & (im == "low"), "LOW")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -121,3 +121,27 @@ def planted_answers(texts: DataFrame) -> DataFrame:
     each = texts.select("doc_id", F.explode(found).alias("c"))
     bullets = F.filter(F.transform(F.split(F.regexp_extract("c", r"(?s)EXPECTED\s+\w+:(.*?)-->", 1), "\n"), lambda s: F.trim(F.regexp_replace(s, r"^\s*[-*]\s*", ""))), lambda s: s != "")
     return each.select("doc_id", F.upper(F.regexp_extract("c", r"EXPECTED\s+(\w+):", 1)).alias("severity"), F.explode(bullets).alias("title"))
+
+
+def compared_runs(scores: DataFrame) -> DataFrame:
+    """Runs (run, written, precision, recall, f1, ...) in the order in which they were written, with the change of f1."""
+    by = Window.orderBy("written", "run")  # a row a run of the evaluation, whatever the corpus
+    return scores.withColumn("place", F.row_number().over(by)).withColumn("f1_change", F.round(F.col("f1") - F.lag("f1").over(by), 3))
+
+
+def latest_run(scores: DataFrame, leave_out: str = "rules_only") -> DataFrame:
+    """The last run that is not of the kind to leave out."""
+    return scores.where(F.col("kind") != leave_out).orderBy(F.col("written").desc(), "run").limit(1)
+
+
+def inventory(answers: DataFrame) -> DataFrame:
+    """Documents, planted findings, traps and clean documents of a labelled set, by domain and in all."""
+    n = answers.select("domain", F.size("expected_findings").alias("planted"), F.size("must_not_flag").alias("traps"))
+    return n.rollup("domain").agg(F.count(F.lit(1)).alias("documents"), F.sum("planted").alias("planted"), F.sum("traps").alias("traps"), F.count_if(F.col("planted") == 0).alias("clean"))
+
+
+def labelled_sheet(spark: SparkSession, path: str, label: str = "human_label") -> DataFrame:
+    """A sheet of labels from CSV, with or without a byte order mark: rows that someone has labelled."""
+    sheet = spark.read.option("header", True).option("multiLine", True).option("encoding", "UTF-8").csv(path)
+    sheet = sheet.toDF(*[c.lstrip("\ufeff") for c in sheet.columns])
+    return sheet.where(F.trim(F.coalesce(label, F.lit(""))) != "")

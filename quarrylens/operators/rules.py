@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -115,3 +115,17 @@ def document_texts(sections: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def rules_by_domain(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
     return rule_frame(spark, rules).groupBy(F.col("rule_domain").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def listed(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A place for each finding of its document: rule, section in lower case, then the order of sections."""
+    by = Window.partitionBy(id_col).orderBy("rule_id", F.lower("section"), "index")
+    return found.withColumn("place", F.row_number().over(by))
+
+
+def first_layer(found: DataFrame, chunks: DataFrame, domains: Sequence[str] = DOMAINS) -> DataFrame:
+    """Before any model is asked: findings of the rules, and chunks of knowledge there are, by domain."""
+    dim = found.sparkSession.createDataFrame([(d,) for d in domains], "domain string")
+    raised = found.groupBy("domain").agg(F.count(F.lit(1)).alias("findings"))
+    known = chunks.groupBy("domain").agg(F.count(F.lit(1)).alias("chunks"))
+    return dim.join(raised, "domain", "left").join(known, "domain", "left").fillna(0, ["findings", "chunks"])

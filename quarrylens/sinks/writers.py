@@ -21,6 +21,47 @@ def report_lines(findings: DataFrame, scored: DataFrame) -> DataFrame:
     return scored.join(rows, "doc_id", "left").select("doc_id", F.concat(head, F.coalesce("rows", F.lit(""))).alias("report"))
 
 
+def markdown_reports(findings: DataFrame, scored: DataFrame, sections: DataFrame, top: int = 3) -> DataFrame:
+    """A whole report a document: status, counts by severity, first actions, a table a domain, evidence, questions, coverage.
+
+    ``findings`` has ``place`` and the columns of a finding, ``scored`` status, score and n_findings, ``sections``
+    domain. Everything of a document is one row; a document without findings has a report too.
+    """
+    cell = lambda c: T.markdown_cell(F.col(c).cast("string"))
+    bar = lambda *cs: F.concat(F.lit("| "), F.concat_ws(" | ", *cs), F.lit(" |"))
+    item = F.struct("place", F.col("severity").alias("s"), F.col("domain").alias("d"), (F.col("kind") == "question").alias("q"), bar(cell("severity"), cell("section"), cell("issue"), cell("recommendation")).alias("row"), bar(cell("place"), cell("section"), cell("evidence_excerpt")).alias("proof"), cell("evidence_excerpt").alias("e"), F.concat(cell("issue"), F.lit(" ("), cell("section"), F.lit(")")).alias("short"))
+    items = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    covered = sections.groupBy("doc_id", "domain").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.array_sort(F.collect_list(bar("domain", F.col("n").cast("string")))).alias("covered"))
+    joined = lambda a: F.array_join(F.coalesce(a, F.array().cast("array<string>")), "\n")
+    pick = lambda keep, out: F.transform(F.filter("items", keep), out)
+    count = lambda s: F.size(F.filter("items", lambda x: ~x["q"] & (x["s"] == s))).cast("string")
+    counts = F.concat_ws("\n", *[bar(F.lit(s), count(s)) for s in T.SEVERITIES])
+    domains = F.array_sort(F.array_distinct(F.transform(F.filter("items", lambda x: ~x["q"]), lambda x: x["d"])))
+    tables = F.array_join(F.transform(domains, lambda d: F.concat(F.lit("### "), d, F.lit("\n\n| Severity | Section | Issue | Recommendation |\n|-|-|-|-|\n"), joined(F.transform(F.filter(F.col("items"), lambda x: ~x["q"] & (x["d"] == d)), lambda x: x["row"])))), "\n\n")
+    actions = F.transform(F.slice(pick(lambda x: ~x["q"], lambda x: x["short"]), 1, top), lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s))
+    head = F.format_string("# Review of %s\n\nStatus: **%s**, risk score %.1f, %d findings", F.col("doc_id").cast("string"), "status", "score", "n_findings")
+    parts = [
+        head, F.concat(F.lit("## Severity\n\n| Severity | Findings |\n|-|-|\n"), counts), F.concat(F.lit("## First actions\n\n"), joined(actions)), F.concat(F.lit("## Findings\n\n"), tables),
+        F.concat(F.lit("## Evidence\n\n| Finding | Section | Text |\n|-|-|-|\n"), joined(pick(lambda x: x["e"] != "", lambda x: x["proof"]))),
+        F.concat(F.lit("## Questions\n\n"), joined(pick(lambda x: x["q"], lambda x: F.concat(F.lit("- "), x["short"])))),
+        F.concat(F.lit("## Coverage\n\n| Domain | Sections |\n|-|-|\n"), joined(F.col("covered"))),
+    ]
+    both = scored.join(items, "doc_id", "left").join(covered, "doc_id", "left")
+    empty = F.array().cast(items.schema["items"].dataType)
+    return both.withColumn("items", F.coalesce("items", empty)).select("doc_id", F.concat_ws("\n\n", *parts).alias("report"))
+
+
+def acknowledgements(findings: DataFrame, reason: Column | str = "") -> DataFrame:
+    """What a gate takes as acknowledged: fingerprints with their severity and issue, and why; the worst first."""
+    why = F.lit(reason) if isinstance(reason, str) else reason
+    return findings.select("fingerprint", "severity", "issue", why.alias("reason")).dropDuplicates(["fingerprint"]).orderBy(T.severity_rank("severity"), "fingerprint")
+
+
+def review_sheet(df: DataFrame, path: str, first: str) -> None:
+    """CSV that a spreadsheet opens as UTF-8: the name of the first column carries the byte order mark."""
+    write_csv(df.withColumnRenamed(first, "\ufeff" + first), path)
+
+
 def file_stem(c: Column | str, most: int = 60) -> Column:
     return F.substring(F.regexp_replace(T.text(c), r"[^A-Za-z0-9._-]+", "_"), 1, most)
 
