@@ -61,10 +61,10 @@ def shared_units(units: DataFrame, several: Column) -> DataFrame:
 
 
 def distinct_units(units: DataFrame) -> DataFrame:
-    """One row for each anchor and content: how often, the first document's id, and where one of them stands."""
+    """One row for each anchor and content: how often, the first document's id, and where the first and last of them stand."""
     first = F.struct(F.col("id").isNull().alias("none"), "id")
     place = F.struct("key", "start", "count")
-    return staged(units.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"), F.min(place).alias("place")))
+    return staged(units.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first"), F.min(place).alias("place"), F.max(place).alias("last")))
 
 
 def fetched(docs: DataFrame, units: DataFrame, cut: Callable[[pa.Array, list], pa.Array], kind: str, more: dict[str, str]) -> DataFrame:

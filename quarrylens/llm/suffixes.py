@@ -20,6 +20,8 @@ from .common import staged
 from .windows import BLOCK, U, Anchors, anchors, mix, prefix_hashes, span_hashes
 
 LENGTH, GRAM = 200, 32
+#: Windows of hot anchors that one task merges, about.
+MERGED = 1 << 20
 #: Between stretches: a byte that UTF-8 never has.
 BETWEEN = 0xFF
 
@@ -117,8 +119,7 @@ def repeated_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     follower = np.r_[order, -1][rank[at] + 1]
     with_next = np.where(follower >= 0, shared[np.maximum(follower, 0)], 0) >= length
     leads = shared[at] < length
-    often = table["n"].to_numpy()[unit] > 1
-    return data, at, unit, j, ~leads | with_next | often, leads
+    return data, at, unit, j, ~leads | with_next, leads
 
 
 def _find(texts: pa.Array, length: int, gram: int):
@@ -147,7 +148,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         at = np.repeat(offsets[doc] + start - np.r_[0, ends[:-1]], sizes) + np.arange(ends[-1] if len(ends) else 0)
         return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data[at])])
 
-    held = staged(repeats.fetched(docs, distinct, cut, "binary", {"parts": "bigint"}))
+    # of equal units two come, so that the suffix array itself sees that they repeat; further ones follow those
+    two = distinct.withColumn("place", F.explode(F.array_distinct(F.array("place", "last"))))
+    held = staged(repeats.fetched(docs, two, cut, "binary", {"parts": "bigint"}))
     total = held.agg(F.sum(F.col("count") + length)).first()[0] or 0
 
     def compare(table: pa.Table) -> pa.RecordBatch:
@@ -159,8 +162,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         edge = np.r_[True, unit[1:] != unit[:-1]]
         begin = np.flatnonzero(repeated & (edge | ~np.r_[False, repeated[:-1]]))
         end = np.flatnonzero(repeated & (np.r_[edge[1:], True] | ~np.r_[repeated[1:], False]))
+        names = list(zip(table["anchor"].to_pylist(), table["content"].to_pylist(), strict=True))
+        first = {name: u for u, name in reversed(list(enumerate(names)))}  # the second of two equal units says the same
         for u, b, e in zip(unit[begin].tolist(), j[begin].tolist(), j[end].tolist(), strict=True):
-            runs[u].append({"begin": b, "end": e + 1})
+            if first[names[u]] == u:
+                runs[u].append({"begin": b, "end": e + 1})
         if hot.any():
             chosen = np.flatnonzero(leads & hot[unit])
             sums = prefix_hashes(mix(np.arange(1, 257, dtype=U))[data])
@@ -179,7 +185,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
 
 def merged_shards(local: DataFrame) -> DataFrame:
-    """Windows that shards of one anchor have in common: each shard's sorted run is looked up in all of them together."""
+    """Windows that shards of one anchor have in common: each shard's sorted run is looked up in all of them together.
+
+    Windows are dealt by anchor and mark, 128 bits that stand for their bytes, to as many tasks as their number asks for.
+    """
+    total = local.agg(F.sum(F.size("leaders"))).first()[0] or 0
     leaders = local.select("anchor", "content", F.explode("leaders").alias("w")).select("anchor", "content", "w.j", "w.mark")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,13 +203,14 @@ def merged_shards(local: DataFrame) -> DataFrame:
             end = pa.array(both["j"].to_numpy() + 1, pa.int32())
             yield pa.RecordBatch.from_arrays([both["anchor"].combine_chunks(), both["content"].combine_chunks(), both["j"].combine_chunks(), end], ["anchor", "content", "begin", "end"])
 
-    return leaders.repartition("anchor", "mark").mapInArrow(merge, "anchor bigint, content bigint, begin int, end int")
+    return leaders.repartition(int(max(1, -(-total // MERGED))), "anchor", "mark").mapInArrow(merge, "anchor bigint, content bigint, begin int, end int")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """Every row with its bytes, bytes removed, maximal removed runs and the digest of what is kept.
 
-    With ``keep_text`` also what is kept, where a cut character becomes U+FFFD.
+    With ``keep_text`` also what is kept, where a cut character becomes U+FFFD. Repeated rows are places like others, so
+    what they hold in common goes from all of them. Long texts are taken whole, in overlapping blocks.
     """
     rows = repeats.keyed(docs, id_col, text_col)
     spans = repeated_spans(rows, length, gram).groupBy("key").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
