@@ -98,7 +98,10 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, begins: np.ndarray, len
 
 
 def repeated_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
-    """For a shard's units: their bytes' windows (unit, place in it), which are repeated, and which lead their class."""
+    """For a shard's units: their bytes' windows (unit, place in it), which are repeated, and which lead their class.
+
+    Windows of a unit of which there are ``often`` more, and those that the suffix array finds twice, are repeated.
+    """
     column = table["symbols"].combine_chunks()
     count = table["count"].to_numpy().astype(np.int64)
     sizes = count + (length - 1)
@@ -119,7 +122,20 @@ def repeated_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
     follower = np.r_[order, -1][rank[at] + 1]
     with_next = np.where(follower >= 0, shared[np.maximum(follower, 0)], 0) >= length
     leads = shared[at] < length
-    return data, at, unit, j, ~leads | with_next, leads
+    return data, at, unit, j, ~leads | with_next | table["often"].to_numpy()[unit], leads
+
+
+def with_seconds(table: pa.Table) -> pa.Table:
+    """Units once each, and ``often`` for those of which a second one came that is equal byte for byte."""
+    names = list(zip(table["anchor"].to_pylist(), table["content"].to_pylist(), strict=True))
+    symbols, first, often, kept = table["symbols"].to_pylist(), {}, set(), []
+    for u, name in enumerate(names):
+        other = first.setdefault(name, u)
+        if other != u and symbols[other] == symbols[u]:
+            often.add(other)
+        else:
+            kept.append(u)
+    return table.take(pa.array(kept, pa.int64())).append_column("often", pa.array([u in often for u in kept], pa.bool_()))
 
 
 def _find(texts: pa.Array, length: int, gram: int):
@@ -148,13 +164,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         at = np.repeat(offsets[doc] + start - np.r_[0, ends[:-1]], sizes) + np.arange(ends[-1] if len(ends) else 0)
         return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data[at])])
 
-    # of equal units two come, so that the suffix array itself sees that they repeat; further ones follow those
+    # of equal units two come, to be held against each other byte by byte; further ones follow those
     two = distinct.withColumn("place", F.explode(F.array_distinct(F.array("place", "last"))))
     held = staged(repeats.fetched(docs, two, cut, "binary", {"parts": "bigint"}))
     total = held.agg(F.sum(F.col("count") + length)).first()[0] or 0
 
     def compare(table: pa.Table) -> pa.RecordBatch:
         """Runs of repeated windows of each unit; of a hot anchor's, the first of every class of equal windows too."""
+        table = with_seconds(table)
         data, at, unit, j, repeated, leads = repeated_windows(table, length)
         hot = table["parts"].to_numpy() > 1
         runs: list[list] = [[] for _ in range(len(table))]
@@ -162,11 +179,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         edge = np.r_[True, unit[1:] != unit[:-1]]
         begin = np.flatnonzero(repeated & (edge | ~np.r_[False, repeated[:-1]]))
         end = np.flatnonzero(repeated & (np.r_[edge[1:], True] | ~np.r_[repeated[1:], False]))
-        names = list(zip(table["anchor"].to_pylist(), table["content"].to_pylist(), strict=True))
-        first = {name: u for u, name in reversed(list(enumerate(names)))}  # the second of two equal units says the same
         for u, b, e in zip(unit[begin].tolist(), j[begin].tolist(), j[end].tolist(), strict=True):
-            if first[names[u]] == u:
-                runs[u].append({"begin": b, "end": e + 1})
+            runs[u].append({"begin": b, "end": e + 1})
         if hot.any():
             chosen = np.flatnonzero(leads & hot[unit])
             sums = prefix_hashes(mix(np.arange(1, 257, dtype=U))[data])
