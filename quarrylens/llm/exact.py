@@ -35,14 +35,16 @@ def identifier(chunk: Column, bits: int = 64) -> Column:
     return full if bits == 64 else F.pmod(full, F.lit(1 << bits))
 
 
-def clashing(texts: DataFrame, bits: int = 64) -> DataFrame:
-    """Chunks that share their hash with another chunk, numbered among those from 0 (``hash``, ``chunk``, ``number``).
+def clashing(texts: DataFrame, bits: int = 64) -> DataFrame | None:
+    """None if every chunk has a hash of its own, else those that share one, numbered from 0 (``hash``, ``chunk``, ``number``).
 
-    Every distinct chunk moves once, to be held against the others of its hash: what is not in this table has a hash
-    that stands for it alone. Expected are about n * n / 2**65 rows for n distinct chunks.
+    Every distinct chunk moves once, to be counted with its hash: what is not in this table has a hash that stands for
+    it alone. Expected are about n * n / 2**65 rows for n distinct chunks; only for these do chunks move again.
     """
     distinct = texts.select(F.explode("_chunks").alias("chunk")).distinct().withColumn("hash", identifier(F.col("chunk"), bits))
-    several = distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
+    several = staged(distinct.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"))
+    if several.isEmpty():
+        return None
     number = F.row_number().over(Window.partitionBy("hash").orderBy("chunk")) - 1
     return staged(distinct.join(several, "hash").select("hash", "chunk", number.alias("number")))
 
@@ -54,7 +56,7 @@ def recipes(texts: DataFrame, bits: int = 64) -> DataFrame:
     """
     plain = lambda c: F.struct(identifier(c, bits).alias("hash"), F.lit(0).alias("number"))
     clash = clashing(texts, bits)
-    if clash.isEmpty():
+    if clash is None:
         return texts.withColumn("_recipe", F.transform("_chunks", plain)).drop("_chunks", "_row")
     parts = texts.select("_row", F.posexplode("_chunks").alias("at", "chunk")).withColumn("hash", identifier(F.col("chunk"), bits))
     numbered = parts.join(clash.where("number > 0"), ["hash", "chunk"]).groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("at", "number"))).alias("_numbers"))
