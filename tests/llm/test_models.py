@@ -291,3 +291,72 @@ def test_published_notices_with_marks_and_line_breaks_make_licences(spark, mark)
     rows = [(i, "".join(f"{mark}{line}\n" for line in text.split("\n"))) for i, (text, _) in enumerate(PUBLISHED.values())]
     found = {r["doc_id"]: (list(r["sentence_ids"]), list(r["licences"])) for r in licences.scan_licences(frame(spark, rows)).collect()}
     assert found == {i: (ids, [licence]) for i, (licence, (_, ids)) in enumerate(PUBLISHED.items())}
+
+
+GNU_TEXT = """                    GNU {0}GENERAL PUBLIC LICENSE
+                       Version {1}
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The licenses for most software are designed to take away your freedom.
+
+{2}
+"""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+   2. Grant of Copyright License. Subject to the terms and conditions of
+      this License, each Contributor hereby grants to You a perpetual,
+      worldwide, non-exclusive, no-charge, royalty-free, irrevocable
+      copyright license to reproduce, prepare Derivative Works of,
+      publicly display, publicly perform, sublicense, and distribute the
+      Work and such Derivative Works in Source or Object form.
+"""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+TEXTS = [
+    (GNU_TEXT.format("", "3, 29 June 2007", GPL.format(":", ",", 3)), ["GPL-3.0"]),
+    (GNU_TEXT.format("", "2, June 1991", GPL.format(";", ";", 2)), ["GPL-2.0"]),
+    (GNU_TEXT.format("LESSER ", "2.1, February 1999", LGPL.format(";", ";", 2.1)), ["LGPL-2.1"]),
+    (GNU_TEXT.format("LESSER ", "3, 29 June 2007", ""), ["LGPL-3.0"]),
+    (GNU_TEXT.format("AFFERO ", "3, 19 November 2007", AGPL.format(":", ",", 3)), ["AGPL-3.0"]),
+    (APACHE_TEXT, ["Apache-2.0"]),
+    (APACHE_HEADER, ["Apache-2.0"]),
+    ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n", ["MPL-2.0"]),
+    ("European Union Public Licence v. 1.2\n\nand so on", ["EUPL-1.2"]),
+    ("This project is licensed under the MIT License.", ["MIT"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.", ["0BSD"]),
+    ("This article compares licensed works with the MIT license and others.", None),
+]
+
+
+def test_titles_and_texts_of_licences_make_licences(spark):
+    found = {r["doc_id"]: list(r["licences"]) for r in licences.scan_licences(frame(spark, [(i, t) for i, (t, _) in enumerate(TEXTS)])).collect()}
+    assert found == {i: want for i, (_, want) in enumerate(TEXTS) if want}
+
+
+def test_no_short_rule_forestalls_a_longer_one():
+    for k, (_, sequence) in enumerate(licences.RULES):
+        assert set(sequence) <= licences.SENTENCES.keys()
+        assert len(sequence) > 1 or not any(sequence[0] in later for _, later in licences.RULES[k + 1 :] if len(later) > 1)
+    assert len(set(licences.SENTENCES.values())) == len(licences.SENTENCES)
