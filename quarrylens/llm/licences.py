@@ -198,8 +198,11 @@ def identifiers(text: Column) -> Column:
     """
     known = F.create_map(*[F.lit(x) for k, s in SENTENCES.items() for x in (s, k)])
     normal = lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
+    named = lambda s: F.when(normal(s).isin(*SENTENCES.values()), known[normal(s)])  # noqa: E731  a set is hashed, a map is gone through
+    by_line = lambda s: F.array_compact(F.transform(F.split(s, r"\n"), named))
     whole = F.regexp_replace(F.regexp_replace(text, RULED, "\n"), MARKS, "$1 ")
-    ids = F.transform(F.split(whole, ENDS), lambda s: F.when(known[normal(s)].isNotNull(), F.array(known[normal(s)])).otherwise(F.array_compact(F.transform(F.split(s, r"\n"), lambda line: known[normal(line)]))))
+    ids = F.transform(F.split(whole, ENDS), lambda s: F.when(normal(s).isin(*SENTENCES.values()), F.array(named(s))).when(F.contains(s, F.lit("\n")), by_line(s)))
+    ids = F.array_compact(ids)
     return F.flatten(ids)
 
 
