@@ -29,6 +29,8 @@ SAMPLE_ROWS, LANGUAGE_ROWS, ROUNDS = 2_000, 200, 2
 UNSEEN, ADDED = 1e-7, 0.05
 #: Scores of words kept by a worker.
 REMEMBERED = 400_000
+#: Letters of the words that are held in one lattice.
+LATTICE = 200_000
 
 
 def pieces_of(model_file: str) -> list[str]:
@@ -44,21 +46,33 @@ def longest(index: dict[str, int]) -> int:
     return max(map(len, index), default=1)
 
 
+def endings(index: dict[str, int]) -> dict[str, int]:
+    """Every ending of a piece: the piece's number, or -1 if it is none itself. What is not here ends no piece."""
+    return {p[i:]: -1 for p in index for i in range(1, len(p))} | index
+
+
 class Lattice:
     """Words of one length: which piece, if any, ends at each place with each length (-1: none; -2: unseen character)."""
 
-    def __init__(self, words: list[str], index: dict[str, int], most: int):
+    def __init__(self, words: list[str], ends: dict[str, int], most: int):
         self.n = len(words[0]) + 1
         self.ids = np.full((len(words), self.n + 1, most + 1), -1, np.int32)
-        for row, word in zip(self.ids, words, strict=True):
+        cells, found, of_word, of_end = [], [], (self.n + 1) * (most + 1), most + 1
+        for w, word in enumerate(words):
             marked = START + word
             for end in range(1, self.n + 1):
-                for length in range(1, min(most, end) + 1):
-                    k = index.get(marked[end - length : end])
-                    if k is not None:
-                        row[end, length] = k
-                if row[end, 1] < 0:
-                    row[end, 1] = -2
+                cell = w * of_word + end * of_end
+                for begin in range(end - 1, -1, -1):  # longer and longer, while a piece may still end like this
+                    k = ends.get(marked[begin:end])
+                    if k is None:
+                        break
+                    if k >= 0:
+                        cells.append(cell + end - begin)
+                        found.append(k)
+        flat = self.ids.reshape(-1)
+        flat[cells] = found
+        unseen = self.ids[:, 1:, 1]
+        unseen[unseen < 0] = -2
         #: The lengths, at each place, that any word has a piece of.
         self.lengths = [np.flatnonzero(there).tolist() for there in (self.ids != -1).any(axis=0)]
 
@@ -66,25 +80,43 @@ class Lattice:
         """table: pieces by languages, with two last rows for unseen characters and for no piece."""
         return table[self.ids[:, end, length]]
 
-
-def word_scores(words: list[str], index: dict[str, int], table: np.ndarray) -> np.ndarray:
-    """The log probability of each word in each language, over all segmentations."""
-    out, most = np.empty((len(words), table.shape[1])), longest(index)
+    def total(self, table: np.ndarray, end: int, last: list[np.ndarray]) -> np.ndarray:
+        """The sums over the pieces that end here, of which words with a piece of a length take part."""
+        out = np.zeros_like(last[-1])
+        for length in self.lengths[end]:
+            ids = self.ids[:, end, length]
+            rows = np.flatnonzero(ids != -1)
+            if 2 * len(rows) > len(ids):
+                out += last[-length] * table[ids]
+            else:
+                out[rows] += last[-length][rows] * table[ids[rows]]
+        return out
+
+
+def in_batches(words: list[str]) -> Iterator[list[int]]:
+    """Places of words of one length, as many as make a lattice of a bounded size (one at least)."""
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
-    for rows in by_length.values():
-        for at in range(0, len(rows), 20_000):
-            some = rows[at : at + 20_000]
-            lattice = Lattice([words[i] for i in some], index, most)
-            last = [np.ones((len(some), table.shape[1]))]  # forward sums of the last places, scaled together
-            scale = np.zeros((len(some), 1))
-            for end in range(1, lattice.n + 1):
-                total = sum(last[-length] * lattice.chances(table, end, length) for length in lattice.lengths[end])
-                top = total.max(axis=1, keepdims=True)
-                scale += np.log(top)
-                last = [x / top for x in [*last[max(0, len(last) - most + 1) :], total]]
-            out[some] = np.log(np.maximum(last[-1], 1e-300)) + scale
+    for n, rows in by_length.items():
+        many = max(1, LATTICE // n)
+        for at in range(0, len(rows), many):
+            yield rows[at : at + many]
+
+
+def word_scores(words: list[str], ends: dict[str, int], table: np.ndarray) -> np.ndarray:
+    """The log probability of each word in each language, over all segmentations. ``ends`` are the pieces' ``endings``."""
+    out, most = np.empty((len(words), table.shape[1])), longest(ends)
+    for some in in_batches(words):
+        lattice = Lattice([words[i] for i in some], ends, most)
+        last = [np.ones((len(some), table.shape[1]))]  # forward sums of the last places, scaled together
+        scale = np.zeros((len(some), 1))
+        for end in range(1, lattice.n + 1):
+            total = lattice.total(table, end, last)
+            top = total.max(axis=1, keepdims=True)
+            scale += np.log(top)
+            last = [x / top for x in [*last[max(0, len(last) - most + 1) :], total]]
+        out[some] = np.log(np.maximum(last[-1], 1e-300)) + scale
     return out
 
 
@@ -95,13 +127,11 @@ def with_unseen(chances: np.ndarray) -> np.ndarray:
 
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
     """Languages, and the probability of every piece in each, from word counts by language."""
-    index, languages = {p: i for i, p in enumerate(pieces)}, sorted(counts)
-    table, most = np.zeros((len(pieces), len(languages))), longest(index)
+    ends, languages = endings({p: i for i, p in enumerate(pieces)}), sorted(counts)
+    table, most = np.zeros((len(pieces), len(languages))), longest(ends)
     for k, lang in enumerate(languages):
-        by_length: dict[int, list[str]] = {}
-        for w in counts[lang]:
-            by_length.setdefault(len(w), []).append(w)
-        lattices = [(Lattice(ws[a : a + 20_000], index, most), np.array([counts[lang][w] for w in ws[a : a + 20_000]], float)) for ws in by_length.values() for a in range(0, len(ws), 20_000)]
+        words = list(counts[lang])
+        lattices = [(Lattice([words[i] for i in some], ends, most), np.array([counts[lang][words[i]] for i in some], float)) for some in in_batches(words)]
         p = np.full(len(pieces), ADDED)
         for lattice, weight in lattices:  # at first every piece that occurs counts
             for end in range(1, lattice.n + 1):
@@ -162,7 +192,7 @@ class Scorer:
     """Scores of words, kept in one growing table by worker."""
 
     def __init__(self, pieces: list[str], table: np.ndarray):
-        self.index, self.table = {p: i for i, p in enumerate(pieces)}, with_unseen(table)
+        self.ends, self.table = endings({p: i for i, p in enumerate(pieces)}), with_unseen(table)
         self.forget()
 
     def forget(self) -> None:
@@ -177,7 +207,7 @@ class Scorer:
         new = list({w for ws in words for w in ws}.difference(self.rows))
         if new:
             self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
-            self.scores = np.vstack([self.scores, word_scores(new, self.index, self.table)])
+            self.scores = np.vstack([self.scores, word_scores(new, self.ends, self.table)])
         out = np.zeros((len(texts), self.table.shape[1]))
         for i, ws in enumerate(words):
             if ws:
