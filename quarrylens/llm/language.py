@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Runs of letters. Numerals such as a superscript two are word characters, but no letters.
+#: Runs of letters, and of what counts as word characters besides decimals: numerals such as a superscript two are no letters.
+WORDS = re.compile(r"[^\W\d_]+")
 LETTERS = re.compile(r"[^\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isnumeric() and not c.isalpha() and not c.isdecimal()) + "]+")
 START = "▁"
 #: Labelled texts to learn from, about; those of a rare language, about (all where it has fewer); rounds of fitting.
@@ -42,6 +43,12 @@ def pieces_of(model_file: str) -> list[str]:
     return sorted(p for p in found if p.removeprefix(START) and LETTERS.fullmatch(p.removeprefix(START)))
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in lower case. The long list of numerals is gone through only where a run has one."""
+    words = WORDS.findall(text.lower())
+    return words if all(map(str.isalpha, words)) else [x for w in words for x in ([w] if w.isalpha() else LETTERS.findall(w))]
+
+
 def longest(index: dict[str, int]) -> int:
     return max(map(len, index), default=1)
 
@@ -178,7 +185,7 @@ def learned(docs: DataFrame, pieces: list[str], *, id_col: str = "doc_id", text_
         counts: Counter = Counter()
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                counts.update((lang, w) for w in LETTERS.findall(text.lower()))
+                counts.update((lang, w) for w in words_of(text))
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -201,7 +208,7 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log probabilities of texts by language, and their numbers of words."""
-        words = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         if len(self.rows) > REMEMBERED:
             self.forget()
         new = list({w for ws in words for w in ws}.difference(self.rows))

@@ -32,6 +32,13 @@ def test_forward_sums_over_all_segmentations():
         assert np.allclose(got, np.log(want))
 
 
+def test_words_are_runs_of_letters():
+    letters = "".join(c for c in map(chr, range(0x11000)) if c.lower() == c and c.isalpha())
+    others = "".join(c for c in map(chr, range(0x11000)) if not c.isalpha() and not c.lower().isalpha())
+    assert language.words_of(letters) == [letters] and language.words_of(others) == []
+    assert language.words_of("x²y ½ Ab_c9d") == ["x", "y", "ab", "c", "d"]
+
+
 def test_languages_of_held_out_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     known = {r["doc_id"]: r["lang"] for r in docs.collect()}
