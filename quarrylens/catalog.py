@@ -428,3 +428,64 @@ def quoted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     found = retrieval.quoting(quotes, table(spark, sf_dir, "documents").select("doc_id", "text"), "item_id", "doc_id")
     return found.select("item_id").distinct()
+
+
+# Orders as a graph: customers and priorities are components, orders flows from one to the other.
+GRAPH_SQL = """WITH c AS (SELECT 'c' || c_custkey AS id, CASE c_nationkey % 4 WHEN 0 THEN 'internet' WHEN 1 THEN 'partner' WHEN 2 THEN 'dmz' ELSE 'unknown' END AS zone, false AS pub, false AS held FROM customer
+UNION ALL SELECT DISTINCT 'p' || o_orderpriority, CASE left(o_orderpriority, 1) WHEN '1' THEN 'management' WHEN '2' THEN 'dmz' ELSE 'data' END, left(o_orderpriority, 1) IN ('1', '2'), left(o_orderpriority, 1) IN ('1', '3') FROM orders),
+f AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, coalesce(s.zone, 'unknown') AS a, t.zone AS b, t.held, 'c' || o_custkey || ' → ' || t.id AS label, ['none', 'basic', 'api_key', 'mtls'][o_orderkey % 4 + 1] AS auth, CASE WHEN o_orderkey % 3 = 0 THEN 'no' ELSE 'yes' END AS enc
+ FROM orders LEFT JOIN c s ON s.id = 'c' || o_custkey JOIN c t ON t.id = 'p' || o_orderpriority),
+x AS (SELECT * FROM f WHERE a <> b AND a <> 'unknown' AND b <> 'unknown')"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Flows and components."""
+    o, priority = table(spark, sf_dir, "orders"), F.substring("o_orderpriority", 1, 1)
+    ends = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("p"), "o_orderpriority")
+    auth = F.element_at(F.array(*map(F.lit, ("none", "basic", "api_key", "mtls"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    flows = o.select(F.lit("d").alias("document"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderkey").alias("seq"), ends[0].alias("source"), ends[1].alias("target"), auth.alias("auth"), F.when(F.col("o_orderkey") % 3 == 0, "no").otherwise("yes").alias("encrypted"))
+    none, held = F.array().cast("array<string>"), F.array(F.lit("pii"))
+    buyers = table(spark, sf_dir, "customer").select(F.lit("d").alias("document"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit("user").alias("kind"), F.expr("CASE c_nationkey % 4 WHEN 0 THEN 'internet' WHEN 1 THEN 'partner' WHEN 2 THEN 'dmz' ELSE 'unknown' END").alias("zone"), F.lit(False).alias("public"), none.alias("data"))
+    stores = o.select(F.lit("d").alias("document"), ends[1].alias("id"), F.lit("datastore").alias("kind"), F.when(priority == "1", "management").when(priority == "2", "dmz").otherwise("data").alias("zone"), priority.isin("1", "2").alias("public"), F.when(priority.isin("1", "3"), held).otherwise(none).alias("data")).distinct()
+    return flows, buyers.unionByName(stores).withColumn("name", F.col("id"))
+
+
+@query(GRAPH_SQL + """ SELECT 'SM-AUTH-001' AS rule_id, 'CRITICAL' AS severity, 'Unauthenticated flow from an untrusted source: ' || label AS issue FROM f WHERE a IN ('internet', 'partner') AND auth = 'none'
+UNION SELECT 'SM-ENC-001', 'HIGH', 'Cleartext between zones: ' || label FROM x WHERE enc = 'no' UNION SELECT 'SM-AUTH-002', CASE WHEN held THEN 'HIGH' ELSE 'MEDIUM' END, 'Static credentials between zones: ' || label FROM x WHERE auth IN ('basic', 'api_key')
+UNION SELECT 'SM-MGMT-001', 'HIGH', 'Management reachable from outside: ' || label FROM f WHERE a IN ('internet', 'partner') AND b = 'management' UNION SELECT 'SM-DATA-001', 'CRITICAL', 'Public store of sensitive data: ' || id FROM c WHERE pub AND held""")
+def model_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataflow.model_findings(*_graph(spark, sf_dir)).select("rule_id", "severity", "issue")
+
+
+@query(GRAPH_SQL + """ SELECT id AS target_id, 'Spoofing' AS category, CASE WHEN auth = 'none' THEN 'high' ELSE 'medium' END AS likelihood, CASE WHEN auth = 'none' THEN 'CRITICAL' ELSE 'HIGH' END AS risk FROM x WHERE auth <> 'mtls'
+UNION ALL SELECT id, 'Information disclosure', CASE WHEN a IN ('internet', 'partner') THEN 'high' ELSE 'medium' END, CASE WHEN a IN ('internet', 'partner') THEN 'CRITICAL' ELSE 'HIGH' END FROM x WHERE enc = 'no'
+UNION ALL SELECT id, 'Elevation of privilege', 'medium', 'HIGH' FROM x WHERE b = 'management' AND a IN ('internet', 'partner') UNION ALL SELECT id, 'Information disclosure', 'high', 'CRITICAL' FROM c WHERE pub AND held""")
+def threats_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataflow.rule_threats(*_graph(spark, sf_dir)).select("target_id", "category", "likelihood", "risk")
+
+
+@query(GRAPH_SQL + """ SELECT 'missing end: c' || o_custkey AS warning FROM orders WHERE 'c' || o_custkey NOT IN (SELECT id FROM c) UNION SELECT 'unconnected: ' || id FROM c WHERE id NOT IN (SELECT 'c' || o_custkey FROM orders) AND id NOT IN (SELECT 'p' || o_orderpriority FROM orders)
+UNION SELECT 'no zone: ' || id FROM c WHERE zone = 'unknown'""")
+def graph_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataflow.quality(*_graph(spark, sf_dir)).select("warning")
+
+
+@query("SELECT 'c' || o_custkey AS source, 'p' || o_orderpriority AS target, min(o_orderkey) AS seq FROM orders GROUP BY ALL")
+def first_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dataflow.dedupe_edges(_graph(spark, sf_dir)[0]).select("source", "target", "seq")
+
+
+@query("""WITH l AS (SELECT arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type) SELECT 'r' || (event_id % 4) AS reason, count(*) AS n FROM l WHERE event_id % 3 = 0 GROUP BY 1""")
+def dispute_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.dispute_reasons(_decisions(spark, sf_dir))
+
+
+@query(f"""SELECT DISTINCT doc_id, k AS category FROM documents CROSS JOIN (VALUES {", ".join(f"('{k}', '{w}')" for k, ws in dataflow.STRIDE_WORDS.items() for w in ws)}) v(k, w) WHERE contains(lower(text), w)""")
+def stride_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(dataflow.stride_categories(F.lit(""), "text")).alias("category"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents)
+SELECT doc_id, CASE WHEN length(s) <= 60 THEN s ELSE s[:57] || '...' END AS short, lang || '/' || source || '/' || sha256(t)[:12] AS review_key, sha256(lang || '|' || source) AS signature, trim(replace(replace(t, '|', '\|'), chr(10), ' ')) AS cell FROM d""")
+def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.shorten("text", 60).alias("short"), T.review_key("lang", "source", F.sha2(T.text("text").cast("binary"), 256)).alias("review_key"), T.signature("lang", "source").alias("signature"), T.markdown_cell("text").alias("cell"))
