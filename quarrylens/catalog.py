@@ -489,3 +489,28 @@ def stride_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CASE WHEN length(s) <= 60 THEN s ELSE s[:57] || '...' END AS short, lang || '/' || source || '/' || sha256(t)[:12] AS review_key, sha256(lang || '|' || source) AS signature, trim(replace(replace(t, '|', '\|'), chr(10), ' ')) AS cell FROM d""")
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.shorten("text", 60).alias("short"), T.review_key("lang", "source", F.sha2(T.text("text").cast("binary"), 256)).alias("review_key"), T.signature("lang", "source").alias("signature"), T.markdown_cell("text").alias("cell"))
+
+
+@query("""WITH b AS (SELECT o_orderkey, o_custkey, regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g') AS s FROM orders), n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, s ORDER BY o_orderkey) AS n FROM b)
+SELECT o_orderkey, CASE WHEN n = 1 THEN s ELSE s || '-' || n END AS id FROM n""")
+def unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document"), "o_orderkey", "o_orderpriority")
+    return dataflow.unique_ids(o, "o_orderpriority", "o_orderkey").select("o_orderkey", "id")
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'added' WHEN o_orderkey % 5 = 1 THEN 'deleted' WHEN o_orderkey % 7 = 0 THEN 'renamed' ELSE 'moved' END AS change
+FROM orders WHERE o_orderkey % 5 IN (0, 1) OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0""")
+def canvas_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders on a canvas before and after some came, went, were renamed or moved."""
+    key = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select(F.lit("d").alias("document"), key.cast("string").alias("id"), F.col("o_orderpriority").alias("label"), F.col("o_custkey").alias("x"), F.lit(0).alias("y"), key)
+    after = o.where(key % 5 != 1).withColumn("label", F.when(key % 7 == 0, "other").otherwise(F.col("label"))).withColumn("x", F.when(key % 11 == 0, F.col("x") + 1).otherwise(F.col("x")))
+    return dataflow.canvas_changes(o.where(key % 5 != 0), after).select("id", "change")
+
+
+@query("""SELECT event_type, count(*) AS n, count(*) FILTER (event_id % 3 = 0) AS correct, count(*) FILTER (event_id % 3 = 1) AS trap, count(DISTINCT CASE WHEN event_id % 3 = 0 THEN user_id END) AS found, CAST(round(1e6 * count(*) FILTER (event_id % 3 = 0) / count(*)) AS BIGINT) AS precision_ppm
+FROM events GROUP BY GROUPING SETS ((event_type), ())""")
+def rolled_up_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as findings that match an expected one (a user), a trap or nothing."""
+    e = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("matched"), F.expr("CASE event_id % 3 WHEN 0 THEN 'expected' WHEN 1 THEN 'trap' ELSE 'none' END").alias("status"))
+    return evaluation.rollup_scores(e, ["event_type"]).select("event_type", "n", "correct", "trap", "found", F.round(F.col("precision") * 1e6).cast("bigint").alias("precision_ppm"))
