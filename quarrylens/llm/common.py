@@ -29,6 +29,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage is cut, a lost executor costs nothing already done."""
+    return staged_at(df)[0]
+
+
+def staged_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``staged`` with the folder, for a loop that has each step's table dropped once the next one is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP, "false")
@@ -37,11 +42,11 @@ def staged(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(drop_staged, spark, path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def drop_staged(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
