@@ -126,9 +126,10 @@ def repeated_windows(table: pa.Table, length: int) -> tuple[np.ndarray, ...]:
 
 
 def with_seconds(table: pa.Table) -> pa.Table:
-    """Units once each, and ``often`` for those of which a second one came that is equal byte for byte."""
+    """Units once each, and ``often`` for those that are ``again`` or of which a second one came that is equal byte for byte."""
     names = list(zip(table["anchor"].to_pylist(), table["content"].to_pylist(), strict=True))
-    symbols, first, often, kept = table["symbols"].to_pylist(), {}, set(), []
+    symbols, first, kept = table["symbols"].to_pylist(), {}, []
+    often = {u for u, again in enumerate(table["again"].to_pylist()) if again}
     for u, name in enumerate(names):
         other = first.setdefault(name, u)
         if other != u and symbols[other] == symbols[u]:
@@ -164,9 +165,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         at = np.repeat(offsets[doc] + start - np.r_[0, ends[:-1]], sizes) + np.arange(ends[-1] if len(ends) else 0)
         return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data[at])])
 
-    # of equal units two come, to be held against each other byte by byte; further ones follow those
-    two = distinct.withColumn("place", F.explode(F.array_distinct(F.array("place", "last"))))
-    held = staged(repeats.fetched(docs, two, cut, "binary", {"parts": "bigint"}))
+    # of equal units two come, to be held against each other byte by byte; further ones follow those; where several are
+    # at one place of one document, its row is repeated
+    two = distinct.withColumn("again", (F.col("n") > 1) & (F.col("place") == F.col("last")))
+    two = two.withColumn("place", F.explode(F.array_distinct(F.array("place", "last"))))
+    held = staged(repeats.fetched(docs, two, cut, "binary", {"parts": "bigint", "again": "boolean"}))
     total = held.agg(F.sum(F.col("count") + length)).first()[0] or 0
 
     def compare(table: pa.Table) -> pa.RecordBatch:

@@ -80,6 +80,24 @@ def test_hot_anchors_are_settled_across_shards(spark, monkeypatch):
     assert rows_of(substrings.remove_repeats(frame(spark, rows), window=9, gram=3)) == words_by_force(rows, 9)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+@pytest.mark.parametrize("parts", [1, 4])
+def test_a_row_whose_only_copy_is_itself(spark, broadcast, parts):
+    """Rows repeated as a whole are places like others, whichever way the texts are fetched."""
+    rng = random.Random(2)
+    text = "".join(rng.choices("abcdefgh ", k=900))
+    rows = [(71, text), (71, text), (72, text[::-1]), (3, None), *odd_texts(), (8, odd_texts()[7][1])]
+    docs = frame(spark, rows).repartition(parts)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before if broadcast else "-1")
+    try:
+        got, words = rows_of(suffixes.remove_repeats(docs)), rows_of(substrings.remove_repeats(docs))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == bytes_by_force(rows, 200) and words == words_by_force(rows, 50)
+    assert [r[2] for r in got if r[0] == 71] == [900, 900]
+
+
 def test_repeated_bytes_of_documents(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
