@@ -377,13 +377,30 @@ def document_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.components(d)
 
 
-@query()
+MERGE_SQL = f"""WITH RECURSIVE w AS (SELECT conv_id AS doc_id, turn AS seq, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations),
+s AS (SELECT doc_id, seq, {STEM_SQL} AS c FROM w WHERE length(w) > 2 AND w NOT IN ({STOP_SQL})), t AS (SELECT doc_id, seq, list(DISTINCT CASE WHEN length(c) > 4 AND ends_with(c, 'e') THEN left(c, length(c) - 1) ELSE c END) AS w FROM s GROUP BY ALL),
+r AS (SELECT conv_id AS doc_id, turn AS seq, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, coalesce(t.w, []) AS w FROM conversations c LEFT JOIN t ON t.doc_id = conv_id AND t.seq = turn),
+g AS (SELECT doc_id, seq, place, place AS head, CASE WHEN len(w) > 0 THEN [{{'p': place, 'w': w}}] ELSE [] END AS heads FROM r WHERE place = 0
+ UNION ALL SELECT doc_id, seq, place, CASE WHEN len(w) > 0 AND len(near) > 0 THEN near[1].p ELSE place END, CASE WHEN len(w) = 0 OR len(near) > 0 THEN heads ELSE list_append(heads, {{'p': place, 'w': w}}) END
+ FROM (SELECT r.*, heads, list_filter(heads, lambda h: len(list_intersect(h.w, r.w)) >= 0.4::DOUBLE * (len(h.w) + len(r.w) - len(list_intersect(h.w, r.w)))) AS near FROM g JOIN r ON r.doc_id = g.doc_id AND r.place = g.place + 1))
+SELECT doc_id, min(seq) AS seq, list_sort(list_filter(list(DISTINCT 'turn ' || seq), lambda x: x <> 'turn ' || min(seq))) AS also_in FROM g GROUP BY doc_id, head"""
+
+
+@query(MERGE_SQL)
 def merge_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     f = findings.as_findings(c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("seq"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("section"), F.lit("security").alias("domain"), F.lit("HIGH").alias("severity"), F.col("text").alias("issue"), F.lit("agent").alias("origin")))
     return findings.merge_duplicates(f).select("doc_id", "seq", "also_in")
 
 
+@query(MERGE_SQL.replace("FROM conversations", "FROM turns").replace("FROM conversations c", "FROM turns c").replace("WITH RECURSIVE w AS", "WITH RECURSIVE turns AS (SELECT turn AS conv_id, conv_id AS turn, text FROM conversations), w AS"))
+def merge_across_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns at one place of all conversations as the findings of one document: few blocks, each as large as the table."""
+    c = table(spark, sf_dir, "conversations")
+    f = findings.as_findings(c.select(F.col("turn").alias("doc_id"), F.col("conv_id").alias("seq"), F.concat(F.lit("turn "), F.col("conv_id").cast("string")).alias("section"), F.lit("security").alias("domain"), F.lit("HIGH").alias("severity"), F.col("text").alias("issue"), F.lit("agent").alias("origin")))
+    return findings.merge_duplicates(f).select("doc_id", "seq", "also_in")
+
+
 @query("SELECT role, conv_id % 5 AS bucket, count(*) AS n FROM conversations GROUP BY GROUPING SETS ((role), (conv_id % 5), ())")
 def grouped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").select("role", (F.col("conv_id") % 5).alias("bucket"))

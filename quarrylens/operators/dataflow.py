@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .findings import greedy_groups
+from .similarity import greedy_groups
 
 # Fixed values of the model.
 ZONES = ("internet", "partner", "dmz", "application", "data", "internal", "management", "unknown")

@@ -6,15 +6,13 @@ empty strings and arrays.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import text as T
+from .similarity import greedy_groups, similar_pairs  # noqa: F401  part of this algebra
 
 FINDING = {
     "doc_id": "bigint", "seq": "bigint", "section": "string", "domain": "string", "severity": "string", "issue": "string", "recommendation": "string",
@@ -75,68 +73,15 @@ def dedupe(findings: DataFrame) -> DataFrame:
     return fingerprints(findings).withColumn("_rank", F.row_number().over(best)).where("_rank = 1").drop("_rank")
 
 
-def greedy_groups(rows: DataFrame, keys: list[str], order: list[str], tokens: str, threshold: float, may_join: Callable[[dict, dict], bool] | None = None, least: int = 1) -> DataFrame:
-    """Each row's group head by a greedy pass: a row joins the first head with a Jaccard similarity of ``threshold``.
-
-    ``keys`` block the comparison (a document's domain, say). Adds ``head`` (the head's place in its block) and
-    ``place``. Blocks come sorted one after the other, so a task holds the heads of one block and never its rows.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block: tuple | None = None
-        at, heads = 0, []
-        for batch in batches:
-            own_keys = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
-            records = batch.to_pylist() if may_join else [None] * batch.num_rows
-            places, found = [], []
-            for key, words, record in zip(own_keys, batch.column(tokens).to_pylist(), records, strict=True):
-                if key != block:
-                    block, at, heads = key, 0, []
-                own, join = frozenset(words), None
-                if len(own) >= least:
-                    join = next((h for h, other, head in heads if len(own & other) >= threshold * len(own | other) and (not may_join or may_join(head, record))), None)
-                    if join is None:
-                        heads.append((at, own, record))
-                places.append(at)
-                found.append(at if join is None else join)
-                at += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64()), pa.array(found, pa.int64())], [*batch.schema.names, "place", "head"])
-
-    schema = StructType([*rows.schema.fields, StructField("place", LongType()), StructField("head", LongType())])
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
-
-
-def similar_pairs(rows: DataFrame, id_col: str, tokens: str, threshold: float) -> DataFrame:
-    """Pairs ``a`` < ``b`` of token sets with a Jaccard similarity of ``threshold`` or more; the least id stands for a set.
-
-    Two such sets share one of their rarest tokens: of n tokens, rarest first, one among the first n - ceil(t * n) + 1.
-    Only these are joined, so a frequent token makes no pairs but among sets of nothing rarer. Rows without tokens have
-    no pair.
-    """
-    sets = rows.select(F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(tokens)).alias("_w")).where(F.size("_w") > 0).groupBy("_w").agg(F.min("_id").alias("_id"))
-    each = sets.select("_id", F.size("_w").alias("_n"), F.explode("_w").alias("_token"))
-    rare = each.join(each.groupBy("_token").agg(F.count(F.lit(1)).alias("_df")), "_token")
-    ranked = rare.groupBy("_id", "_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_r"))
-    first = F.slice("_r", F.lit(1), (F.col("_n") - F.ceil(threshold * F.col("_n") - 1e-9) + 1).cast("int"))
-    heads = ranked.select("_id", "_n", F.explode(F.transform(first, lambda x: x["_token"])).alias("_token"))
-    a, b = heads.alias("a"), heads.alias("b")
-    near = (F.col("a._n") >= threshold * F.col("b._n") - 1e-9) & (F.col("b._n") >= threshold * F.col("a._n") - 1e-9)
-    pairs = a.join(b, (F.col("a._token") == F.col("b._token")) & (F.col("a._id") < F.col("b._id")) & near).select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).distinct()
-    both = pairs.join(sets.select(F.col("_id").alias("a"), F.col("_w").alias("_x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("_w").alias("_y")), "b")
-    shared = F.size(F.array_intersect("_x", "_y"))
-    return both.where(shared >= threshold * (F.size("_x") + F.size("_y") - shared) - 1e-9).select("a", "b")
-
-
 def merge_duplicates(findings: DataFrame, threshold: float = 0.4) -> DataFrame:
     """One finding for the same problem in several sections of a document; rules' findings stay as they are."""
     tokens = F.when(F.col("rule_id") == "", T.issue_tokens("issue")).otherwise(F.array().cast("array<string>"))  # none: joins nothing
     grouped = greedy_groups(findings.withColumn("_t", tokens), ["doc_id", "domain"], ["seq"], "_t", threshold)
-    best = Window.partitionBy("doc_id", "domain", "head").orderBy((~is_confirmed()).cast("int"), T.severity_rank("severity"), (~F.col("evidence_grounded")).cast("int"), -F.length("evidence_excerpt"), "seq")
-    everyone = Window.partitionBy("doc_id", "domain", "head")
-    ranked = grouped.withColumn("_rank", F.row_number().over(best)).withColumn("_sections", F.collect_set("section").over(everyone))
-    others = F.array_sort(F.array_union("also_in", F.array_remove("_sections", F.col("section"))))
-    merged = ranked.where("_rank = 1").withColumn("also_in", others)
-    return merged.select(*findings.columns)
+    best = F.struct((~is_confirmed()).cast("int"), T.severity_rank("severity"), (~F.col("evidence_grounded")).cast("int"), -F.length("evidence_excerpt"), "seq", "place")
+    one = grouped.groupBy("doc_id", "domain", "head").agg(F.min_by(F.struct(*findings.columns), best).alias("_f"), F.collect_set("section").alias("_sections"))
+    f = F.col("_f")
+    others = F.array_sort(F.array_union(f["also_in"], F.array_remove("_sections", f["section"])))
+    return one.select(*[(others if c == "also_in" else f[c]).alias(c) for c in findings.columns])
 
 
 def ordered(findings: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .findings import greedy_groups
+from .similarity import greedy_groups
 
 # Fixed values.
 DECISIONS = ("accepted", "disputed")
@@ -60,7 +60,7 @@ def _confirmed() -> Column:
 def merge_queue(items: DataFrame, threshold: float = 0.35) -> DataFrame:
     """One item for a finding and a threat about the same weakness; it takes the other's key and, if open, its status."""
     rows = items.withColumn("_c", (~_confirmed()).cast("int")).withColumn("_rank", T.severity_rank("severity")).withColumn("_t", T.long_tokens(F.concat_ws(" ", "title", "recommendation")))
-    grouped = greedy_groups(rows, ["doc_id", "domain"], ["_c", "_rank", "key"], "_t", threshold, lambda head, own: head["kind"] != own["kind"], least=4)
+    grouped = greedy_groups(rows, ["doc_id", "domain"], ["_c", "_rank", "key"], "_t", threshold, differ="kind", least=4)
     own = Window.partitionBy("doc_id", "domain", "head")
     keys = F.transform(F.filter(F.array_sort(F.collect_list(F.struct("place", "key")).over(own)), lambda x: x["place"] != F.col("head")), lambda x: x["key"])
     decided = F.min_by("status", F.when(F.col("status") != "open", F.col("place"))).over(own)
