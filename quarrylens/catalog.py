@@ -531,3 +531,21 @@ def rolled_up_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as findings that match an expected one (a user), a trap or nothing."""
     e = table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("matched"), F.expr("CASE event_id % 3 WHEN 0 THEN 'expected' WHEN 1 THEN 'trap' ELSE 'none' END").alias("status"))
     return evaluation.rollup_scores(e, ["event_type"]).select("event_type", "n", "correct", "trap", "found", F.round(F.col("precision") * 1e6).cast("bigint").alias("precision_ppm"))
+
+
+PART_WORDS = "list_distinct(list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: length(w) > 3))"
+
+
+@query(f"""WITH RECURSIVE f AS (SELECT p_size AS doc, p_partkey AS seq, {PART_WORDS} AS a, lower(p_brand) AS s FROM part WHERE p_partkey % 2 = 1),
+e AS (SELECT p_size AS doc, p_partkey AS id, {PART_WORDS} AS b, lower(p_brand[:7]) AS t, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS n FROM part WHERE p_partkey % 2 = 0),
+c AS (SELECT e.doc, e.id, list(f.seq ORDER BY f.seq) AS seqs FROM e JOIN f USING (doc) WHERE len(list_intersect(a, b)) >= 0.3::DOUBLE * greatest(len(a), len(b)) AND len(a) > 0 AND (contains(s, t) OR contains(t, s)) GROUP BY ALL),
+m AS (SELECT e.doc, e.n, e.id, coalesce(c.seqs, []) AS seqs FROM e LEFT JOIN c USING (doc, id)),
+g AS (SELECT DISTINCT doc, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS seq, CAST([] AS BIGINT[]) AS used FROM e
+ UNION ALL SELECT doc, n, id, free[1], CASE WHEN len(free) > 0 THEN list_append(used, free[1]) ELSE used END FROM (SELECT m.doc, m.n, m.id, g.used, list_filter(m.seqs, lambda x: NOT list_contains(g.used, x)) AS free FROM g JOIN m ON m.doc = g.doc AND m.n = g.n + 1))
+SELECT doc AS doc_id, seq, id AS expected FROM g WHERE seq IS NOT NULL""")
+def matched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts with odd keys as findings, those with even ones as expected, by size: names in common, and the brand named."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), F.lit("HIGH").alias("severity"), "p_partkey", "p_name", "p_brand")
+    found = p.where("p_partkey % 2 = 1").select("doc_id", "severity", F.col("p_partkey").alias("seq"), F.col("p_name").alias("issue"), F.col("p_brand").alias("section"))
+    wanted = p.where("p_partkey % 2 = 0").select("doc_id", "severity", F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.substring("p_brand", 1, 7).alias("section"))
+    return evaluation.one_to_one(found, wanted).select("doc_id", "seq", "expected")

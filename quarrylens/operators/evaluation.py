@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..staging import staged
+from .similarity import LARGER, first_matching, similar_edges
 
 
 def candidate_rows(answers: DataFrame) -> DataFrame:
@@ -33,23 +34,19 @@ def prefilter(predictions: DataFrame, candidates: DataFrame, expected: int = 5,
 def one_to_one(findings: DataFrame, expected: DataFrame, least: float = 0.3) -> DataFrame:
     """Greedy pairs of findings and expected ones in a document and severity: words in common and the section named.
 
-    Each expected finding takes the first finding, in order, that matches and is not taken.
+    Each expected finding takes the first finding, in order, that matches and is not taken. Candidates meet on their rare
+    words; pairs that come first at both ends are taken in rounds.
     """
-    f = findings.select("doc_id", "severity", "seq", T.long_tokens("issue").alias("_a"), F.lower("section").alias("_s"))
-    e = expected.select("doc_id", "severity", F.col("id").alias("expected"), T.long_tokens("title").alias("_b"), F.lower("section").alias("_t"))
-    close = (T.overlap("_a", "_b", "max") >= least) & (F.contains("_s", "_t") | F.contains("_t", "_s"))
-    pairs = f.join(e, ["doc_id", "severity"]).where(close).select("doc_id", "severity", "seq", "expected")
-
-    def take(block: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for name, rows in block.sort_values(["expected", "seq"]).groupby("expected", sort=True):
-            free = next((s for s in rows["seq"] if s not in used), None)
-            if free is not None:
-                used.add(free)
-                out.append((rows["doc_id"].iloc[0], rows["severity"].iloc[0], free, name))
-        return pd.DataFrame(out, columns=["doc_id", "severity", "seq", "expected"])
-
-    return pairs.groupBy("doc_id", "severity").applyInPandas(take, pairs.schema)
+    block = F.struct("doc_id", "severity")
+    finding, wanted = F.struct(F.lit(1).alias("side"), F.col("seq"), F.lit(None).cast(expected.schema["id"].dataType).alias("id")), F.struct(F.lit(2).alias("side"), F.lit(None).cast(findings.schema["seq"].dataType).alias("seq"), F.col("id"))
+    f = findings.select(block.alias("_k"), finding.alias("_at"), T.long_tokens("issue").alias("_w"), F.lower("section").alias("_s"), F.lit(1).alias("_side"))
+    e = expected.select(block.alias("_k"), wanted.alias("_at"), T.long_tokens("title").alias("_w"), F.lower("section").alias("_s"), F.lit(2).alias("_side"))
+    both = staged(f.unionByName(e).withColumn("_d", F.lit(None).cast("string")))
+    near = similar_edges(both.where(F.size("_w") > 0).drop("_s"), least, LARGER)
+    places = both.select("_k", "_at", "_s")
+    named = near.join(places.select("_k", F.col("_at").alias("a"), F.col("_s").alias("_x")), ["_k", "a"]).join(places.select("_k", F.col("_at").alias("b"), F.col("_s").alias("_y")), ["_k", "b"])
+    edges = named.where(F.contains("_x", "_y") | F.contains("_y", "_x")).select("_k", F.col("b.id").alias("a"), F.col("a.seq").alias("b"))
+    return first_matching(edges).select("_k.doc_id", "_k.severity", F.col("b").alias("seq"), F.col("a").alias("expected"))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, keys: list[str] | None = None) -> DataFrame:

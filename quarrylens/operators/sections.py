@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import multi as M
 from ..functions import text as T
 from ..plans.topics import CRITERIA, GENERAL, MARKERS, STRUCTURE, TOPICS
 
@@ -124,16 +125,20 @@ def topic_frame(spark: SparkSession, topics: Sequence = TOPICS) -> DataFrame:
 def topic_array(heading: Column | str, body: Column | str, topics: Sequence = TOPICS) -> Column:
     """Topics with a positive score: 3 for a keyword in the heading, 1 for each of its first four in the body."""
 
-    def score(keyword: Column, h: Column, b: Column) -> Column:
-        return F.when(F.contains(h, keyword), 3.0).otherwise(0.0) + F.when(F.contains(b, keyword), F.least(T.occurrences(b, keyword), F.lit(4))).otherwise(0)
+    words = sorted({k for t in topics for k in t.keywords})
+    odd = [w for w in words if M.overlaps_itself(w)]
+
+    def score(keyword: Column, both: Column) -> Column:
+        return F.when(F.array_contains(both["h"], keyword), 3.0).otherwise(0.0) + F.when(F.array_contains(both["b"], keyword), F.least(M.counted(both["b"], both["t"], keyword, odd), F.lit(4))).otherwise(0)
 
     def scores(both: Column) -> Column:
-        each = lambda t: F.aggregate(t["keywords"], F.lit(0.0), lambda total, k: total + score(k, both["h"], both["b"]))
-        return F.transform(catalogue, lambda t: F.struct(t["ord"].alias("ord"), t["topic"].alias("topic"), t["domain"].alias("domain"), each(t).alias("score")))
+        each = lambda t: F.aggregate(t["keywords"], F.lit(0.0), lambda total, k: total + score(k, both))
+        every = F.transform(catalogue, lambda t: F.struct(t["ord"].alias("ord"), t["topic"].alias("topic"), t["domain"].alias("domain"), each(t).alias("score")))
+        return F.when(F.size(both["h"]) + F.size(both["b"]) > 0, every).otherwise(F.array().cast("array<struct<ord:int,topic:string,domain:string,score:double>>"))
 
     catalogue = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(t.key).alias("topic"), F.lit(t.domain).alias("domain"), F.array(*map(F.lit, t.keywords)).alias("keywords")) for i, t in enumerate(topics)])
-    once = F.struct(T.normalise(heading).alias("h"), T.normalise(body).alias("b"))
-    return F.filter(T.bind(once, scores), lambda s: s["score"] > 0)
+    found = lambda t: F.struct(M.begun(T.normalise(heading), words).alias("h"), M.begun(t, words).alias("b"), t.alias("t"))
+    return F.filter(T.bind(T.bind(T.normalise(body), found), scores), lambda s: s["score"] > 0)
 
 
 def score_topics(sections: DataFrame, keys: Sequence[str], heading: Column | str, body: Column | str, topics: Sequence = TOPICS) -> DataFrame:

@@ -41,8 +41,17 @@ def _least_shared(threshold: float, size: Column) -> Column:
     return F.ceil(threshold * size - 1e-9)
 
 
-def similar_edges(sets: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``a`` < ``b`` of a block (``_k``) with a Jaccard similarity of ``threshold`` or more.
+#: Shared tokens over those of both sets, or over those of the larger one.
+JACCARD, LARGER = "jaccard", "larger"
+
+
+def _needed(threshold: float, x: Column, y: Column, measure: str) -> Column:
+    """Tokens that two sets of these sizes must share."""
+    return F.ceil((threshold / (1 + threshold) * (x + y) if measure == JACCARD else threshold * F.greatest(x, y)) - 1e-9)
+
+
+def similar_edges(sets: DataFrame, threshold: float, measure: str = JACCARD) -> DataFrame:
+    """Pairs ``a`` < ``b`` of a block (``_k``) with a similarity of ``threshold`` or more.
 
     ``sets`` has ``_k``, ``_at`` (unique in its block), ``_w`` (distinct tokens, one or more), ``_d`` (null, or what the
     two must differ in) and ``_side`` (0, or 1 and 2 for pairs of an ``a`` of side 1 and a ``b`` of side 2 alone).
@@ -59,11 +68,11 @@ def similar_edges(sets: DataFrame, threshold: float) -> DataFrame:
         crowds = post.groupBy("_k", "_key").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > HOT)
         crowds = staged(crowds)
         if crowds.isEmpty():
-            found.append(_meeting(post, threshold, shared))
+            found.append(_meeting(post, threshold, shared, measure))
             break
-        found.append(_meeting(post.join(crowds, ["_k", "_key"], "left_anti"), threshold, shared))
+        found.append(_meeting(post.join(crowds, ["_k", "_key"], "left_anti"), threshold, shared, measure))
         crowded = post.join(crowds, ["_k", "_key"])
-        found.append(_meeting_dealt(crowded.where(_least_shared(threshold, F.col("_n")) <= shared), threshold, shared))
+        found.append(_meeting_dealt(crowded.where(_least_shared(threshold, F.col("_n")) <= shared), threshold, shared, measure))
         last = (F.col("_n") + shared - F.greatest(_least_shared(threshold, F.col("_n")), F.lit(shared + 1))).cast("int")  # where one more shared token may stand at the latest
         later = F.filter(F.transform("_r", lambda t, i: F.struct(i.alias("_j"), t.alias("_t"))), lambda x: (x["_j"] > F.col("_i")) & (x["_j"] <= last))
         longer = crowded.withColumn("_x", F.explode(later))
@@ -73,32 +82,32 @@ def similar_edges(sets: DataFrame, threshold: float) -> DataFrame:
     words = sets.select("_k", "_at", "_w")
     both = pairs.join(words.select("_k", F.col("_at").alias("a"), F.col("_w").alias("_x")), ["_k", "a"]).join(words.select("_k", F.col("_at").alias("b"), F.col("_w").alias("_y")), ["_k", "b"])
     common = F.size(F.array_intersect("_x", "_y"))
-    return both.where(common >= threshold * (F.size("_x") + F.size("_y") - common)).select("_k", "a", "b")
+    whole = F.size("_x") + F.size("_y") - common if measure == JACCARD else F.greatest(F.size("_x"), F.size("_y"))
+    return both.where(common >= threshold * whole if measure == JACCARD else common / whole >= threshold).select("_k", "a", "b")
 
 
-def _fits(threshold: float, shared: int) -> Column:
+def _fits(threshold: float, shared: int, measure: str) -> Column:
     """What pairs of postings satisfy if the key is what they share first."""
-    n = F.col("x._n") + F.col("y._n")
-    need = F.ceil(threshold / (1 + threshold) * n - 1e-9)
+    need = _needed(threshold, F.col("x._n"), F.col("y._n"), measure)
     left = F.least(F.col("x._n") - F.col("x._i"), F.col("y._n") - F.col("y._i")) - 1
     sides = ((F.col("x._side") == 0) & (F.col("y._side") == 0)) | ((F.col("x._side") == 1) & (F.col("y._side") == 2))
     near = (F.col("x._n") >= threshold * F.col("y._n") - 1e-9) & (F.col("y._n") >= threshold * F.col("x._n") - 1e-9)
     return (F.col("x._at") < F.col("y._at")) & sides & near & (left + shared >= need) & ~F.coalesce(F.col("x._d") == F.col("y._d"), F.lit(False))
 
 
-def _meeting(post: DataFrame, threshold: float, shared: int) -> DataFrame:
+def _meeting(post: DataFrame, threshold: float, shared: int, measure: str) -> DataFrame:
     post = post.drop("_r")
-    on = (F.col("x._k") == F.col("y._k")) & (F.col("x._key") == F.col("y._key")) & _fits(threshold, shared)
+    on = (F.col("x._k") == F.col("y._k")) & (F.col("x._key") == F.col("y._key")) & _fits(threshold, shared, measure)
     return post.alias("x").join(post.alias("y"), on).select(F.col("x._k").alias("_k"), F.col("x._at").alias("a"), F.col("y._at").alias("b"))
 
 
-def _meeting_dealt(post: DataFrame, threshold: float, shared: int) -> DataFrame:
+def _meeting_dealt(post: DataFrame, threshold: float, shared: int, measure: str) -> DataFrame:
     """Pairs that a crowded key makes similar by itself: its sets are dealt to shares, and every two shares meet once."""
     shares = F.ceil(F.col("_m") / HOT).cast("int")
     post = post.drop("_r").withColumn("_own", F.pmod(F.xxhash64("_at"), shares).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), shares - 1)))
     on = (F.col("x._k") == F.col("y._k")) & (F.col("x._key") == F.col("y._key")) & (F.col("x._own") == F.col("y._other")) & (F.col("x._other") == F.col("y._own"))
-    need = F.ceil(threshold / (1 + threshold) * (F.col("x._n") + F.col("y._n")) - 1e-9)
-    return post.alias("x").join(post.alias("y"), on & _fits(threshold, shared) & (need <= shared)).select(F.col("x._k").alias("_k"), F.col("x._at").alias("a"), F.col("y._at").alias("b"))
+    need = _needed(threshold, F.col("x._n"), F.col("y._n"), measure)
+    return post.alias("x").join(post.alias("y"), on & _fits(threshold, shared, measure) & (need <= shared)).select(F.col("x._k").alias("_k"), F.col("x._at").alias("a"), F.col("y._at").alias("b"))
 
 
 def not_first(edges: DataFrame) -> DataFrame:
@@ -119,6 +128,23 @@ def not_first(edges: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, gone) if gone else edges.select("_k", F.col("a").alias("_at"))
 
 
+def first_matching(edges: DataFrame) -> DataFrame:
+    """Pairs of ``edges`` (``_k``, ``a``, ``b``) as a greedy pass takes them, by ``a`` and then ``b``, no end twice.
+
+    A round takes every pair that comes first at both of its ends, and drops what touches these.
+    """
+    taken = []
+    while True:
+        edges = staged(edges)
+        if edges.isEmpty():
+            break
+        a, b = edges.groupBy("_k", "a").agg(F.min("b").alias("b")), edges.groupBy("_k", "b").agg(F.min("a").alias("a"))
+        first = staged(a.join(b, ["_k", "a", "b"]))
+        taken.append(first)
+        edges = edges.join(first.select("_k", "a"), ["_k", "a"], "left_anti").join(first.select("_k", "b"), ["_k", "b"], "left_anti").select("_k", "a", "b")
+    return reduce(DataFrame.unionByName, [t.select("_k", "a", "b") for t in taken]) if taken else edges
+
+
 def first_heads(sets: DataFrame, threshold: float) -> DataFrame:
     """For each set its first similar head (``head``), or null for a head. A step decides the rows up to some place in every
     block, and what later rows its heads take; the next one looks twice as far at what is left, so most pairs never meet."""
