@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import multi as M
 from ..functions import text as T
 from ..plans.rule_catalogue import RULES, Rule
 from ..plans.topics import DOMAINS
@@ -46,11 +47,24 @@ def stands(t: Column, pattern: str) -> Column:
     return F.exists(F.transform(clauses, lambda c: F.split(F.trim(F.lower(c)), r"\s+")), held)
 
 
-def suppressed(t: Column, rule: Rule) -> Column:
+def matches(t: Column, pattern: str, seen: Column) -> Column:
+    """Whether a pattern matches, asked only of texts that have a literal that it needs; ``seen`` holds those of the text."""
+    literals = M.needed(pattern)
+    hit = F.rlike(t, F.lit(FLAGS + pattern))
+    return hit if literals is None else F.arrays_overlap(seen, F.array(*map(F.lit, literals))) & hit
+
+
+def literals_of(rules: Sequence[Rule]) -> list[str]:
+    """All literals that some pattern of the rules needs."""
+    patterns = [p for r in rules for p in (*r.hard, *r.soft, *([suppressor(r)] if r.suppressors else []))]
+    return sorted({w for p in patterns for w in M.needed(p) or ()})
+
+
+def suppressed(t: Column, rule: Rule, seen: Column) -> Column:
     """A guarded rule is suppressed only by a control that stands."""
     if not rule.suppressors:
         return F.lit(False)
-    named = F.rlike(t, F.lit(FLAGS + suppressor(rule)))
+    named = matches(t, suppressor(rule), seen)
     return F.when(named, stands(t, suppressor(rule))).otherwise(False) if rule.guard else named
 
 
@@ -60,7 +74,7 @@ def rule_frame(spark: SparkSession, rules: Sequence[Rule] = RULES) -> DataFrame:
     return spark.createDataFrame(rows, "rule_id string, rule_domain string, severity string, issue string, recommendation string, hard array<string>, soft array<string>, suppressor string, rule_topics array<string>, scope string, kind string, soft_kind string")
 
 
-def first_hit(t: Column, rule: Rule, order: int) -> Column:
+def first_hit(t: Column, rule: Rule, order: int, seen: Column) -> Column:
     """What the first pattern that matches and counts says, else null: hard ones first and unsuppressed."""
 
     def says(pattern: str, hard: bool) -> Column:
@@ -68,19 +82,23 @@ def first_hit(t: Column, rule: Rule, order: int) -> Column:
         return F.struct(F.lit(order).alias("ord"), F.lit(FLAGS + pattern).alias("pattern"), F.lit(hard).alias("hard"), F.lit(kind).alias("kind"))
 
     hit = F.lit(None).cast("struct<ord:int,pattern:string,hard:boolean,kind:string>")
-    counts = ~suppressed(t, rule)
+    counts = ~suppressed(t, rule, seen)
     for p in reversed(rule.soft):
-        hit = F.when(F.rlike(t, F.lit(FLAGS + p)) & counts, says(p, False)).otherwise(hit)
+        hit = F.when(matches(t, p, seen) & counts, says(p, False)).otherwise(hit)
     for p in reversed(rule.hard):
-        hit = F.when(F.rlike(t, F.lit(FLAGS + p)), says(p, True)).otherwise(hit)
+        hit = F.when(matches(t, p, seen), says(p, True)).otherwise(hit)
     return hit
 
 
 def _scan(rows: DataFrame, keys: list[str], t: Column, rules: Sequence[Rule], applies) -> DataFrame:
-    """Patterns are literals, so that Java compiles each once a task; rows fan out only where a rule hits."""
+    """Patterns are literals, so that Java compiles each once a task; rows fan out only where a rule hits.
+
+    One pass over a text says which literals it has; a pattern that needs another is not asked.
+    """
     none = F.array().cast("array<struct<ord:int,pattern:string,hard:boolean,kind:string>>")
-    hits = lambda text: F.array_compact(F.array(*[F.when(applies(r), first_hit(text, r, k)) for k, r in enumerate(rules)])) if rules else none
-    out = rows.select(*keys, t.alias("_t"), F.inline(T.bind(t, hits)))
+    hits = lambda both: F.array_compact(F.array(*[F.when(applies(r), first_hit(both["t"], r, k, both["seen"])) for k, r in enumerate(rules)])) if rules else none
+    seen = lambda text: F.struct(text.alias("t"), F.array_distinct(M.begun(M.folded(text), literals_of(rules))).alias("seen"))
+    out = rows.select(*keys, t.alias("_t"), F.inline(T.bind(T.bind(t, seen), hits)))
     spark = rows.sparkSession
     facts = spark.createDataFrame([(k, r.id, r.domain, r.severity, r.issue, r.advice) for k, r in enumerate(rules)], "ord int, rule_id string, domain string, severity string, issue string, recommendation string")
     found = out.join(F.broadcast(facts), "ord")  # a row a rule

@@ -50,3 +50,22 @@ def test_literals_that_a_pattern_needs():
     assert multi.needed(r"(?:alpha|b?)x") is None and multi.needed(r"\w+") is None and multi.needed(r"(") is None
     assert multi.needed(r"(?:ab)*cde?") == ("cd",) and multi.needed(r"Ab[cd]+ef") == ("ab",)
     assert T.text is not None
+
+
+def test_no_rule_matches_a_text_without_its_literals():
+    from quarrylens.operators import rules
+    from quarrylens.plans.rule_catalogue import RULES
+
+    from test_rules import CASES, GUARDS
+
+    texts = [t for c in CASES for t in c[1:]] + [t for t, _ in GUARDS]
+    texts += [t.upper() for t in texts]
+    patterns = [p for r in RULES for p in (*r.hard, *r.soft, *([rules.suppressor(r)] if r.suppressors else []))]
+    hits = 0
+    for p in patterns:
+        literals = multi.needed(p)
+        for t in texts:
+            if re.search(p, t, re.IGNORECASE):
+                hits += 1
+                assert any(w in t.lower() for w in literals), (p, t)
+    assert hits > len(CASES)
