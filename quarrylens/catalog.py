@@ -12,7 +12,7 @@ from .operators import dataflow, evaluation, extraction, findings, retrieval, ru
 from .plans import review, rule_catalogue
 from .plans.topics import DOMAINS
 from .sinks import writers
-from .sources import readers
+from .sources import nested, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -549,3 +549,29 @@ def matched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = p.where("p_partkey % 2 = 1").select("doc_id", "severity", F.col("p_partkey").alias("seq"), F.col("p_name").alias("issue"), F.col("p_brand").alias("section"))
     wanted = p.where("p_partkey % 2 = 0").select("doc_id", "severity", F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.substring("p_brand", 1, 7).alias("section"))
     return evaluation.one_to_one(found, wanted).select("doc_id", "seq", "expected")
+
+
+# Events as nested settings: an object of objects and lists around an event's own props, and one that overrides parts of it.
+SETTINGS_SQL = """WITH e AS (SELECT event_id, '{"type":"' || event_type || '","user":{"id":' || user_id || ',"seen":[' || event_id % 3 || ',{"last":' || event_id % 5 || ',"none":{}}],"plan":{"tier":{"name":"t' || user_id % 4 || '"}}},"props":' || coalesce(props, 'null') || '}' AS base,
+ CASE event_id % 4 WHEN 0 THEN '{"user":{"seen":[9],"plan":{"tier":{"name":"gold","since":' || event_id % 7 || '}}}}' WHEN 1 THEN '{"props":{"extra":{"deep":' || event_id % 11 || '}}}' WHEN 2 THEN '{"type":{"own":true},"user":7}' ELSE '{}' END AS over FROM events)"""
+
+
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.coalesce("props", F.lit("null")).alias("props"), *[(F.col("event_id") % k).cast("string").alias(f"m{k}") for k in (3, 5, 7, 11)], (F.col("user_id") % 4).alias("u4"))
+    base = F.format_string('{"type":"%s","user":{"id":%d,"seen":[%s,{"last":%s,"none":{}}],"plan":{"tier":{"name":"t%d"}}},"props":%s}', "event_type", "user_id", "m3", "m5", "u4", "props")
+    k = F.col("event_id") % 4
+    over = F.when(k == 0, F.format_string('{"user":{"seen":[9],"plan":{"tier":{"name":"gold","since":%s}}}}', "m7")).when(k == 1, F.format_string('{"props":{"extra":{"deep":%s}}}', "m11")).when(k == 2, '{"type":{"own":true},"user":7}').otherwise("{}")
+    return e.select("event_id", nested.parsed(base).alias("base"), nested.parsed(over).alias("over"))
+
+
+@query(SETTINGS_SQL + """ SELECT event_id, substr(t.fullkey, 3) AS path, CASE WHEN t.type = 'NULL' THEN '' WHEN t.type = 'BOOLEAN' THEN upper(left(t.atom ->> '$', 1)) || substr(t.atom ->> '$', 2) ELSE t.atom ->> '$' END AS value
+FROM e, json_tree(CAST(base AS JSON)) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
+def nested_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.leaves(_settings(spark, sf_dir), ["event_id"], "base")
+
+
+@query(SETTINGS_SQL + """ SELECT event_id, substr(t.fullkey, 3) AS path, CASE WHEN t.type = 'NULL' THEN '' WHEN t.type = 'BOOLEAN' THEN upper(left(t.atom ->> '$', 1)) || substr(t.atom ->> '$', 2) ELSE t.atom ->> '$' END AS value
+FROM e, json_tree(json_merge_patch(CAST(base AS JSON), CAST(over AS JSON))) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""")
+def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _settings(spark, sf_dir).select("event_id", nested.merged(F.col("base"), F.col("over")).alias("v"))
+    return nested.leaves(both, ["event_id"], "v")
