@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import dataflow, evaluation, extraction, findings, retrieval, rules, scoring, sections, skills, workflow
+from .operators import dataflow, evaluation, extraction, findings, folds, retrieval, rules, scoring, sections, skills, workflow
 from .plans import review, rule_catalogue
 from .plans.topics import DOMAINS
 from .sinks import writers
@@ -575,3 +575,35 @@ FROM e, json_tree(json_merge_patch(CAST(base AS JSON), CAST(over AS JSON))) t WH
 def merged_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _settings(spark, sf_dir).select("event_id", nested.merged(F.col("base"), F.col("over")).alias("v"))
     return nested.leaves(both, ["event_id"], "v")
+
+
+# Orders as a log of their customers' documents: priorities are actions, and every third writer says what version it saw.
+APPROVAL_SQL = """WITH RECURSIVE e AS (SELECT o_custkey AS document, o_orderkey AS seq, CASE left(o_orderpriority, 1) WHEN '1' THEN 'approve' WHEN '2' THEN 'approve' WHEN '5' THEN 'sign' ELSE 'edit' END AS action,
+ CASE WHEN o_orderkey % 5 = 0 THEN ' ' ELSE ' ' || o_orderstatus || ' ' END AS writer, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 4 AS INTEGER) END AS base, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+g AS (SELECT DISTINCT document, CAST(0 AS BIGINT) AS seq, '' AS action, CAST(0 AS BIGINT) AS n, 0 AS version, 'draft' AS status, '' AS approved_by, 0 AS edits, '' AS refused FROM e
+ UNION ALL SELECT document, seq, action, n, CASE WHEN r = '' AND action = 'approve' THEN version + 1 ELSE version END, CASE WHEN r <> '' THEN status WHEN action = 'approve' THEN 'approved' ELSE 'draft' END,
+ CASE WHEN r = '' AND action = 'approve' THEN coalesce(nullif(trim(writer), ''), 'reviewer') ELSE approved_by END, CASE WHEN r <> '' THEN edits WHEN action = 'approve' THEN 0 ELSE edits + 1 END, r
+ FROM (SELECT e.document, e.seq, e.action, e.writer, e.n, g.version, g.status, g.approved_by, g.edits, CASE WHEN e.base <> g.version THEN 'conflict' WHEN e.action = 'sign' THEN 'unknown action' ELSE '' END AS r FROM g JOIN e ON e.document = g.document AND e.n = g.n + 1))"""
+
+
+def _approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    action = F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "approve").when(F.substring("o_orderpriority", 1, 1) == "5", "sign").otherwise("edit")
+    writer = F.when(key % 5 == 0, " ").otherwise(F.concat(F.lit(" "), "o_orderstatus", F.lit(" ")))
+    log = o.select(F.col("o_custkey").alias("document"), key.alias("seq"), action.alias("action"), writer.alias("writer"), F.when(key % 3 == 0, (key % 4).cast("int")).alias("base"))
+    return folds.approvals(log)
+
+
+@query(APPROVAL_SQL + " SELECT document, seq, version, status, approved_by, edits, refused FROM g WHERE n > 0")
+def approval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _approvals(spark, sf_dir).select("document", "seq", "version", "status", "approved_by", "edits", "refused")
+
+
+@query(APPROVAL_SQL + " SELECT document, version, seq, approved_by FROM g WHERE action = 'approve' AND refused = ''")
+def approved_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.approved_versions(_approvals(spark, sf_dir))
+
+
+@query(APPROVAL_SQL + " SELECT document, arg_max(version, n) AS version, arg_max(status, n) AS status FROM g WHERE n > 0 GROUP BY document")
+def current_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.current(_approvals(spark, sf_dir), ["document"]).select("document", "version", "status")
