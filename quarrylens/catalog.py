@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import dataflow, evaluation, extraction, findings, folds, retrieval, rules, scoring, sections, skills, workflow
+from .operators import dataflow, evaluation, extraction, findings, folds, resumable, retrieval, rules, scoring, sections, skills, workflow
 from .plans import review, rule_catalogue
 from .plans.topics import DOMAINS
 from .sinks import writers
+from .sinks.collection import Collection
 from .sources import nested, readers
+from .staging import scratch_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -607,3 +610,30 @@ def approved_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(APPROVAL_SQL + " SELECT document, arg_max(version, n) AS version, arg_max(status, n) AS status FROM g WHERE n > 0 GROUP BY document")
 def current_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.current(_approvals(spark, sf_dir), ["document"]).select("document", "version", "status")
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS chunk_id, lang AS domain, sha1(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS text_sha1 FROM documents WHERE lang <> 'fr' AND (doc_id % 2 = 1 OR doc_id % 3 = 0)""")
+def chunk_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents put into a collection by language: odd ones, then every third with a mark, twice; then French is dropped."""
+    d = table(spark, sf_dir, "documents")
+    chunk = lambda rows, text: rows.select(F.col("doc_id").cast("string").alias("chunk_id"), text.alias("text"), F.col("source"), F.col("lang").alias("domain"), F.lit("").alias("clause"), F.lit("").alias("heading"), F.lit(0).alias("ordinal"), F.array(F.lit(0.0)).alias("embedding"))
+    own = Collection(spark, scratch_folder(spark, "collection"), "letters-1")
+    own.upsert(chunk(d.where("doc_id % 2 = 1"), F.col("text")))
+    for _ in range(2):
+        own.upsert(chunk(d.where("doc_id % 3 = 0"), F.concat("text", F.lit("!"))))
+    own.drop("fr")
+    return own.read().select("chunk_id", "domain", F.sha1(F.col("text").cast("binary")).alias("text_sha1"))
+
+
+def _digest(row: dict) -> str:
+    if "&&&" in row["text"]:
+        raise ValueError("symbols")
+    return hashlib.sha256(row["text"].encode()).hexdigest()
+
+
+@query("""SELECT doc_id, CASE WHEN NOT contains(text, '&&&') THEN sha256(text) END AS value, CASE WHEN contains(text, '&&&') THEN 'ValueError: symbols' END AS error FROM documents""")
+def resumed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map over documents that was run over half of them before: what it has is kept, what failed is tried again."""
+    d, store = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_folder(spark, "results")
+    resumable.resume(d.where("doc_id % 2 = 0"), ["text"], _digest, store)
+    return resumable.resume(d, ["text"], _digest, store, slices=2).select("doc_id", "value", "error")

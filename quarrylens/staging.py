@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,30 @@ def staged_at(df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``staged`` for tables that go at the end of the block; what comes of them is to be staged before."""
+    made: list[tuple[SparkSession, str]] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out, path = staged_at(df)
+        made.append((df.sparkSession, path))
+        return out
+
+    try:
+        yield keep
+    finally:
+        for spark, path in made:
+            drop_staged(spark, path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the shared one, which goes when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(drop_staged, spark, path)
+    return path
+
+
 def drop_staged(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
