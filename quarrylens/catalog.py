@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import dataflow, evaluation, extraction, findings, folds, resumable, retrieval, rules, scoring, sections, skills, workflow
+from .operators import dataflow, evaluation, extraction, findings, folds, locating, resumable, retrieval, rules, scoring, sections, skills, workflow
 from .plans import review, rule_catalogue
 from .plans.topics import DOMAINS
 from .sinks import writers
@@ -637,3 +637,22 @@ def resumed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, store = table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_folder(spark, "results")
     resumable.resume(d.where("doc_id % 2 = 0"), ["text"], _digest, store)
     return resumable.resume(d, ["text"], _digest, store, slices=2).select("doc_id", "value", "error")
+
+
+SPLIT_SQL = r"list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+@query(f"""WITH q AS (SELECT item_id, {SPLIT_SQL} AS w FROM benchmark), d AS (SELECT doc_id, {SPLIT_SQL} AS x FROM documents), p AS (SELECT doc_id, x, unnest(range(len(x))) AS pos, unnest(x) AS word FROM d)
+SELECT item_id, doc_id, CAST(pos AS INTEGER) AS start FROM q JOIN p ON p.word = q.w[1] WHERE x[pos + 1:pos + len(w)] = w""")
+def quote_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents quote a passage word for word."""
+    return locating.quote_places(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", "text", "text")
+
+
+@query("""WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{6,}')) AS name FROM benchmark)
+SELECT n.name, d.lang, count(*) AS documents FROM n JOIN documents d ON contains(lower(d.text), n.name) GROUP BY ALL""")
+def named_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long words of the benchmark as names of components, in all documents, whether they stand in a word or are one."""
+    d = table(spark, sf_dir, "documents").withColumn("model", F.lit("m"))
+    names = table(spark, sf_dir, "benchmark").select(F.lit("m").alias("model"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("name")).distinct()
+    return locating.named_in(d.select("model", "doc_id", "lang", "text"), names, ["model"], ["doc_id", "lang"], "text", "name").groupBy("name", "lang").agg(F.count(F.lit(1)).alias("documents"))

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..staging import staged
+from .locating import named_in
 from .similarity import greedy_groups
 
 # Fixed values of the model.
@@ -276,8 +278,9 @@ def upsert_components(mentions: DataFrame) -> DataFrame:
 
 def facts_for_sections(sections: DataFrame, components: DataFrame, flows: DataFrame, most: int = 12) -> DataFrame:
     """For each section the components that it names (three letters or more) and the flows that touch them."""
-    text = F.lower(F.concat_ws(" ", "heading", "body"))
-    named = sections.join(components.where(F.length("name") >= 3).select(F.col("document").alias("doc_id"), F.col("id").alias("component"), "name"), "doc_id").where(F.contains(text, F.lower("name"))).select("doc_id", "index", "component", "name")
+    texts = sections.select("doc_id", "index", F.concat_ws(" ", "heading", "body").alias("_text"))
+    names = components.where(F.length("name") >= 3).select(F.col("document").alias("doc_id"), F.col("id").alias("component"), "name")
+    named = named_in(texts, names, ["doc_id"], ["index"], "_text", "name").select("doc_id", "index", "component", "name")
     ends = flows.select(F.col("document").alias("doc_id"), F.col("id").alias("flow"), F.explode(F.array("source", "target")).alias("component"))
     touching = named.join(ends, ["doc_id", "component"]).select("doc_id", "index", F.concat(F.lit("flow "), "flow").alias("fact"))
     facts = named.select("doc_id", "index", F.concat(F.lit("component "), "name").alias("fact")).unionByName(touching).distinct()
@@ -287,8 +290,9 @@ def facts_for_sections(sections: DataFrame, components: DataFrame, flows: DataFr
 
 def component_risk(components: DataFrame, findings: DataFrame) -> DataFrame:
     """How many findings name a component, as a level: critical from three on."""
-    hits = components.join(findings.select(F.col("doc_id").alias("document"), F.lower(F.concat_ws(" ", "issue", "evidence_excerpt")).alias("_t")), "document", "left")
-    n = hits.groupBy("document", "id").agg(F.count_if(F.contains("_t", F.lower("name"))).alias("n"))
+    texts = findings.select(F.col("doc_id").alias("document"), F.monotonically_increasing_id().alias("_row"), F.concat_ws(" ", "issue", "evidence_excerpt").alias("_text"))
+    hits = named_in(staged(texts), components.select("document", "id", "name"), ["document"], ["_row"], "_text", "name").groupBy("document", "id").agg(F.count(F.lit(1)).alias("n"))
+    n = components.select("document", "id").distinct().join(hits, ["document", "id"], "left").fillna(0, ["n"])
     return n.withColumn("level", F.when(F.col("n") >= 3, "critical").when(F.col("n") == 2, "high").when(F.col("n") == 1, "medium").otherwise("low"))
 
 

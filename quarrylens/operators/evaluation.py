@@ -93,13 +93,25 @@ def shuffled(c: Column | str, seed: int, *by: Column | str) -> Column:
     return F.transform(F.array_sort(F.transform(c, lambda x: F.struct(F.xxhash64(F.lit(seed), *by, x).alias("k"), x.alias("x")))), lambda s: s["x"])
 
 
-def key_problems(answers: DataFrame, texts: DataFrame) -> DataFrame:
-    """What is wrong with answer keys: quotes that are not in their document or not 5 to 45 words, ids that repeat."""
-    e = answers.select("doc_id", F.explode("expected_findings").alias("x")).select("doc_id", "x.id", F.explode("x.evidence").alias("quote")).join(texts, "doc_id", "left")
+def key_problems(answers: DataFrame, texts: DataFrame, headings: DataFrame | None = None) -> DataFrame:
+    """What is wrong with answer keys, a row each: quotes that are not in their document, not 5 to 45 words or not one
+    line, ids that repeat, sections that the document has no heading of (``headings``: doc_id, heading), and findings
+    across sections with fewer than two quotes. Fields that the keys do not have are not asked for."""
+    fields = set(answers.schema["expected_findings"].dataType.elementType.fieldNames())
+    x = answers.select("doc_id", F.explode("expected_findings").alias("x"))
+    e = x.select("doc_id", "x.id", F.explode("x.evidence").alias("quote")).join(texts, "doc_id", "left")
     n = T.word_count("quote")
-    quotes = e.select("doc_id", "id", F.when(~F.contains(F.coalesce("document", F.lit("")), F.col("quote")), "not verbatim").when((n < 5) | (n > 45), "length").alias("problem")).where("problem is not null")
+    said = F.array_compact(F.array(F.when(~F.contains(F.coalesce("document", F.lit("")), F.col("quote")), "not verbatim"), F.when((n < 5) | (n > 45), "length"), F.when(F.contains("quote", F.lit("\n")), "several lines")))
+    out = e.select("doc_id", "id", F.explode(said).alias("problem"))
     twice = candidate_rows(answers).groupBy("doc_id", "id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "id", F.lit("repeated id").alias("problem"))
-    return quotes.unionByName(twice)
+    out = out.unionByName(twice)
+    if headings is not None and "sections" in fields:
+        known = headings.select("doc_id", F.trim(F.lower("heading")).alias("_h")).distinct()
+        named = x.select("doc_id", "x.id", F.explode("x.sections").alias("_s")).withColumn("_h", F.trim(F.lower("_s")))
+        out = out.unionByName(named.join(known, ["doc_id", "_h"], "left_anti").select("doc_id", "id", F.lit("no such section").alias("problem")))
+    if "cross_section" in fields:
+        out = out.unionByName(x.where("x.cross_section and size(x.evidence) < 2").select("doc_id", "x.id", F.lit("one quote across sections").alias("problem")))
+    return out
 
 
 def leaks(texts: DataFrame, answers: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Topics, completeness criteria and scope markers: reference data in this library's own wording.
+"""Topics, completeness criteria and scope markers: a catalogue of this library's own, to be replaced where another is in use.
 
 Each function that uses them takes another catalogue as a parameter. Keys, domains and their order are fixed values.
 """
@@ -26,35 +26,35 @@ def _t(key: str, domain: str, words: str, terms: str = "") -> Topic:
 
 
 TOPICS = (
-    _t("access_layer", "network", "access switch, access layer, 802.1x, port security, edge port", "switch hardening"),
-    _t("distribution_core", "network", "core switch, distribution layer, spine, aggregation switch", "core design"),
-    _t("routing", "network", "bgp, ospf, eigrp, is-is, static route, route filter", "routing authentication"),
-    _t("wan_edge", "network", "wan, mpls, sd-wan, dia, internet edge, ipsec tunnel", "wan encryption"),
-    _t("segmentation", "network", "vlan, vrf, firewall, acl, segment, dmz, micro-seg", "segmentation policy"),
-    _t("ha_resilience", "network", "failover, redundan, hsrp, vrrp, high availability, uplink", "redundancy"),
-    _t("network_management", "network", "snmp, tacacs, radius, syslog, out-of-band, netconf", "management plane"),
-    _t("wireless", "network", "wireless, wi-fi, ssid, wpa, access point", "wireless security"),
-    _t("dns_dhcp_ipam", "network", "dns, dhcp, ipam, resolver", "name services"),
-    _t("app_structure", "application", "microservice, frontend, backend, tier, web server, message queue", "application structure"),
-    _t("api_integration", "application", "api, rest, graphql, webhook, grpc, gateway", "api security"),
-    _t("app_authn_authz", "application", "oauth, jwt, saml, oidc, login, session, role-based", "authentication"),
-    _t("app_data_handling", "application", "sql, orm, input validation, upload, serializ, injection", "input handling"),
-    _t("secrets_config", "application", "secret, vault, api key, connection string, environment variable", "secret storage"),
-    _t("sdlc_supplychain", "application", "ci/cd, pipeline, dependency, container image, sbom, code review", "supply chain"),
-    _t("app_resilience", "application", "rate limit, circuit breaker, retry, timeout, throttl, load test", "service resilience"),
-    _t("zero_trust", "security", "zero trust, least privilege, implicit trust, continuous verification", "zero trust"),
-    _t("iam_privileged", "security", "privileged, mfa, multi-factor, pam, service account, directory", "privileged access"),
-    _t("crypto_keys", "security", "encrypt, tls, certificate, kms, hsm, key rotation, cipher", "key management"),
-    _t("logging_detection", "security", "siem, log retention, audit log, detection, edr, alerting", "monitoring"),
-    _t("threat_model", "security", "threat model, stride, attack surface, abuse case", "threat modelling"),
-    _t("vuln_patch", "security", "patch, vulnerabilit, end of life, scanner, cve", "patching"),
-    _t("resilience_ir", "security", "backup, restore, incident response, disaster recovery, rto, rpo", "recovery"),
-    _t("cloud_landing_zone", "cloud_data", "landing zone, subscription, management group, organizational unit, guardrail", "cloud accounts"),
-    _t("iac_posture", "cloud_data", "terraform, infrastructure as code, bicep, cloudformation, drift", "infrastructure code"),
-    _t("data_classification", "cloud_data", "pii, personal data, classification, gdpr, confidential, cardholder", "data classes"),
-    _t("data_protection", "cloud_data", "at rest, masking, tokenization, data loss, retention, bucket", "data protection"),
-    _t("cloud_network", "cloud_data", "vpc, vnet, security group, private endpoint, peering, nat gateway", "cloud network"),
-    _t("context_scope", GENERAL, "purpose, scope, overview, assumption, glossary, stakeholder"),
+    _t("access_layer", "network", "wall port, patch panel, edge switch, endpoint admission, mac address, poe, floor switch", "who may plug in"),
+    _t("distribution_core", "network", "backbone, leaf switch, chassis, line card, campus core, switching fabric", "backbone layout"),
+    _t("routing", "network", "routing table, autonomous system, next hop, neighbour, prefix list, ospf, bgp", "exchange of routes"),
+    _t("wan_edge", "network", "leased line, branch office, carrier, site-to-site, broadband, border router, last mile", "links between sites"),
+    _t("segmentation", "network", "vlan, packet filter, firewall rule, trust zone, isolated network, micro-perimeter, deny by default", "separation of networks"),
+    _t("ha_resilience", "network", "standby, second path, active-active, heartbeat, failover, spare unit, diverse path", "surviving a lost device"),
+    _t("network_management", "network", "snmp, management station, console server, polling, jump host, device configuration, netflow", "running the devices"),
+    _t("wireless", "network", "wlan, ssid, radio channel, roaming, captive portal, wireless controller", "radio access"),
+    _t("dns_dhcp_ipam", "network", "name server, domain name, address pool, lease time, reverse lookup, dnssec", "names and addresses"),
+    _t("app_structure", "application", "module, component diagram, service mesh, worker process, monolith, tier, event bus, business logic", "parts of the application"),
+    _t("api_integration", "application", "endpoint, openapi, payload, callback, http method, message format, status code, rest", "calls between systems"),
+    _t("app_authn_authz", "application", "sign-in, access token, single sign-on, user role, permission check, cookie, password reset", "who may do what"),
+    _t("app_data_handling", "application", "form field, file upload, escaping, prepared statement, sanitis, deserial, user input", "care with input"),
+    _t("secrets_config", "application", "credential, secret store, config file, feature flag, signing secret, dotenv", "keeping secrets"),
+    _t("sdlc_supplychain", "application", "build server, release branch, pull request, third-party package, static analysis, artifact, signed commit, sast", "how code gets out"),
+    _t("app_resilience", "application", "backpressure, timeout, idempoten, graceful degradation, health check, bulkhead, dead letter", "behaviour under load"),
+    _t("zero_trust", "security", "verify every request, no implicit trust, device posture, per-request, identity-aware", "trust by proof"),
+    _t("iam_privileged", "security", "administrator, joiner, break-glass, second factor, entitlement, session recording, elevated right, pam", "powerful accounts"),
+    _t("crypto_keys", "security", "key rotation, cipher suite, public key, key escrow, elliptic curve, digital signature, key ceremony", "keys and ciphers"),
+    _t("logging_detection", "security", "log collector, alert rule, event correlation, audit trail, anomaly, security operations, edr", "seeing attacks"),
+    _t("threat_model", "security", "attacker, misuse case, abuse story, trust boundary, data flow diagram, attack tree", "thinking as an attacker"),
+    _t("vuln_patch", "security", "security update, patch window, penetration test, known weakness, unsupported version, hardening guide", "closing holes"),
+    _t("resilience_ir", "security", "recovery point, recovery time, tabletop exercise, runbook, restore test, on-call, forensic", "after an incident"),
+    _t("cloud_landing_zone", "cloud_data", "cloud account, resource group, tenant, account vending, service control, billing account", "ordering of accounts"),
+    _t("iac_posture", "cloud_data", "declarative, state file, provisioning, configuration drift, policy as code, terraform", "infrastructure as text"),
+    _t("data_classification", "cloud_data", "sensitivity label, personal data, data owner, special category, restricted data, data inventory", "kinds of data"),
+    _t("data_protection", "cloud_data", "encrypted volume, pseudonym, right to erasure, storage key, data masking, retention period, deletion", "care of stored data"),
+    _t("cloud_network", "cloud_data", "virtual network, route table, private link, load balancer, hub and spoke, security group, nat", "networks in the cloud"),
+    _t("context_scope", GENERAL, "this document, out of scope, background, audience, terminology, constraint, objective"),
 )
 
 
