@@ -656,3 +656,15 @@ def named_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("model", F.lit("m"))
     names = table(spark, sf_dir, "benchmark").select(F.lit("m").alias("model"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("name")).distinct()
     return locating.named_in(d.select("model", "doc_id", "lang", "text"), names, ["model"], ["doc_id", "lang"], "text", "name").groupBy("name", "lang").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("""WITH m AS (SELECT o_custkey AS document, o_orderkey AS seq, o_orderpriority AS name, CASE o_orderstatus WHEN 'O' THEN 'other' ELSE 'kind ' || o_orderstatus END AS kind, CASE WHEN o_orderkey % 3 > 0 THEN 'unknown' ELSE 'zone ' || o_orderkey % 4 END AS zone,
+ ['unknown', 'internal', 'public', 'partner'][o_orderkey % 4 + 1] AS exposure, 'd' || o_orderkey % 6 AS data FROM orders WHERE o_orderkey % 10 > 0), f AS (SELECT document, name, min(seq) AS first, coalesce(arg_min(kind, seq) FILTER (kind <> 'other'), 'other') AS kind,
+ coalesce(arg_min(zone, seq) FILTER (zone <> 'unknown'), 'unknown') AS zone, coalesce(arg_min(exposure, seq) FILTER (exposure IN ('public', 'partner')), arg_min(exposure, seq)) AS exposure, list_sort(list(DISTINCT data)) AS data FROM m GROUP BY ALL)
+SELECT document, CAST(row_number() OVER (PARTITION BY document ORDER BY first) - 1 AS INTEGER) AS number, name, zone, kind, exposure, data FROM f""")
+def components_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as mentions of their priorities in the documents of customers, every tenth without a quote."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    exposure = F.element_at(F.array(*map(F.lit, ("unknown", "internal", "public", "partner"))), (key % 4 + 1).cast("int"))
+    m = o.select(F.col("o_custkey").alias("document"), (key % 10 > 0).alias("grounded"), F.floor(key / 100).alias("batch"), key.alias("seq"), F.col("o_orderpriority").alias("name"), F.when(F.col("o_orderstatus") == "O", "other").otherwise(F.concat(F.lit("kind "), "o_orderstatus")).alias("kind"), F.when(key % 3 > 0, "unknown").otherwise(F.concat(F.lit("zone "), (key % 4).cast("string"))).alias("zone"), exposure.alias("exposure"), F.array(F.concat(F.lit("d"), (key % 6).cast("string"))).alias("data"), F.lit("").alias("evidence"), F.lit("").alias("section"))
+    return folds.components_in_order(m).select("document", "number", "name", "zone", "kind", "exposure", "data")

@@ -119,3 +119,52 @@ def sign_offs(events: DataFrame) -> DataFrame:
     start = {"status": "", "decision": "", "reviewer": "", "reopened": 0}
     asked = events.withColumnRenamed("decision", "asked")
     return fold(asked, ["project_id", "stage", "sha256"], ["seq"], start, _signoff, "status string, decision string, reviewer string, reopened int")
+
+
+#: Names that a batch is told, at most: those of the components that came first.
+KNOWN = 60
+
+
+def _mention(now: dict, event: dict) -> tuple[dict, str]:
+    table, key = now["_table"], "".join(c for c in (event["name"] or "").lower() if c.isascii() and c.isalnum())
+    if event["batch"] != now["_batch"]:  # what the batches before have found
+        now = now | {"_batch": event["batch"], "known": [c["name"] for c in list(table.values())[:KNOWN]]}
+    if not (event["name"] or "").strip() or not event["grounded"]:
+        return now | {"component": None, "refused": "ungrounded" if (event["name"] or "").strip() else "no name"}, ""
+    own = table.get(key)
+    if own is None:
+        own = {k: event[k] for k in ("zone", "kind", "exposure", "evidence", "section")} | {"name": event["name"].strip(), "number": len(table), "data": []}
+        table[key] = own
+    if own["zone"] == "unknown":
+        own["zone"] = event["zone"]
+    if own["exposure"] in ("unknown", "internal") and event["exposure"] in ("public", "partner"):
+        own |= {k: event[k] for k in ("exposure", "evidence", "section")}
+    if own["kind"] == "other":
+        own["kind"] = event["kind"]
+    own["data"] = sorted({*own["data"], *(event["data"] or ())})
+    return now | {"component": dict(own), "refused": ""}, ""
+
+
+def mentions_in_order(mentions: DataFrame) -> DataFrame:
+    """Mentions of components (document, batch, seq, name, kind, zone, exposure, data, evidence, section, grounded), each
+    with its component as it is after it, and with the names that its batch knows from the batches before (``known``).
+
+    A component has the first name it was given and a number from 0 in order of first mention. Later mentions fill an
+    unknown zone and another kind; exposure to the public or a partner overrides what is less, with its evidence, and is
+    never taken back; data only grow. Mentions that are not grounded or have no name have no component.
+    """
+    start = {"component": None, "known": [], "why": "", "_batch": None, "_table": None}
+    shape = "struct<number:int,name:string,zone:string,kind:string,exposure:string,evidence:string,section:string,data:array<string>>"
+
+    def step(now: dict, event: dict) -> tuple[dict, str]:
+        after, _ = _mention(now | {"_table": {} if now["_table"] is None else now["_table"]}, event)
+        return after | {"why": after["refused"]}, ""
+
+    out = fold(mentions, ["document"], ["batch", "seq"], start, step, f"component {shape}, known array<string>, why string")
+    return out.drop("refused").withColumnRenamed("why", "refused")
+
+
+def components_in_order(mentions: DataFrame) -> DataFrame:
+    """The components of each document after its last mention."""
+    seen = mentions_in_order(mentions).where("component is not null").select("document", "batch", "seq", "component.*")
+    return latest(seen, ["document", "number"], ["batch", "seq"]).drop("batch", "seq")

@@ -43,3 +43,30 @@ def test_sign_offs_of_uploads(spark):
         1: ("", "", "", "unknown version"), 2: ("in_review", "", "", ""), 3: ("in_review", "", "", ""), 4: ("in_review", "", "", "no decision of this stage"), 5: ("in_review", "", "", "no reviewer"),
         6: ("signed_off", "recommendations_issued", "Ann", ""), 7: ("in_review", "", "", ""), 8: ("in_review", "", "", ""), 9: ("signed_off", "block", "Bob", ""), 10: ("", "", "", "unknown stage"), 11: ("signed_off", "block", "Bob", "unknown action"),
     }
+
+
+def test_components_carry_what_batches_before_found(spark):
+    rng = random.Random(7)
+    pick = lambda *xs: rng.choice(xs)
+    rows = [(pick("a", "b"), pick(1, 2, 3), i, pick("Web App", "web-app", "DB", "Queue ", "", None), pick("other", "web", "store"), pick("unknown", "dmz", "core"), pick("unknown", "internal", "public", "partner"), pick([], ["pii"], ["card", "pii"], None), f"e{i}", f"s{i}", rng.random() > 0.2) for i in range(120)]
+    schema = "document string, batch int, seq int, name string, kind string, zone string, exposure string, data array<string>, evidence string, section string, grounded boolean"
+    want, known = {}, {}
+    for d in "ab":
+        table = {}
+        for b in (1, 2, 3):
+            known[d, b] = [c["name"] for c in table.values()]
+            for _, _, _, name, kind, zone, exposure, data, evidence, section, grounded in sorted(r for r in rows if r[:2] == (d, b)):
+                if not (name or "").strip() or not grounded:
+                    continue
+                c = table.setdefault("".join(x for x in name.lower() if x.isalnum()), {"number": len(table), "name": name.strip(), "zone": zone, "kind": kind, "exposure": exposure, "evidence": evidence, "section": section, "data": set()})
+                c["zone"] = zone if c["zone"] == "unknown" else c["zone"]
+                c["kind"] = kind if c["kind"] == "other" else c["kind"]
+                if c["exposure"] in ("unknown", "internal") and exposure in ("public", "partner"):
+                    c.update(exposure=exposure, evidence=evidence, section=section)
+                c["data"] |= set(data or ())
+        want |= {(d, c["number"]): (c["name"], c["zone"], c["kind"], c["exposure"], c["evidence"], c["section"], sorted(c["data"])) for c in table.values()}
+    shuffled = spark.createDataFrame(rng.sample(rows, len(rows)), schema).repartition(3)
+    got = folds.components_in_order(shuffled).collect()
+    assert {(r["document"], r["number"]): (r["name"], r["zone"], r["kind"], r["exposure"], r["evidence"], r["section"], r["data"]) for r in got} == want
+    for r in folds.mentions_in_order(shuffled).collect():
+        assert r["known"] == known[r["document"], r["batch"]] and (r["component"] is None) == bool(r["refused"])
