@@ -1,7 +1,7 @@
 """Similar token sets and greedy groups of them, as joins and aggregates over whole tables.
 
-Sets meet on the tokens that they begin with when tokens are ordered from rare to frequent. A token too frequent to
-join on is followed by the next one, so that sets meet on two, three and more tokens in common; only sets that these
+Sets meet on the tokens that they begin with when tokens are ordered from rare to frequent, and count how often they
+meet: only pairs that can still share enough are compared. A token too frequent to join on is followed by the next one, so that sets meet on two, three and more tokens in common; only sets that these
 alone make similar are joined on it. Greedy groups are the first maximal independent set in order, found in rounds.
 """
 
@@ -12,12 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import scratch, staged
 
-#: Sets that meet on one key, at most, unless the key alone makes them similar.
-HOT = 1_000
+#: Sets that meet on one key, at most, unless the key alone makes them similar: above, their pairs cost more than longer keys.
+HOT = 4_096
 #: Places of a block that the first step of the greedy pass looks at; each further step looks twice as far.
-FIRST = 4_096
+FIRST = 32_768
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
@@ -56,38 +56,39 @@ def similar_edges(sets: DataFrame, threshold: float, measure: str = JACCARD) ->
     ``sets`` has ``_k``, ``_at`` (unique in its block), ``_w`` (distinct tokens, one or more), ``_d`` (null, or what the
     two must differ in) and ``_side`` (0, or 1 and 2 for pairs of an ``a`` of side 1 and a ``b`` of side 2 alone).
     """
-    each = sets.select("_k", "_at", F.size("_w").alias("_n"), "_d", "_side", F.explode("_w").alias("_token"))
-    often = each.groupBy("_k", "_token").agg(F.count(F.lit(1)).alias("_df"))
-    ranked = each.join(often, ["_k", "_token"]).groupBy("_k", "_at", "_n", "_d", "_side").agg(F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_r"))
-    ranked = ranked.withColumn("_r", F.transform("_r", lambda x: x["_token"]))
-    first = F.slice("_r", F.lit(1), (F.col("_n") - _least_shared(threshold, F.col("_n")) + 1).cast("int"))
-    post = ranked.select("_k", "_at", "_n", "_d", "_side", "_r", F.posexplode(first).alias("_i", "_token")).select("_k", F.array("_token").alias("_key"), "_at", "_n", "_i", "_d", "_side", "_r")
-    found, shared = [], 1
-    while True:
-        post = staged(post)
-        crowds = post.groupBy("_k", "_key").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > HOT)
-        crowds = staged(crowds)
-        if crowds.isEmpty():
-            found.append(_meeting(post, threshold, shared, measure))
-            break
-        found.append(_meeting(post.join(crowds, ["_k", "_key"], "left_anti"), threshold, shared, measure))
-        crowded = post.join(crowds, ["_k", "_key"])
-        found.append(_meeting_dealt(crowded.where(_least_shared(threshold, F.col("_n")) <= shared), threshold, shared, measure))
-        last = (F.col("_n") + shared - F.greatest(_least_shared(threshold, F.col("_n")), F.lit(shared + 1))).cast("int")  # where one more shared token may stand at the latest
-        later = F.filter(F.transform("_r", lambda t, i: F.struct(i.alias("_j"), t.alias("_t"))), lambda x: (x["_j"] > F.col("_i")) & (x["_j"] <= last))
-        longer = crowded.withColumn("_x", F.explode(later))
-        post = longer.select("_k", F.concat("_key", F.array("_x._t")).alias("_key"), "_at", "_n", F.col("_x._j").alias("_i"), "_d", "_side", "_r")
-        shared += 1
-    pairs = reduce(DataFrame.unionByName, found).distinct()
-    words = sets.select("_k", "_at", "_w")
-    both = pairs.join(words.select("_k", F.col("_at").alias("a"), F.col("_w").alias("_x")), ["_k", "a"]).join(words.select("_k", F.col("_at").alias("b"), F.col("_w").alias("_y")), ["_k", "b"])
-    common = F.size(F.array_intersect("_x", "_y"))
-    whole = F.size("_x") + F.size("_y") - common if measure == JACCARD else F.greatest(F.size("_x"), F.size("_y"))
-    return both.where(common >= threshold * whole if measure == JACCARD else common / whole >= threshold).select("_k", "a", "b")
-
-
-def _fits(threshold: float, shared: int, measure: str) -> Column:
-    """What pairs of postings satisfy if the key is what they share first."""
+    with scratch() as keep:
+        each = sets.select("_k", "_at", F.size("_w").alias("_n"), "_d", "_side", F.explode("_w").alias("_token"))
+        often = each.groupBy("_k", "_token").agg(F.count(F.lit(1)).alias("_df"))
+        ranked = each.join(often, ["_k", "_token"]).groupBy("_k", "_at", "_n", "_d", "_side").agg(F.array_sort(F.collect_list(F.struct("_df", "_token"))).alias("_r"))
+        first = F.slice("_r", F.lit(1), (F.col("_n") - _least_shared(threshold, F.col("_n")) + 1).cast("int"))
+        ranked = keep(ranked.withColumn("_first", first).withColumn("_u", F.col("_n") - F.size(F.filter("_first", lambda x: x["_df"] <= HOT))))
+        post = ranked.select("_k", "_at", "_n", "_u", "_d", "_side", F.posexplode("_first").alias("_i", "_x")).where("_x._df > 1")  # others have it too
+        post = keep(post.select("_k", F.array("_x._token").alias("_key"), "_at", "_n", "_i", "_u", "_d", "_side", F.col("_x._df").alias("_m")))
+        found, shared = [_meeting_often(post.where(F.col("_m") <= HOT), threshold, measure)], 1
+        crowded = post.where(F.col("_m") > HOT).drop("_u")
+        while not crowded.isEmpty():
+            found.append(_meeting_dealt(crowded.where(_least_shared(threshold, F.col("_n")) <= shared), threshold, shared, measure))
+            last = (F.col("_n") + shared - F.greatest(_least_shared(threshold, F.col("_n")), F.lit(shared + 1))).cast("int")  # where one more shared token may stand at the latest
+            later = F.filter(F.transform("_r", lambda t, i: F.struct(i.alias("_j"), t["_token"].alias("_t"), t["_df"].alias("_df"))), lambda x: (x["_df"] > 1) & (x["_j"] > F.col("_i")) & (x["_j"] <= last))
+            longer = crowded.join(ranked.select("_k", "_at", "_r"), ["_k", "_at"]).withColumn("_x", F.explode(later))
+            post = keep(longer.select("_k", F.concat("_key", F.array("_x._t")).alias("_key"), "_at", "_n", F.col("_x._j").alias("_i"), "_d", "_side"))
+            shared += 1
+            crowds = keep(post.groupBy("_k", "_key").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > HOT))
+            if crowds.isEmpty():
+                found.append(_meeting(post, threshold, shared, measure))
+                break
+            found.append(_meeting(post.join(crowds, ["_k", "_key"], "left_anti"), threshold, shared, measure))
+            crowded = post.join(crowds, ["_k", "_key"])
+        pairs = reduce(DataFrame.unionByName, found).distinct()
+        words = sets.select("_k", "_at", "_w")
+        both = pairs.join(words.select("_k", F.col("_at").alias("a"), F.col("_w").alias("_x")), ["_k", "a"]).join(words.select("_k", F.col("_at").alias("b"), F.col("_w").alias("_y")), ["_k", "b"])
+        common = F.size(F.array_intersect("_x", "_y"))
+        whole = F.size("_x") + F.size("_y") - common if measure == JACCARD else F.greatest(F.size("_x"), F.size("_y"))
+        return staged(both.where(common >= threshold * whole if measure == JACCARD else common / whole >= threshold).select("_k", "a", "b"))
+
+
+def _fits(threshold: float, shared: int | Column, measure: str) -> Column:
+    """What pairs of postings satisfy if they share so many tokens up to the key's last one."""
     need = _needed(threshold, F.col("x._n"), F.col("y._n"), measure)
     left = F.least(F.col("x._n") - F.col("x._i"), F.col("y._n") - F.col("y._i")) - 1
     sides = ((F.col("x._side") == 0) & (F.col("y._side") == 0)) | ((F.col("x._side") == 1) & (F.col("y._side") == 2))
@@ -95,8 +96,19 @@ def _fits(threshold: float, shared: int, measure: str) -> Column:
     return (F.col("x._at") < F.col("y._at")) & sides & near & (left + shared >= need) & ~F.coalesce(F.col("x._d") == F.col("y._d"), F.lit(False))
 
 
+def _meeting_often(post: DataFrame, threshold: float, measure: str) -> DataFrame:
+    """Pairs that meet on as many tokens as they must, however many they share of those that they do not meet on.
+
+    These are crowded, or stand past what one of the two begins with: ``_u`` counts both kinds for a set.
+    """
+    shared = F.least("x._i", "y._i") + 1  # at most
+    on = (F.col("x._k") == F.col("y._k")) & (F.col("x._key") == F.col("y._key")) & _fits(threshold, shared, measure)
+    need = _needed(threshold, F.col("x._n"), F.col("y._n"), measure) - F.greatest("x._u", "y._u")
+    met = post.alias("x").join(post.alias("y"), on).select(F.col("x._k").alias("_k"), F.col("x._at").alias("a"), F.col("y._at").alias("b"), need.cast("int").alias("_need"))
+    return met.groupBy("_k", "a", "b").agg(F.count(F.lit(1)).alias("_n"), F.max("_need").alias("_need")).where("_n >= _need").select("_k", "a", "b")
+
+
 def _meeting(post: DataFrame, threshold: float, shared: int, measure: str) -> DataFrame:
-    post = post.drop("_r")
     on = (F.col("x._k") == F.col("y._k")) & (F.col("x._key") == F.col("y._key")) & _fits(threshold, shared, measure)
     return post.alias("x").join(post.alias("y"), on).select(F.col("x._k").alias("_k"), F.col("x._at").alias("a"), F.col("y._at").alias("b"))
 
@@ -104,7 +116,7 @@ def _meeting(post: DataFrame, threshold: float, shared: int, measure: str) -> Da
 def _meeting_dealt(post: DataFrame, threshold: float, shared: int, measure: str) -> DataFrame:
     """Pairs that a crowded key makes similar by itself: its sets are dealt to shares, and every two shares meet once."""
     shares = F.ceil(F.col("_m") / HOT).cast("int")
-    post = post.drop("_r").withColumn("_own", F.pmod(F.xxhash64("_at"), shares).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), shares - 1)))
+    post = post.withColumn("_own", F.pmod(F.xxhash64("_at"), shares).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), shares - 1)))
     on = (F.col("x._k") == F.col("y._k")) & (F.col("x._key") == F.col("y._key")) & (F.col("x._own") == F.col("y._other")) & (F.col("x._other") == F.col("y._own"))
     need = _needed(threshold, F.col("x._n"), F.col("y._n"), measure)
     return post.alias("x").join(post.alias("y"), on & _fits(threshold, shared, measure) & (need <= shared)).select(F.col("x._k").alias("_k"), F.col("x._at").alias("a"), F.col("y._at").alias("b"))
@@ -116,16 +128,14 @@ def not_first(edges: DataFrame) -> DataFrame:
     A round takes all rows without an earlier neighbour that is still undecided, and leaves out the neighbours of these.
     Rounds go on until no edge is left: as many as the longest chain of rows that wait for each other.
     """
-    gone = []
-    while True:
-        edges = staged(edges)
-        if edges.isEmpty():
-            break
-        waiting = edges.select("_k", F.col("b").alias("a")).distinct()
-        out = staged(edges.join(waiting, ["_k", "a"], "left_anti").select("_k", F.col("b").alias("_at")).distinct())
-        gone.append(out)
-        edges = edges.join(out.withColumnRenamed("_at", "b"), ["_k", "b"], "left_anti").join(out.withColumnRenamed("_at", "a"), ["_k", "a"], "left_anti").select("_k", "a", "b")
-    return reduce(DataFrame.unionByName, gone) if gone else edges.select("_k", F.col("a").alias("_at"))
+    gone = [edges.select("_k", F.col("a").alias("_at")).where(F.lit(False))]
+    with scratch() as keep:
+        while not edges.isEmpty():
+            waiting = edges.select("_k", F.col("b").alias("a")).distinct()
+            out = staged(edges.join(waiting, ["_k", "a"], "left_anti").select("_k", F.col("b").alias("_at")).distinct())
+            gone.append(out)
+            edges = keep(edges.join(out.withColumnRenamed("_at", "b"), ["_k", "b"], "left_anti").join(out.withColumnRenamed("_at", "a"), ["_k", "a"], "left_anti").select("_k", "a", "b"))
+    return reduce(DataFrame.unionByName, gone)
 
 
 def first_matching(edges: DataFrame) -> DataFrame:
@@ -133,16 +143,15 @@ def first_matching(edges: DataFrame) -> DataFrame:
 
     A round takes every pair that comes first at both of its ends, and drops what touches these.
     """
-    taken = []
-    while True:
-        edges = staged(edges)
-        if edges.isEmpty():
-            break
-        a, b = edges.groupBy("_k", "a").agg(F.min("b").alias("b")), edges.groupBy("_k", "b").agg(F.min("a").alias("a"))
-        first = staged(a.join(b, ["_k", "a", "b"]))
-        taken.append(first)
-        edges = edges.join(first.select("_k", "a"), ["_k", "a"], "left_anti").join(first.select("_k", "b"), ["_k", "b"], "left_anti").select("_k", "a", "b")
-    return reduce(DataFrame.unionByName, [t.select("_k", "a", "b") for t in taken]) if taken else edges
+    taken = [edges.where(F.lit(False)).select("_k", "a", "b")]
+    with scratch() as keep:
+        edges = keep(edges)
+        while not edges.isEmpty():
+            a, b = edges.groupBy("_k", "a").agg(F.min("b").alias("b")), edges.groupBy("_k", "b").agg(F.min("a").alias("a"))
+            first = staged(a.join(b, ["_k", "a", "b"]))
+            taken.append(first.select("_k", "a", "b"))
+            edges = keep(edges.join(first.select("_k", "a"), ["_k", "a"], "left_anti").join(first.select("_k", "b"), ["_k", "b"], "left_anti").select("_k", "a", "b"))
+    return reduce(DataFrame.unionByName, taken)
 
 
 def first_heads(sets: DataFrame, threshold: float) -> DataFrame:
@@ -152,8 +161,8 @@ def first_heads(sets: DataFrame, threshold: float) -> DataFrame:
     top = left.agg(F.max("_at")).first()[0]
     while top is not None:
         chunk, rest = left.where(F.col("_at") < limit), left.where(F.col("_at") >= limit)
-        edges = staged(similar_edges(chunk.withColumn("_side", F.lit(0)), threshold))
-        out = staged(not_first(edges))
+        edges = similar_edges(chunk.withColumn("_side", F.lit(0)), threshold)
+        out = not_first(edges)
         heads = staged(chunk.join(out, ["_k", "_at"], "left_anti"))
         found.append(heads.select("_k", "_at", F.lit(None).cast("bigint").alias("head")))
         taken = edges.join(out.withColumnRenamed("_at", "b"), ["_k", "b"]).join(heads.select("_k", F.col("_at").alias("a")), ["_k", "a"])

@@ -34,17 +34,17 @@ def random_rows(seed, n, words, most):
     return [(rng.choice((1, 1, 1, 2, 3)), rng.choice("FT"), i, change(rng.choice(base))) for i in range(n)]
 
 
-@pytest.mark.parametrize(("hot", "first", "threshold"), [(1_000, 4_096, 0.4), (3, 16, 0.4), (2, 8, 0.15), (4, 32, 0.8)])
-@pytest.mark.parametrize("differ", [None, "kind"])
-def test_groups_match_a_plain_pass(spark, monkeypatch, hot, first, threshold, differ):
+@pytest.mark.parametrize(("hot", "first", "threshold"), [(1_000, 4_096, 0.4), (3, 16, 0.4), (2, 32, 0.15)])
+def test_groups_match_a_plain_pass(spark, monkeypatch, hot, first, threshold):
     monkeypatch.setattr(similarity, "HOT", hot)
     monkeypatch.setattr(similarity, "FIRST", first)
+    differ = "kind" if hot == 3 else None
     rows = random_rows(hot, 60, "abcdefghij", 7)
     found = similarity.greedy_groups(spark.createDataFrame(rows, ROWS), ["k"], ["seq"], "t", threshold, differ=differ, least=2)
     assert {(r["k"], r["seq"]): (r["place"], r["head"]) for r in found.collect()} == plain_groups(rows, threshold, bool(differ), 2)
 
 
-@pytest.mark.parametrize(("hot", "threshold"), [(1, 0.15), (3, 0.3), (5, 0.15), (2, 0.6), (1_000, 0.5)])
+@pytest.mark.parametrize(("hot", "threshold"), [(1, 0.15), (3, 0.3), (2, 0.6), (1_000, 0.5)])
 def test_pairs_match_all_pairs_whatever_is_frequent(spark, monkeypatch, hot, threshold):
     monkeypatch.setattr(similarity, "HOT", hot)
     rng = random.Random(hot)
