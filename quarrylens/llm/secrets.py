@@ -26,8 +26,15 @@ from pyspark.sql import functions as F
 from .common import map_batches
 from .forest import Forest
 
-#: A value that something assigns, or a long run of the characters that keys are made of with a digit in it.
-ASSIGNED = re.compile(r"""(?i)(?<![a-z])(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential)s?["']?\s{0,3}(?::=|[=:])\s{0,3}["']?([^\s"'<>|]{6,})""")
+#: Names that values are assigned to: as words, behind other words (``db_password``) and within a name (``accessToken``).
+NAMED = r"(?:(?<![A-Za-z])(?i:pass(?:word|wd|phrase)?|pwd|secret|token|(?:api|access|private)[_-]?key|auth|credential)|(?<=[a-z0-9])(?:Pass(?:word|wd|phrase)|Secret|Token|(?:Api|Access|Private)[_-]?Key|Credential))s?(?:[_-]?(?i:key|id|value|token|string)){0,2}"
+#: An assigned value, to its closing quote or to white space; the password in an address; a private key as a block.
+ASSIGNED = re.compile(NAMED + r"""["']?\s{0,3}(?::=|=>|[=:])\s{0,3}(?:"((?:[^"\\\n]|\\.){6,})"|'((?:[^'\\\n]|\\.){6,})'|["']?([^\s"'<>|]{6,}))""")
+ADDRESS = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z0-9+.-]{1,30}://[^\s:/@]{0,256}:([^\s/@]{6,})@")
+BLOCK = re.compile(r"-----BEGIN ([A-Z ]{0,30}PRIVATE KEY)-----(?:[^-]|-(?!----))+-----END \1-----")
+#: What ends a sentence around a value that no quote ends. Marks that values end with (``=``, ``!``) stay.
+TAIL = ".,;)\\"
+#: A long run of the characters that keys are made of.
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 BEFORE, AFTER = 60, 30
 HIDDEN = "[SECRET]"
@@ -161,11 +168,22 @@ def train(findings: list[Finding], vocabulary: str) -> Forest:
 def candidates(text: str) -> list[tuple[int, int]]:
     """Begin and end (in code points) of what may be a secret, in order, none inside another.
 
-    An assigned value is one candidate, with all runs that meet it. A run that begins before it, at the name or
-    earlier, gives up the name and the sign; what stands before the name is a run if it is long enough.
+    An assigned value, a password in an address or a block is one candidate, with all runs that meet it; of two that meet
+    the one that begins first. A run that begins before it, at the name or earlier, gives up the name and the sign; what
+    stands before the name is a run if it is long enough.
     """
-    tail = lambda b, e: b + len(text[b:e].rstrip(".,;)!?=\\"))
-    named = [(m.start(), *m.span(1)) for m in ASSIGNED.finditer(text) if tail(*m.span(1)) - m.start(1) >= 6]
+    found = [(m.start(), *m.span()) for m in BLOCK.finditer(text)] + [(m.start(), *m.span(1)) for m in ADDRESS.finditer(text)]
+    for m in ASSIGNED.finditer(text):
+        quoted = m.span(1) if m.group(1) else m.span(2)
+        begin, end = quoted if m.group(1) or m.group(2) else m.span(3)
+        end = end if m.group(1) or m.group(2) else begin + len(text[begin:end].rstrip(TAIL))
+        if end - begin >= 6:
+            found.append((m.start(), begin, end))
+    named, upto = [], 0
+    for start, begin, end in sorted(found, key=lambda x: (x[1], -x[2])):
+        if begin >= upto:
+            named.append((start, begin, end))
+            upto = end
     spans, at = [(b, e) for _, b, e in named], 0
     for m in RUN.finditer(text):
         b, e = m.span()
@@ -176,7 +194,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             if e - b < 16:
                 continue
         spans.append((b, e))
-    return [(b, tail(b, e)) for b, e in sorted(spans) if tail(b, e) - b >= 6]
+    return sorted(spans)
 
 
 def found_in(texts: list[str | None], paths: list[str | None], forest: Forest, words: frozenset[str]) -> list[list[tuple[int, int, float]]]:
