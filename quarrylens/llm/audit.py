@@ -70,22 +70,29 @@ def joint_failures(rows: DataFrame, filters: str = FILTERS) -> DataFrame:
     return by_label.groupBy("part").agg(*sums)
 
 
-def survivors(joint: str, filters: str = FILTERS) -> Column:
-    """For every set of filters, documents that fail none of it: the signed sum of joint failures over its subsets."""
-    def signed(mask: int) -> Column:
-        subsets = [s for s in range(mask + 1) if s & ~mask == 0]
-        return sum(((-1) ** s.bit_count() * F.col(joint)[s] for s in subsets[1:]), F.col(joint)[0])
+def _signed(x: Column, s: Column) -> Column:
+    """Joint failures of a set, negative where the set is of an odd number of filters."""
+    return F.when(F.bit_count(s) % 2 == 1, -x).otherwise(x)
 
-    return F.array(*[signed(m) for m in range(1 << len(filters))])
 
+def with_survivors(joint: DataFrame, kinds: list[str], filters: str = FILTERS) -> DataFrame:
+    """In place of joint failures, documents that fail none of a set: signed sums over subsets, one filter at a time."""
+    out = joint.withColumns({k: F.transform(k, _signed) for k in kinds})
+    for bit in (1 << i for i in range(len(filters))):
+        own = lambda k, bit=bit: F.transform(k, lambda x, s: x + F.when(s.bitwiseAND(bit) > 0, F.get(k, s - bit)).otherwise(0))
+        out = out.withColumns({k: own(k) for k in kinds})
+    return out
 
-def dividends(joint: str, weight: dict[int, int], filters: str = FILTERS) -> Column:
-    """For every filter, the signed joint failures of the sets that hold it, each times the weight of its size."""
-    def of(i: int) -> Column:
-        sets = [s for s in range(1 << len(filters)) if s >> i & 1]
-        return sum(((-1) ** (s.bit_count() + 1) * weight[s.bit_count()] * F.col(joint)[s] for s in sets), F.lit(0).cast("bigint"))
 
-    return F.array(*[of(i) for i in range(len(filters))])
+def dividends(joint: str, weights: list[int], filters: str = FILTERS) -> Column:
+    """For every filter, the signed joint failures of the sets that hold it, each times the weight of the set's size."""
+    weight = F.array(*map(F.lit, weights))
+
+    def of(bit: int) -> Column:
+        each = F.transform(joint, lambda x, s: F.when(s.bitwiseAND(bit) > 0, -_signed(x, s) * F.get(weight, F.bit_count(s))).otherwise(0))
+        return F.aggregate(each, F.lit(0).cast("bigint"), lambda total, x: total + x)
+
+    return F.array(*[of(1 << i) for i in range(len(filters))])
 
 
 def interactions(rows: DataFrame, filters: str = FILTERS) -> DataFrame:
@@ -94,14 +101,14 @@ def interactions(rows: DataFrame, filters: str = FILTERS) -> DataFrame:
     ``rows`` has part, good, toxic (0 or 1) and n. Counts are of documents; ``shapley`` is the sum over all orders.
     Without rows there are no parts.
     """
-    sizes, orders = range(1, len(filters) + 1), math.factorial(len(filters))
-    inverted = joint_failures(rows, filters).select(
-        "part",
-        *[survivors(k, filters).alias(k) for k in ("all", "good", "toxic")],
-        F.array(*[F.col("all")[1 << i] for i in range(len(filters))]).alias("fails"),
-        dividends("all", dict.fromkeys(sizes, 1), filters).alias("alone"),
-        dividends("all", {k: orders // k for k in sizes}, filters).alias("shapley"),
-    )
+    orders, kinds = math.factorial(len(filters)), ["all", "good", "toxic"]
+    sizes = range(1, len(filters) + 1)
+    inverted = joint_failures(rows, filters).withColumns({
+        "fails": F.array(*[F.col("all")[1 << i] for i in range(len(filters))]),
+        "alone": dividends("all", [0, *[1] * len(filters)], filters),
+        "shapley": dividends("all", [0, *[orders // k for k in sizes]], filters),
+    })
+    inverted = with_survivors(inverted, kinds, filters)
     every = F.array(*[F.lit("".join(o)) for o in permutations(filters)])
     steps = inverted.withColumn("filter_order", F.explode(every)).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(filters)))))
     earlier, place = F.substring("filter_order", F.lit(1), F.col("step") - 1), F.instr(F.lit(filters), F.substring("filter_order", F.col("step"), F.lit(1))) - 1
