@@ -60,6 +60,25 @@ def test_pairs_match_all_pairs_whatever_is_frequent(spark, monkeypatch, hot, thr
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@pytest.mark.parametrize(("measure", "sided"), [(similarity.JACCARD, False), (similarity.LARGER, True)])
+def test_dense_blocks_are_compared_share_against_share(spark, monkeypatch, measure, sided):
+    """Sets of few words meet nearly all: no meeting is written, and what is found is what all pairs give."""
+    for name, value in {"FEW": 10, "MANY": 1, "LEAST_SHARE": 16, "PAIRS": 20}.items():
+        monkeypatch.setattr(similarity, name, value)
+    rng = random.Random(5)
+    rows = [(i, sorted({rng.choice("abcdefghijklm") for _ in range(rng.randint(1, 8))}), rng.choice(("x", "y", None)), 1 + i // 50 if sided else 0) for i in range(100)]
+    sets = spark.createDataFrame([("k" if i % 50 else "small", *r) for i, r in enumerate(rows)], "_k string, _at bigint, _w array<string>, _d string, _side int")
+    written = []
+    met = similarity._met
+    monkeypatch.setattr(similarity, "_met", lambda ranked, *a: written.append({r["_k"] for r in ranked.select("_k").distinct().collect()}) or met(ranked, *a))
+    got = [(r["_k"], r["a"], r["b"]) for r in similarity.similar_edges(sets, 0.4, measure).collect()]
+    near = lambda x, y: len({*x} & {*y}) / (len({*x} | {*y}) if measure == similarity.JACCARD else max(len(x), len(y))) >= 0.4
+    own = lambda i: "k" if i % 50 else "small"
+    want = {(own(a), a, b) for a, x, d, s in rows for b, y, e, t in rows if a < b and own(a) == own(b) and (not sided or (s, t) == (1, 2)) and (d is None or d != e) and near(x, y)}
+    assert set(got) == want and len(got) == len(want)
+    assert written == [{"small"}]
+
+
 def test_a_chain_is_decided_link_by_link(spark):
     """Each row is near the one before it alone: every second one is a head."""
     rows = [(1, "F", i, [f"w{i}", f"w{i + 1}", "x"]) for i in range(12)]
