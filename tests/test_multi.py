@@ -69,3 +69,15 @@ def test_no_rule_matches_a_text_without_its_literals():
                 hits += 1
                 assert any(w in t.lower() for w in literals), (p, t)
     assert hits > len(CASES)
+
+
+def test_a_pattern_is_not_tried_without_its_literal(spark):
+    """The search for literals goes before, and takes for a letter whatever the pattern does."""
+    texts = ["plain", "MONITORED by a SIEM", "ſiem", "SİEM", "Kerberos", "kerberos", "", "trıal"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    low = multi.folded(F.col("t"))
+    for pattern in (r"\b(?:siem|kerberos)\b", r"monitor(?:ing|ed)?", r"trial", r"->|→"):
+        hit = F.rlike("t", F.lit(f"(?iu){pattern}"))
+        assert rows.where(hit).count() == rows.where(multi.asked(low, pattern, hit, F.lit(False))).count()
+    stop = F.raise_error(F.lit("tried")).cast("boolean")
+    assert rows.where("i = 0").where(multi.asked(low, r"\bsiem\b", stop, F.lit(False))).count() == 0
