@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions import vectors as V
 
-#: Query vectors that are broadcast at most; more meet the items in blocks of this many.
-BROADCAST_QUERIES = 10_000
+#: Queries of a block and items of a share, about; queries that are compared at once; what a product of matrices may be off.
+QUERIES, ITEMS, AT_ONCE, MARGIN = 4_096, 8_192, 512, 1e-9
 #: Runs of words of quotes that are broadcast at most, as 64-bit hashes.
 BROADCAST_RUNS = 1_000_000
 
@@ -20,30 +26,82 @@ def compatible(chunks: DataFrame, model: str) -> DataFrame:
     return chunks.withColumn("embedding_model", F.when(F.col("embedding_model") == model, F.col("embedding_model")).otherwise(wrong.cast("string")))
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int = 4, least: float = 0.25, group: str | None = "domain", shares: int = 64) -> DataFrame:
+def nearest(queries: DataFrame, items: DataFrame, k: int = 4, least: float = 0.25, group: str | None = "domain") -> DataFrame:
     """The ``k`` most similar items of each query, by exact cosine: k of each group first, then k of all.
 
-    ``queries`` has query_id and vector, ``items`` has item_id and vector (and the group). The stated queries meet
-    all items, block against block: items are never moved. Each share of items keeps its own k before shares meet,
-    so the second window sees k rows a share and query.
+    ``queries`` has query_id and vector, ``items`` has item_id and vector (and the group). The stated queries meet all
+    items, block against share, each two in one task that keeps its own k; windows then see k rows a share, query and
+    group. Vectors of another length, or with an element that is null or not finite, meet the rest one by one.
     """
-    one = items.select("item_id", F.col("vector").alias("_v"), V.norm(F.col("vector")).alias("_n"), *([group] if group else []))
-    asked = queries.select("query_id", F.col("vector").alias("_q"), V.norm(F.col("vector")).alias("_m"))
-    n = asked.count()
-    blocks = max(1, -(-n // BROADCAST_QUERIES))
-    if blocks == 1:
-        pairs = one.crossJoin(F.broadcast(asked))
-    else:  # an item goes to every block of queries once
-        asked = asked.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = one.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(asked, "_block").drop("_block")
-    size = F.col("_n") * F.col("_m")
-    similarity = F.when(size == 0, F.lit(0.0)).otherwise(V.dot(F.col("_v"), F.col("_q")) / size)
-    scored = pairs.select("query_id", "item_id", *([group] if group else []), F.greatest(F.lit(0.0), similarity).alias("raw")).where(F.col("raw") >= least)
-    by, keys = [F.col("raw").desc(), F.col("item_id")], ["query_id", *([group] if group else [])]
-    scored = scored.withColumn("_share", F.pmod(F.xxhash64("item_id"), F.lit(shares)))
-    for part in ([*keys, "_share"], keys, ["query_id"]):
+    one = items.select("item_id", F.col("vector").alias("_v"), F.col(group).alias("_g") if group else F.lit(0).alias("_g"))
+    asked = queries.select("query_id", F.col("vector").alias("_v"))
+    n, length = asked.agg(F.count(F.lit(1)), F.max(F.size("_v"))).first()
+    fit = lambda df: df.withColumn("_fit", F.coalesce((F.size("_v") == (length or 0)) & F.forall("_v", lambda x: x.isNotNull() & (F.abs(x) < 1e100)), F.lit(False)))
+    one, asked = fit(one), fit(asked)
+    scored = [_block_nearest(asked.where("_fit"), one.where("_fit"), n, k, least)]
+    odd_items, odd_queries = one.where("not _fit"), asked.where("not _fit")
+    for x, y, there in ((odd_items, asked, not odd_items.isEmpty()), (one.where("_fit"), odd_queries, not odd_queries.isEmpty())):
+        if there:
+            scored.append(_scored(y, x, least))
+    by, scored = [F.col("raw").desc(), F.col("item_id")], reduce(DataFrame.unionByName, scored)
+    for part in (["query_id", "_g"], ["query_id"]):
         scored = scored.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(*by))).where(F.col("place") <= k)
-    return scored.select("query_id", "item_id", *([group] if group else []), T.half_even(F.col("raw"), 4).alias("similarity"), "place")
+    return scored.select("query_id", "item_id", *([F.col("_g").alias(group)] if group else []), T.half_even(F.col("raw"), 4).alias("similarity"), "place")
+
+
+def _scored(asked: DataFrame, one: DataFrame, least: float) -> DataFrame:
+    """Every query against every item."""
+    pairs = one.select("item_id", "_v", "_g").crossJoin(asked.select("query_id", F.col("_v").alias("_q")))
+    raw = F.greatest(F.lit(0.0), V.cosine(F.col("_v"), F.col("_q")))
+    return pairs.select("query_id", "item_id", "_g", raw.alias("raw")).where(F.col("raw") >= least)
+
+
+def _block_nearest(asked: DataFrame, one: DataFrame, n: int, k: int, least: float) -> DataFrame:
+    """The k best of each query and group in each share of items. A product of matrices leaves what may be among them; the
+    similarity of these is then the sequential sum of doubles that it is elsewhere, so that equal vectors tie."""
+    blocks, shares = max(1, -(-n // QUERIES)), max(1, -(-one.count() // ITEMS))
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    ids, labels = asked.schema["query_id"].dataType, one.schema["_g"].dataType
+    x = one.select(deal("item_id", shares).alias("_s"), every(blocks).alias("_b"), "item_id", F.lit(None).cast(ids).alias("query_id"), F.col("_v").cast("array<double>").alias("_v"), "_g")
+    y = asked.select(every(shares).alias("_s"), deal("query_id", blocks).alias("_b"), F.lit(None).cast(one.schema["item_id"].dataType).alias("item_id"), "query_id", F.col("_v").cast("array<double>").alias("_v"), F.lit(None).cast(labels).alias("_g"))
+    both = x.withColumn("_item", F.lit(True)).unionByName(y.withColumn("_item", F.lit(False)))
+
+    def best(t: pa.Table) -> pa.Table:
+        side = t["_item"].combine_chunks().to_numpy(zero_copy_only=False)
+        v, q = (t.filter(pa.array(mask)).combine_chunks() for mask in (side, ~side))
+        found: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+        if len(v) and len(q):
+            label = v["_g"].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            v, label = v.take(pa.array(np.argsort(label, kind="stable"))).combine_chunks(), np.sort(label)
+            ends = np.flatnonzero(np.diff(label, append=label[-1] + 1)) + 1
+            a, b = (np.asarray(c["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(c), -1) for c in (v, q))
+            squares = lambda m: reduce(lambda s, i: s + m[:, i] * m[:, i], range(m.shape[1]), np.zeros(len(m)))
+            size, own = np.sqrt(squares(a)), np.sqrt(squares(b))
+            rank = np.empty(len(v), np.int64)
+            rank[pc.sort_indices(v["item_id"]).to_numpy()] = np.arange(len(v))
+            unit, asking = a / np.maximum(size, 1e-300)[:, None], b / np.maximum(own, 1e-300)[:, None]
+            for begin in range(0, len(q), AT_ONCE):
+                some = np.arange(begin, min(begin + AT_ONCE, len(q)))
+                near = asking[some] @ unit.T
+                for first, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    part = near[:, first:end]
+                    floor = np.partition(part, -k, axis=1)[:, -k] - MARGIN if end - first > k else np.full(len(some), -np.inf)
+                    i, j = np.nonzero(part >= np.maximum(floor, least - MARGIN if least > 0 else -np.inf)[:, None])
+                    i, j = some[i], first + j
+                    dot = reduce(lambda s, d: s + a[j, d] * b[i, d], range(a.shape[1]), np.zeros(len(i)))  # noqa: B023
+                    whole = size[j] * own[i]
+                    raw = np.maximum(0.0, np.where(whole == 0, 0.0, dot / np.where(whole == 0, 1.0, whole)))
+                    order = np.lexsort((rank[j], -raw, i))
+                    i, j, raw = i[order], j[order], raw[order]
+                    keep = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (raw >= least)
+                    for column, value in zip(found, (i[keep], j[keep], raw[keep]), strict=True):
+                        column.append(value)
+        i, j, raw = (np.concatenate(c) for c in found)
+        return pa.table({"query_id": q["query_id"].take(pa.array(i)), "item_id": v["item_id"].take(pa.array(j)), "_g": v["_g"].take(pa.array(j)), "raw": pa.array(raw)})
+
+    schema = StructType([StructField("query_id", ids), one.schema["item_id"], StructField("_g", labels), StructField("raw", DoubleType())])
+    return both.repartition(min(max(2 * blocks * shares, 8), 2_000), "_s", "_b").groupBy("_s", "_b").applyInArrow(best, schema)
 
 
 def grounded_pairs(quotes: DataFrame, documents: DataFrame, quote_id: str, doc_id: str, n: int = 6) -> DataFrame:
