@@ -2,45 +2,69 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..staging import staged
 
-#: Characters of the strings that a name is known by; a shorter name is known by all of it.
-GRAM = 3
+#: Characters that a text's places are first asked by; a shorter name is asked for as a whole.
+BEGINNING = 6
+#: Longest name that the places of texts tell by themselves; a longer one is known by so many of its characters.
+WINDOW = 32
+#: Characters of a text whose places are told at once.
+PIECE = 4096
+
 
+def runs(t: Column, least: int, most: int | None = None, of: str = ".") -> Column:
+    """The different runs that begin at the places of ``t``: of ``most`` characters, or what is left if ``least`` are.
 
-def grams(t: Column, size: int) -> Column:
-    """The different runs of ``size`` characters, or the empty string for size 0."""
-    if size == 0:
-        return F.array(F.lit(""))
-    return F.array_distinct(F.regexp_extract_all(t, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+    A pattern is also tried within a character of two UTF-16 units, where no run begins.
+    """
+    return F.array_distinct(F.regexp_extract_all(t, F.lit(rf"(?s)(?=({of}{{{least},{most or least}}}))(?!\p{{Cs}})"), F.lit(1)))
 
 
 def named_in(texts: DataFrame, names: DataFrame, block: list[str], text_id: list[str], text: str, name: str) -> DataFrame:
     """Rows of ``names`` with the ids of the texts of their block that contain the name, in whatever case.
 
-    A name is known by its rarest run of three characters in the block's texts; texts and names meet on these alone, and
-    what meets is verified. A name with a run that no text has meets nothing. An empty name is in every text.
+    A place of a text meets the beginnings of names; one that begins a name is cut to the lengths that names with this
+    beginning have, and what is cut meets the names. So a place costs as much whether one name begins so or thousands,
+    and nothing that is no name meets a text. Names of more than ``WINDOW`` characters are met by the run of so many that
+    the fewest names have, and looked for in the texts that have it. An empty name is in every text. ``text_id`` tells the
+    texts of a block apart; it may have nulls.
     """
     columns = [c for c in names.columns if c not in block]
     own = names.select(*block, F.struct(*columns).alias("_name"), F.lower(T.text(name)).alias("_n"))
-    size = F.least(F.length("_n"), F.lit(GRAM))
-    known = F.when(size == 0, grams(F.col("_n"), 0))
-    for k in range(1, GRAM + 1):
-        known = known.when(size == k, grams(F.col("_n"), k))
-    keyed = staged(own.withColumn("_g", F.explode(known)))
     lower = texts.select(*block, *text_id, F.lower(T.text(text)).alias("_t"))
-    sizes = [r[0] for r in keyed.select(F.length("_g")).distinct().collect()] or [GRAM]  # four at most
-    every = lower.select(*block, *text_id, F.explode(F.concat(*[grams(F.col("_t"), k) for k in sorted(sizes)])).alias("_g"))
-    there = staged(every.join(keyed.select(*block, "_g").distinct(), [*block, "_g"], "left_semi"))
-    often = there.groupBy(*block, "_g").agg(F.count(F.lit(1)).alias("_df"))
-    met = keyed.join(often, [*block, "_g"], "left").groupBy(*block, "_name", "_n").agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "_g")).alias("_r"))
-    rare = met.where("_r.df > 0").select(*block, "_name", "_n", F.col("_r._g").alias("_g"))
-    pairs = rare.join(there, [*block, "_g"]).select(*block, *text_id, "_name", "_n")
-    found = pairs.join(lower, [*block, *text_id]).where(F.contains("_t", F.col("_n")))
+    size = F.length("_n")
+    asked = own.agg(F.coalesce(F.max(size), F.lit(0)), F.min(F.when(size >= BEGINNING, size)), F.collect_set(F.when(size < BEGINNING, size)), F.coalesce(F.max(F.rlike("_n", F.lit(r"\s"))), F.lit(False)))
+    longest, least, short, spaced = asked.first()  # of the names' sizes, a few numbers
+    key = F.col("_n")
+    if longest > WINDOW:
+        far = own.where(size > WINDOW).select(*block, "_n").distinct().select(*block, "_n", F.explode(runs(F.col("_n"), WINDOW)).alias("_k"))
+        shared = far.groupBy(*block, "_k").agg(F.count(F.lit(1)).alias("_names"))
+        known = far.join(shared, [*block, "_k"]).groupBy(*block, "_n").agg(F.min(F.struct("_names", "_k"))["_k"].alias("_k"))
+        own, key = own.join(known, [*block, "_n"], "left"), F.coalesce("_k", "_n")
+    keyed = staged(own.select(*block, "_name", "_n", key.alias("_k")).distinct().withColumn("_b", F.left("_k", F.lit(BEGINNING))))
+    sizes = keyed.where("_k <> ''").groupBy(*block, "_b").agg(F.collect_set(F.length("_k")).alias("_sizes"))
+
+    of, most = "." if spaced else r"\S", min(longest, WINDOW)
+    each = [runs(F.col("_p"), n, of=of) for n in sorted(short) if n] + ([runs(F.col("_p"), min(least, WINDOW), most, of)] if least else [])
+    piece = F.when(F.length("_t") <= PIECE, F.array("_t")).otherwise(F.regexp_extract_all("_t", F.lit(rf"(?s)(?=(.{{1,{PIECE + most}}})).{{1,{PIECE}}}"), F.lit(1)))
+    places = lower.select(*block, *text_id, F.explode(piece).alias("_p")).select(*block, *text_id, F.explode(F.concat(*each) if each else F.array().cast("array<string>")).alias("_w"))
+    begun = places.withColumn("_b", F.left("_w", F.lit(BEGINNING))).join(sizes, [*block, "_b"])
+    cut = begun.select(*block, *text_id, F.explode(F.filter("_sizes", lambda n: n <= F.length("_w"))).alias("_s"), "_w").select(*block, *text_id, F.left("_w", F.col("_s")).alias("_k"))
+    met = cut.join(keyed.select(*block, "_k").distinct(), [*block, "_k"], "left_semi").distinct().join(keyed, [*block, "_k"])
+    found = met.where(F.length("_n") <= WINDOW).select(*block, *text_id, "_name")
+    if longest > WINDOW:
+        asks = met.where(F.length("_n") > WINDOW).groupBy(*block, *text_id).agg(F.collect_list(F.struct("_name", "_n")).alias("_all")).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*block, *text_id])], "_all")
+        same = [F.col(f"_{i}").eqNullSafe(F.col(c)) for i, c in enumerate([*block, *text_id])]
+        there = asks.join(lower, reduce(Column.__and__, same)).select(*block, *text_id, F.explode(F.filter("_all", lambda x: F.contains("_t", x["_n"]))).alias("_x"))
+        found = found.unionByName(there.select(*block, *text_id, F.col("_x._name").alias("_name")))
+    if 0 in short:
+        found = found.unionByName(lower.select(*block, *text_id).join(keyed.where("_n = ''").select(*block, "_name"), block))
     return found.select(*block, *text_id, *[F.col(f"_name.{c}").alias(c) for c in columns])
 
 

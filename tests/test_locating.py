@@ -19,6 +19,35 @@ def test_names_are_found_as_by_looking_for_each(spark):
     assert set(rows) == want and len(rows) == len(set(rows))
 
 
+def test_names_of_any_length_in_texts_whose_ids_have_nulls(spark):
+    rng = random.Random(9)
+    long = ["https://example.com/a/very/long/way/to/" + "".join(rng.choice("ab") for _ in range(4)) + end for end in ("", " x", "/😀é") for _ in range(6)]
+    names = [(i, name) for i, name in enumerate(sorted({*long, "abcdef", "abcdefg", "abcdefghij", "bcdefg", "?bcdefg", "😀abcd", "y" * 32, "y" * 33, "", "a", "😀"}))]
+    piece = lambda: rng.choice([*[n for _, n in names], "abcde", "abcdefgh", "😀bcdefg", "Y" * 31, " ", "x" * 4_085])
+    texts = [(i, rng.choice([None, "en"]), "".join(piece() for _ in range(rng.randint(0, 6)))) for i in range(60)] + [(90, None, None), (None, "en", "abcdefg")]
+    rows = spark.createDataFrame([("m", *t) for t in texts], "k string, t int, lang string, text string")
+    got = [(r["t"], r["lang"], r["n"]) for r in locating.named_in(rows, spark.createDataFrame([("m", *n) for n in names], "k string, n int, name string"), ["k"], ["t", "lang"], "text", "name").collect()]
+    assert set(got) == {(t, lang, n) for t, lang, text in texts for n, name in names if name in (text or "").lower()} and len(got) == len(set(got))
+
+
+def test_what_looks_like_names_makes_no_rows(spark):
+    rng = random.Random(3)
+    word = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    texts = spark.createDataFrame([("m", i, word("abc", 300)) for i in range(400)], "k string, t int, text string")
+    names = spark.createDataFrame([("m", i, word("abc", 40)) for i in range(2_000)] + [("m", 2_000 + i, word("abc", 14)) for i in range(2_000)], "k string, n int, name string")
+    store, before = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    written = lambda: store.executorSummary("driver").totalShuffleWrite()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        began = written()
+        found = locating.named_in(texts, names, ["k"], ["t"], "text", "name").collect()
+        assert written() - began < 10_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    held = {t["t"]: t["text"] for t in texts.collect()}
+    assert {(r["t"], r["n"]) for r in found} == {(t, n["n"]) for n in names.collect() for t, text in held.items() if n["name"] in text}
+
+
 def test_many_components_of_one_document(spark):
     names = [("d", f"c{i}", f"service-{i:05d}") for i in range(3_000)]
     sections = [("d", i, "H", f"service-{i:05d} calls SERVICE-{i + 1:05d}.") for i in range(40)]
